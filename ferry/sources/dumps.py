@@ -1,0 +1,157 @@
+"""Metastore-dump shaped DataFrames derived from the test tables.
+
+The bulk parsers (partition specs, DDL text, DESCRIBE rows, candidate
+resolution) are meant for dumps of a large metastore: one row per partition,
+per table or per DESCRIBE line.  To exercise them at a size that follows the
+data, each builder below writes such a dump from the rows of a given table:
+one partition name per order, one ``CREATE TABLE`` text per part, one
+DESCRIBE listing per customer, four detection candidates per customer.  The
+names and shapes are taken from the row values, so the expected answer can
+be stated independently in SQL over the same table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferry.functions.partition_spec import partition_spec
+from ferry.sources.testdata import SPECIAL_VALUE, table_path
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def orders_partition_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(o_orderkey, partition)``: the partition each order would be stored
+    under in a table partitioned by (o_orderdate, o_orderpriority, p)."""
+    o = _read(spark, sf_dir, "orders")
+    p = (
+        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string"))
+        .when(F.col("o_orderstatus") == "F", F.lit(SPECIAL_VALUE))
+        .otherwise(F.col("o_orderstatus"))
+    )
+    return o.select(
+        "o_orderkey",
+        partition_spec(("o_orderdate", F.col("o_orderdate")), ("o_orderpriority", F.col("o_orderpriority")), ("p", p)).alias(
+            "partition"
+        ),
+    )
+
+
+def _sql_str(c: Column) -> Column:
+    return F.replace(c, F.lit("'"), F.lit("\\'"))
+
+
+def part_ddl_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(table_name, ddl)``: one ``CREATE TABLE`` per part.
+
+    Partition columns ``t_<type>``, ``n_<first name word>``,
+    ``k_<second name word>``; the clause style depends on ``p_size``:
+    1-10 names only (Spark's form), 11-20 back-ticked with types (Hive's
+    form), 21-30 nested types with commas inside brackets, 31-40 lower-case
+    keyword with a comment holding ``) ,`` and a back-ticked name with a
+    space, 41-50 no clause (unpartitioned).
+    """
+    p = _read(spark, sf_dir, "part")
+    a = F.concat(F.lit("t_"), F.lower("p_type"))
+    b = F.concat(F.lit("n_"), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    c = F.concat(F.lit("k_"), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    size = F.col("p_size")
+    clause = (
+        F.when(size <= 10, F.concat(F.lit("PARTITIONED BY ("), a, F.lit(", "), b, F.lit(")\n")))
+        .when(size <= 20, F.concat(F.lit("PARTITIONED BY (`"), a, F.lit("` STRING, `"), b, F.lit("` INT)\n")))
+        .when(
+            size <= 30,
+            F.concat(
+                F.lit("PARTITIONED BY ("), a, F.lit(" STRUCT<x: INT, y: INT>, "), b,
+                F.lit(" DECIMAL(7,2), "), c, F.lit(" MAP<STRING, INT>)\n"),
+            ),
+        )
+        .when(
+            size <= 40,
+            F.concat(
+                F.lit("partitioned by ("), a, F.lit(" string comment 'size ) of "),
+                _sql_str(F.col("p_brand")), F.lit(", x', `"), b, F.lit(" "), c, F.lit("` int)\n"),
+            ),
+        )
+        .otherwise(F.lit(""))
+    )
+    ddl = F.concat(
+        F.lit("CREATE TABLE spark_catalog.dump.part_"), F.col("p_partkey").cast("string"),
+        F.lit(" (\n  p_partkey BIGINT,\n  p_name STRING COMMENT '"), _sql_str(F.col("p_name")),
+        F.lit("',\n  p_retailprice DOUBLE)\nUSING orc\n"), clause,
+        F.lit("TBLPROPERTIES ('brand' = '"), _sql_str(F.col("p_brand")), F.lit("')\n"),
+    )
+    return p.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name"), ddl.alias("ddl"))
+
+
+def customer_describe_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(table_name, pos, col_name, data_type)``: DESCRIBE TABLE EXTENDED
+    rows of one table per customer.  BUILDING customers' tables are not
+    partitioned; AUTOMOBILE and MACHINERY ones by ``seg_<segment>``; the
+    others by ``seg_<segment>, nation_<nationkey>``."""
+    cu = _read(spark, sf_dir, "customer")
+    seg = F.concat(F.lit("seg_"), F.lower("c_mktsegment"))
+    nat = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
+    name = F.concat(F.lit("cust_"), F.col("c_custkey").cast("string"))
+
+    def row(c: Column | str, t: Column | str) -> Column:
+        cc = F.lit(c) if isinstance(c, str) else c
+        tt = F.lit(t) if isinstance(t, str) else t
+        return F.struct(cc.alias("col_name"), tt.alias("data_type"))
+
+    head = [row("c_custkey", "bigint"), row("c_name", "string"), row("c_acctbal", "double")]
+    tail = [
+        row("", ""),
+        row("# Detailed Table Information", ""),
+        row("Catalog", "spark_catalog"),
+        row("Table", name),
+        row("Partition Provider", "Catalog"),
+        row("Location", F.concat(F.lit("file:/warehouse/"), name)),
+    ]
+    one = head + [row(seg, "string"), row("# Partition Information", ""), row("# col_name", "data_type"), row(seg, "string")] + tail
+    two = head + [
+        row(seg, "string"),
+        row(nat, "int"),
+        row("# Partition Information", ""),
+        row("# col_name", "data_type"),
+        row(seg, "string"),
+        row(nat, "int"),
+    ] + tail
+    none = head + tail
+    seg_v = F.col("c_mktsegment")
+    pad = [row(F.lit(None).cast("string"), F.lit(None).cast("string"))]
+    width = len(two)
+    rows = (
+        F.when(seg_v == "BUILDING", F.array(*(none + pad * (width - len(none)))))
+        .when(seg_v.isin("AUTOMOBILE", "MACHINERY"), F.array(*(one + pad * (width - len(one)))))
+        .otherwise(F.array(*two))
+    )
+    exploded = cu.select(name.alias("table_name"), F.posexplode(rows).alias("pos", "r"))
+    return exploded.where(F.col("r.col_name").isNotNull()).select(
+        "table_name", "pos", F.col("r.col_name").alias("col_name"), F.col("r.data_type").alias("data_type")
+    )
+
+
+def customer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(table_name, priority, found_by, cols)``: four detection answers
+    per customer table, some empty, one with a case-insensitive repeat."""
+    cu = _read(spark, sf_dir, "customer")
+    name = F.concat(F.lit("cust_"), F.col("c_custkey").cast("string"))
+    seg = F.concat(F.lit("seg_"), F.lower("c_mktsegment"))
+    nat = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
+    empty = F.array().cast("array<string>")
+    segment, bal = F.col("c_mktsegment"), F.col("c_acctbal")
+    cands = F.array(
+        F.struct(F.lit(1).alias("priority"), F.lit("catalog").alias("found_by"),
+                 F.when(segment == "AUTOMOBILE", F.array(seg)).otherwise(empty).alias("cols")),
+        F.struct(F.lit(2).alias("priority"), F.lit("show_partitions").alias("found_by"),
+                 F.when(bal >= 0, F.array(nat, F.upper(nat), seg)).otherwise(empty).alias("cols")),
+        F.struct(F.lit(3).alias("priority"), F.lit("show_create").alias("found_by"),
+                 F.when(segment == "MACHINERY", F.array(seg)).otherwise(empty).alias("cols")),
+        F.struct(F.lit(4).alias("priority"), F.lit("describe").alias("found_by"),
+                 F.when(bal < -500, F.array(F.lit("acct_neg"))).otherwise(empty).alias("cols")),
+    )
+    return cu.select(name.alias("table_name"), F.inline(cands))

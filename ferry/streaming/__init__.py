@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The migration job this package rebuilds copies tables at rest; it reads and
+writes no stream, keeps no state across batches and has no notion of late
+data.  Nothing is built here so that no operator exists that the job does
+not have (see README, "Not built").
+"""
