@@ -1,9 +1,11 @@
 """Partition columns out of ``CREATE TABLE`` text, as Spark SQL expressions.
 
-A DDL string is folded character by character with the built-in
-higher-order function ``aggregate``; the state tracks parenthesis depth,
-angle-bracket depth (``struct<a:int,b:int>``), open quotes (so a ``)`` or
-``,`` inside a comment does not count) and the pieces split on top-level
+The text after ``PARTITIONED BY`` is cut into tokens by one regular
+expression -- quoted strings, back-ticked names, brackets, commas and runs
+of anything else -- so a ``)`` or ``,`` inside a comment or a quoted name is
+part of a single token and never counts.  The built-in higher-order
+function ``aggregate`` then folds the tokens, tracking parenthesis depth and
+angle-bracket depth (``struct<a:int,b:int>``) and splitting on top-level
 commas.  No UDF: the fold runs inside the executor JVM and scales with the
 number of DDL rows like any projection.
 """
@@ -16,6 +18,18 @@ from pyspark.sql import functions as F
 # Fixed value: the clause that lists partition columns (case-insensitive).
 CLAUSE_PREFIX = r"(?i)(PARTITIONED\s+BY\s*)\("
 
+# One token: a single- or double-quoted string (backslash escapes), a
+# back-ticked name (doubled back-ticks inside), a bracket or comma, a run of
+# other characters, or any single leftover character (an unclosed quote).
+TOKEN = (
+    r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+    r"|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+    r"|`[^`]*+(?:``[^`]*+)*+`"
+    r"|[()<>,]"
+    r"|[^'\"`()<>,]++"
+    r"|(?s)."
+)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -32,39 +46,30 @@ def _fold(tail: Column, finish) -> Column:
     init = F.struct(
         F.lit(0).alias("d"),
         F.lit(0).alias("a"),
-        F.lit("").alias("q"),
-        F.lit(False).alias("e"),
         F.lit("").alias("buf"),
         F.array().cast("array<string>").alias("out"),
         F.lit(False).alias("done"),
     )
 
-    def step(acc: Column, c: Column) -> Column:
-        def st(**kw: Column) -> Column:
-            fields = ("d", "a", "q", "e", "buf", "out", "done")
-            return F.struct(*[(kw[f] if f in kw else acc[f]).alias(f) for f in fields])
-
-        d, a, q, buf, out = acc["d"], acc["a"], acc["q"], acc["buf"], acc["out"]
-        grow = F.concat(buf, c)
-        in_quote = q != ""
-        return (
-            F.when(acc["done"], acc)
-            .when(in_quote & acc["e"], st(buf=grow, e=F.lit(False)))
-            .when(in_quote & (c == "\\") & (q != "`"), st(buf=grow, e=F.lit(True)))
-            .when(in_quote & (c == q), st(buf=grow, q=F.lit("")))
-            .when(in_quote, st(buf=grow))
-            .when(c.isin("'", '"', "`"), st(buf=grow, q=c))
-            .when(c == "(", st(d=d + 1, buf=F.when(d > 0, grow).otherwise(buf)))
-            .when((c == ")") & (d == 1), st(d=F.lit(0), out=F.concat(out, F.array(buf)), buf=F.lit(""), done=F.lit(True)))
-            .when(c == ")", st(d=d - 1, buf=grow))
-            .when(c == "<", st(a=a + 1, buf=grow))
-            .when(c == ">", st(a=F.greatest(a - 1, F.lit(0)), buf=grow))
-            .when((c == ",") & (d == 1) & (a == 0), st(out=F.concat(out, F.array(buf)), buf=F.lit("")))
-            .otherwise(st(buf=grow))
+    def step(acc: Column, tok: Column) -> Column:
+        d, a, buf, out = acc["d"], acc["a"], acc["buf"], acc["out"]
+        done = acc["done"]
+        closes = (tok == ")") & (d == 1)
+        splits = (tok == ",") & (d == 1) & (a == 0)
+        cut = closes | splits
+        keep = (tok != "(") | (d > 0)
+        return F.when(done, acc).otherwise(
+            F.struct(
+                (d + F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)).alias("d"),
+                F.greatest(a + F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0), F.lit(0)).alias("a"),
+                F.when(cut, F.lit("")).when(keep, F.concat(buf, tok)).otherwise(buf).alias("buf"),
+                F.when(cut, F.concat(out, F.array(buf))).otherwise(out).alias("out"),
+                closes.alias("done"),
+            )
         )
 
-    chars = F.regexp_extract_all(tail, F.lit("(?s)."), 0)
-    return F.aggregate(chars, init, step, finish)
+    tokens = F.regexp_extract_all(tail, F.lit(TOKEN), 0)
+    return F.aggregate(tokens, init, step, finish)
 
 
 def partitioned_by_clause(ddl: Column | str) -> Column:
@@ -80,7 +85,7 @@ def partitioned_by_clause(ddl: Column | str) -> Column:
 
 def _piece_name(piece: Column) -> Column:
     p = F.trim(piece)
-    quoted = F.replace(F.regexp_extract(p, "^`((?:[^`]|``)*)`", 1), F.lit("``"), F.lit("`"))
+    quoted = F.replace(F.regexp_extract(p, "^`((?:[^`]|``)*+)`", 1), F.lit("``"), F.lit("`"))
     bare = F.regexp_extract(p, r"^(\S+)", 1)
     return F.when(p.startswith("`"), quoted).otherwise(bare)
 

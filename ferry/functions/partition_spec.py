@@ -42,7 +42,13 @@ def escape_path_value(value: Column | str) -> Column:
         ),
         "",
     )
-    return F.when(v.isNull() | (v == ""), F.lit(DEFAULT_PARTITION)).otherwise(escaped)
+    # Most values hold nothing to escape: the per-character rewrite only
+    # runs for those that do.
+    return (
+        F.when(v.isNull() | (v == ""), F.lit(DEFAULT_PARTITION))
+        .when(v.rlike(ESCAPED_CHAR_CLASS), escaped)
+        .otherwise(v)
+    )
 
 
 def unescape_path_value(raw: Column | str) -> Column:
@@ -66,7 +72,11 @@ def unescape_path_value(raw: Column | str) -> Column:
         ),
         "",
     )
-    return F.when(r == DEFAULT_PARTITION, F.lit(None).cast("string")).otherwise(decoded)
+    return (
+        F.when(r == DEFAULT_PARTITION, F.lit(None).cast("string"))
+        .when(F.instr(r, "%") > 0, decoded)
+        .otherwise(r)
+    )
 
 
 def partition_spec(*pairs: tuple[str, Column | str]) -> Column:

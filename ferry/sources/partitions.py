@@ -7,7 +7,11 @@ Four probes are tried in order and the first non-empty answer wins:
 3. ``show_create``      -- the ``PARTITIONED BY`` clause of ``SHOW CREATE TABLE``
 4. ``describe``         -- the partition section of ``DESCRIBE TABLE EXTENDED``
 
-All empty means the table is not partitioned.  Detection works on a batch
+All empty means the table is not partitioned.  For tables of the session
+catalog (``spark_catalog``) a successful ``listColumns`` is final: SHOW
+PARTITIONS, SHOW CREATE TABLE and DESCRIBE are rendered from the same
+catalog entry there, so the later probes cannot disagree and are skipped
+(``trust_session_catalog=False`` runs the whole chain anyway).  Detection works on a batch
 of tables: each probe runs only for the tables still without an answer,
 the catalog command's rows of all those tables are gathered into one
 DataFrame, and the same Column functions that parse metastore dumps in bulk
@@ -74,6 +78,9 @@ def _catalog(spark: SparkSession, names: list[str], notes: dict) -> dict[str, li
     return out
 
 
+SESSION_CATALOG = "spark_catalog"
+
+
 def _show_partitions(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
     # Every spec of a table has the same keys, so one spec per table answers.
     specs = []
@@ -145,7 +152,11 @@ _PROBE_FUNCS = {
 
 
 def detect_partitions(
-    spark: SparkSession, names: list[str], *, probes: tuple[str, ...] = PROBES
+    spark: SparkSession,
+    names: list[str],
+    *,
+    probes: tuple[str, ...] = PROBES,
+    trust_session_catalog: bool = True,
 ) -> dict[str, Detection]:
     """Ordered partition columns of each ``catalog.schema.table`` in ``names``."""
     for n in names:
@@ -162,6 +173,13 @@ def detect_partitions(
             cols = dedupe(answers.get(n) or [])
             if cols:
                 found[n] = Detection(n, cols, probe, notes[n])
+            elif (
+                probe == "catalog"
+                and trust_session_catalog
+                and n in answers
+                and n.split(".")[0].lower() == SESSION_CATALOG
+            ):
+                found[n] = Detection(n, [], None, notes[n])
             else:
                 still.append(n)
         pending = still
@@ -170,9 +188,11 @@ def detect_partitions(
     return {n: found[n] for n in names}
 
 
-def partition_columns(spark: SparkSession, name: str, *, probes: tuple[str, ...] = PROBES) -> Detection:
+def partition_columns(
+    spark: SparkSession, name: str, *, probes: tuple[str, ...] = PROBES, trust_session_catalog: bool = True
+) -> Detection:
     """Ordered partition columns of one ``catalog.schema.table``."""
-    return detect_partitions(spark, [name], probes=probes)[name]
+    return detect_partitions(spark, [name], probes=probes, trust_session_catalog=trust_session_catalog)[name]
 
 
 def schema_partition_columns(
