@@ -6,7 +6,8 @@ the rows are split into files and partitions, and computed with partial
 aggregation (no shuffle of table data).  Maps are not hashable in Spark and
 their entry order is not part of their value, so they are replaced by their
 entries sorted; a null mask is hashed too, because ``xxhash64`` skips nulls
-and would otherwise not tell ``(NULL, 'x')`` from ``('x', NULL)``.
+and would otherwise not tell ``(NULL, 'x')`` from ``('x', NULL)``; the
+mask is one boolean per column, so the whole hash stays code-generated.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns if columns is not None else list(fields)
     values = [_hashable(F.col(f"`{n}`"), fields[n]) for n in names]
-    null_mask = F.concat_ws("", *[F.when(F.col(f"`{n}`").isNull(), "1").otherwise("0") for n in names])
-    return F.xxhash64(*values, null_mask)
+    null_mask = [F.col(f"`{n}`").isNull() for n in names]
+    return F.xxhash64(*values, *null_mask)
 
 
 def content_hash(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -21,6 +21,15 @@ DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 # Characters escaped as %XX in partition directory names: the control
 # characters 0x01-0x1F, then  " # % ' * / : = ? \ DEL { [ ] ^
 ESCAPED_CHAR_CLASS = "[\\x01-\\x1F\"#%'*/:=?\\\\\\x7F{\\[\\]^]"
+# The printable ones among them ('%' first: it must be escaped before the
+# others introduce new '%' signs).
+PRINTABLE_ESCAPED = "%\"#'*/:=?\\{[]^"
+CONTROL_CHAR_CLASS = "[\\x01-\\x1F\\x7F]"
+
+_CODES = {ch: f"%{ord(ch):02X}" for ch in PRINTABLE_ESCAPED}
+# A '%' that starts none of the printable escapes (a control character, a
+# lower-case code, a lone '%') sends a value to the general decoder.
+_UNUSUAL_PERCENT = "%(?!(?:" + "|".join(c[1:] for c in _CODES.values()) + "))"
 
 
 def _col(c: Column | str) -> Column:
@@ -32,8 +41,17 @@ def _chars(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit("(?s)."), 0)
 
 
+def _replace_chain(v: Column, pairs) -> Column:
+    for old, new in pairs:
+        v = F.replace(v, F.lit(old), F.lit(new))
+    return v
+
+
 def escape_path_value(value: Column | str) -> Column:
-    """Escape one partition value (already a string) for a spec/path."""
+    """Escape one partition value (already a string) for a spec/path.
+
+    The usual case is a chain of ``replace`` calls (code-generated); only a
+    value holding a control character takes the per-character rewrite."""
     v = _col(value)
     escaped = F.array_join(
         F.transform(
@@ -46,8 +64,8 @@ def escape_path_value(value: Column | str) -> Column:
     # runs for those that do.
     return (
         F.when(v.isNull() | (v == ""), F.lit(DEFAULT_PARTITION))
-        .when(v.rlike(ESCAPED_CHAR_CLASS), escaped)
-        .otherwise(v)
+        .when(v.rlike(CONTROL_CHAR_CLASS), escaped)
+        .otherwise(_replace_chain(v, _CODES.items()))
     )
 
 
@@ -72,10 +90,13 @@ def unescape_path_value(raw: Column | str) -> Column:
         ),
         "",
     )
+    # '%25' is decoded last so that an escaped '%' cannot form new codes.
+    common = _replace_chain(r, [(code, ch) for ch, code in _CODES.items() if ch != "%"] + [("%25", "%")])
     return (
         F.when(r == DEFAULT_PARTITION, F.lit(None).cast("string"))
-        .when(F.instr(r, "%") > 0, decoded)
-        .otherwise(r)
+        .when(F.instr(r, "%") == 0, r)
+        .when(r.rlike(_UNUSUAL_PERCENT), decoded)
+        .otherwise(common)
     )
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ferry.functions.identifiers import UnsafeIdentifier, is_safe_ident, safe_ident
 from ferry.operators.migrate import MigrationError, migrate_table
-from ferry.sources.catalog import list_source_tables, missing_tables, table_exists
-from ferry.sources.partitions import Detection, detect_partitions
+from ferry.sources.catalog import ensure_namespace, list_source_tables, missing_tables, table_exists
+from ferry.sources.partitions import Detection, detect_partitions, per_table
 
 PLAN_SCHEMA = "table_name string, partition_cols string, found_by string, action string, notes string"
 REPORT_SCHEMA = (
@@ -63,6 +63,9 @@ def plan_migration(
     target_schema = target_schema or source_schema
     names, missing = _listed(spark, source_catalog, source_schema, tables, include_views)
     dets = _detect(spark, source_catalog, source_schema, names)
+    tgt_ns = f"{safe_ident(target_catalog)}.{safe_ident(target_schema)}"
+    safe = [t for t in names if is_safe_ident(t)]
+    existing = {t for t, e in per_table(lambda t: table_exists(spark, f"{tgt_ns}.{t}"), safe) if e is True}
     rows = []
     for t in names:
         if not is_safe_ident(t):
@@ -79,7 +82,7 @@ def plan_migration(
         if src.lower() == tgt.lower():
             rows.append((t, ",".join(det.columns), det.found_by, "refuse", "source and target are the same table"))
             continue
-        if table_exists(spark, tgt):
+        if t in existing:
             action = "skip" if if_exists == "skip" else ("overwrite" if if_exists == "overwrite" else "refuse")
         else:
             action = "create"
@@ -152,6 +155,8 @@ def migrate_schema(
     names, missing = _listed(spark, source_catalog, source_schema, tables, include_views)
     # Detection of every table before any copy or drop (one job per probe).
     dets = _detect(spark, source_catalog, source_schema, names)
+    if names:
+        ensure_namespace(spark, target_catalog, target_schema)
     args = (spark, source_catalog, source_schema, target_catalog, target_schema)
     opts = (provider, if_exists, verify, continue_on_error)
     if parallelism > 1 and len(names) > 1:

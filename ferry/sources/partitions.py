@@ -22,6 +22,8 @@ session's current catalog and namespace are never changed.
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ferry.functions.ddl import ddl_partition_columns
-from ferry.functions.describe import described_partition_columns
+from ferry.functions.describe import PARTITION_HEADER, described_partition_columns
 from ferry.functions.fields import ddl_text, first_present
 from ferry.functions.identifiers import split_fqn
 from ferry.functions.partition_spec import spec_keys
@@ -68,13 +70,34 @@ def _spec_column(df: DataFrame):
     return F.coalesce(named, *strings) if strings else named
 
 
-def _catalog(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
-    out = {}
-    for n in names:
+# Catalog calls of different tables are independent requests to the
+# catalog; a few run at once so that a namespace of thousands of tables is
+# not detected one round trip at a time.
+METADATA_THREADS = 8
+
+
+def per_table(fn, names: list[str]) -> list:
+    """``[(name, result or exception)]`` of ``fn(name)`` for each name."""
+
+    def call(n):
         try:
-            out[n] = [c.name for c in spark.catalog.listColumns(n) if getattr(c, "isPartition", False)]
+            return n, fn(n)
         except Exception as e:
-            notes[n].append(f"catalog: {_first_line(e)}")
+            return n, e
+
+    if len(names) <= 1:
+        return [call(n) for n in names]
+    with ThreadPoolExecutor(max_workers=min(METADATA_THREADS, len(names))) as pool:
+        return list(pool.map(call, names))
+
+
+def _catalog(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
+    out = {}
+    for n, res in per_table(lambda n: list(spark.catalog.listColumns(n)), names):
+        if isinstance(res, Exception):
+            notes[n].append(f"catalog: {_first_line(res)}")
+        else:
+            out[n] = [c.name for c in res if getattr(c, "isPartition", False)]
     return out
 
 
@@ -83,31 +106,39 @@ SESSION_CATALOG = "spark_catalog"
 
 def _show_partitions(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
     # Every spec of a table has the same keys, so one spec per table answers.
+    def first_spec(n):
+        listing = spark.sql(f"SHOW PARTITIONS {n}")
+        row = listing.select(_spec_column(listing).alias("s")).head(1)
+        return row[0].s if row else None
+
     specs = []
-    for n in names:
-        try:
-            listing = spark.sql(f"SHOW PARTITIONS {n}")
-            row = listing.select(_spec_column(listing).alias("s")).head(1)
-            if row and row[0].s:
-                specs.append((n, row[0].s))
-        except Exception as e:
-            notes[n].append(f"show_partitions: {_first_line(e)}")
+    for n, res in per_table(first_spec, names):
+        if isinstance(res, Exception):
+            notes[n].append(f"show_partitions: {_first_line(res)}")
+        elif res:
+            specs.append((n, res))
     if not specs:
         return {}
     df = spark.createDataFrame(specs, "table_name string, partition string")
     return {r.table_name: list(r.keys) for r in df.select("table_name", spec_keys("partition").alias("keys")).collect()}
 
 
+_MAY_PARTITION = re.compile(r"(?i)partitioned")
+
+
 def _show_create(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
+    def ddl_of(n):
+        stmt = spark.sql(f"SHOW CREATE TABLE {n}")
+        row = stmt.select(ddl_text(stmt).alias("ddl")).head(1)
+        return row[0].ddl if row else None
+
     ddls = []
-    for n in names:
-        try:
-            stmt = spark.sql(f"SHOW CREATE TABLE {n}")
-            row = stmt.select(ddl_text(stmt).alias("ddl")).head(1)
-            if row and row[0].ddl:
-                ddls.append((n, row[0].ddl))
-        except Exception as e:
-            notes[n].append(f"show_create: {_first_line(e)}")
+    for n, res in per_table(ddl_of, names):
+        if isinstance(res, Exception):
+            notes[n].append(f"show_create: {_first_line(res)}")
+        # Text without the keyword has nothing to parse (views, flat tables).
+        elif res and _MAY_PARTITION.search(res):
+            ddls.append((n, res))
     if not ddls:
         return {}
     df = spark.createDataFrame(ddls, "table_name string, ddl string")
@@ -129,11 +160,12 @@ DESCRIBE_SCHEMA = "table_name string, pos int, col_name string, data_type string
 
 def _describe(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
     rows = []
-    for n in names:
-        try:
-            rows.extend(describe_rows(spark, n))
-        except Exception as e:
-            notes[n].append(f"describe: {_first_line(e)}")
+    for n, listed in per_table(lambda n: describe_rows(spark, n), names):
+        if isinstance(listed, Exception):
+            notes[n].append(f"describe: {_first_line(listed)}")
+        # Only listings with a partition section need the section scan.
+        elif any((r[2] or "").strip().startswith(PARTITION_HEADER) for r in listed):
+            rows.extend(listed)
     if not rows:
         return {}
     cols = described_partition_columns(spark.createDataFrame(rows, DESCRIBE_SCHEMA)).collect()
