@@ -109,7 +109,7 @@ def q_migrate_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _src(spark, sf_dir)
     tgt = fresh_schema(spark, "schema")
     return migrate_schema(
-        spark, CAT, src, CAT, tgt, tables=list(GOOD_TABLES), continue_on_error=True, parallelism=4
+        spark, CAT, src, CAT, tgt, tables=list(GOOD_TABLES), continue_on_error=True, parallelism=8
     )
 
 

@@ -84,6 +84,24 @@ def test_plan_shapes(spark, src):
     assert "RebalancePartitions" in explain(spark, other, "EXTENDED")
 
 
+def _stages_of(spark, group, action):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    return sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group))
+
+
+def test_executed_copies_shuffle_only_when_layout_changes(spark, src, tgt):
+    same = WritePlan(f"{C}.{src}.lineitem", f"{C}.{tgt}.li", "parquet", ["l_returnflag", "l_linestatus"], "none")
+    changed = WritePlan(f"{C}.{src}.orders", f"{C}.{tgt}.o", "parquet", ["o_orderpriority"], "rebalance")
+    assert _stages_of(spark, "ferry-same", lambda: spark.sql(same.sql())) == 1  # scan+write, no exchange
+    assert _stages_of(spark, "ferry-changed", lambda: spark.sql(changed.sql())) >= 2  # rebalance shuffle
+
+
 def test_pruned_read_has_partition_filters(spark, src, tgt):
     migrate_table(spark, f"{C}.{src}.lineitem", f"{C}.{tgt}.lineitem")
     df = spark.table(f"{C}.{tgt}.lineitem").where(F.col("l_returnflag") == "A").select("l_orderkey")
