@@ -9,6 +9,10 @@ millions of partition names is parsed by executors, never on the driver:
 * :func:`partition_spec_values` explodes a spec column into one row per
   ``(pos, key, value)``, unescaped, with the default partition read as NULL;
 * :func:`spec_keys` gives only the ordered key list, for detection.
+
+No higher-order function appears in the escape, unescape and explode paths:
+they are chains of ``replace``/``regexp`` calls and ``url_decode``, so the
+projection stays inside whole-stage code generation.
 """
 
 from __future__ import annotations
@@ -18,85 +22,57 @@ from pyspark.sql import functions as F
 
 # Partition path conventions of Spark's file catalogs.
 DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-# Characters escaped as %XX in partition directory names: the control
-# characters 0x01-0x1F, then  " # % ' * / : = ? \ DEL { [ ] ^
-ESCAPED_CHAR_CLASS = "[\\x01-\\x1F\"#%'*/:=?\\\\\\x7F{\\[\\]^]"
-# The printable ones among them ('%' first: it must be escaped before the
-# others introduce new '%' signs).
+# Characters escaped as %XX (upper-case hex) in partition directory names:
+# the printable ones below ('%' first, so that it is escaped before the
+# others introduce new '%' signs), and the control characters 0x01-0x1F and
+# 0x7F (DEL).
 PRINTABLE_ESCAPED = "%\"#'*/:=?\\{[]^"
+CONTROL_CHARS = [chr(c) for c in range(0x01, 0x20)] + [chr(0x7F)]
 CONTROL_CHAR_CLASS = "[\\x01-\\x1F\\x7F]"
 
-_CODES = {ch: f"%{ord(ch):02X}" for ch in PRINTABLE_ESCAPED}
-# A '%' that starts none of the printable escapes (a control character, a
-# lower-case code, a lone '%') sends a value to the general decoder.
-_UNUSUAL_PERCENT = "%(?!(?:" + "|".join(c[1:] for c in _CODES.values()) + "))"
+
+def _code(ch: str) -> str:
+    return f"%{ord(ch):02X}"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _chars(s: Column) -> Column:
-    # '.' with DOTALL matches one whole code point, newlines included.
-    return F.regexp_extract_all(s, F.lit("(?s)."), 0)
-
-
-def _replace_chain(v: Column, pairs) -> Column:
-    for old, new in pairs:
-        v = F.replace(v, F.lit(old), F.lit(new))
+def _replace_chain(v: Column, chars) -> Column:
+    for ch in chars:
+        v = F.replace(v, F.lit(ch), F.lit(_code(ch)))
     return v
 
 
 def escape_path_value(value: Column | str) -> Column:
     """Escape one partition value (already a string) for a spec/path.
-
-    The usual case is a chain of ``replace`` calls (code-generated); only a
-    value holding a control character takes the per-character rewrite."""
+    NULL and the empty string become the default partition name."""
     v = _col(value)
-    escaped = F.array_join(
-        F.transform(
-            _chars(v),
-            lambda ch: F.when(ch.rlike(ESCAPED_CHAR_CLASS), F.concat(F.lit("%"), F.hex(ch))).otherwise(ch),
-        ),
-        "",
-    )
-    # Most values hold nothing to escape: the per-character rewrite only
-    # runs for those that do.
-    return (
-        F.when(v.isNull() | (v == ""), F.lit(DEFAULT_PARTITION))
-        .when(v.rlike(CONTROL_CHAR_CLASS), escaped)
-        .otherwise(_replace_chain(v, _CODES.items()))
+    # '%' first; the control-character chain only runs for values that hold
+    # one; then the rest of the printable characters.  Each chain appears
+    # once in the expression, which keeps the generated code small.
+    percent = _replace_chain(v, PRINTABLE_ESCAPED[0])
+    controls = F.when(v.rlike(CONTROL_CHAR_CLASS), _replace_chain(percent, CONTROL_CHARS)).otherwise(percent)
+    return F.when(v.isNull() | (v == ""), F.lit(DEFAULT_PARTITION)).otherwise(
+        _replace_chain(controls, PRINTABLE_ESCAPED[1:])
     )
 
 
 def unescape_path_value(raw: Column | str) -> Column:
-    """Inverse of :func:`escape_path_value`: ``%XX`` -> character, a lone
-    ``%`` kept as is, the default partition name -> NULL.
+    """Inverse of :func:`escape_path_value`: ``%XX`` -> character, a ``%``
+    that starts no code kept as is, the default partition name -> NULL.
 
-    ``url_decode`` is not used: it turns ``+`` into a space and fails on a
-    ``%`` that starts no escape.
+    ``url_decode`` does the decoding; beforehand ``+`` is protected (the
+    decoder would read it as a space) and a lone ``%`` is written as
+    ``%25`` (the decoder would reject it).
     """
     r = _col(raw)
-    pieces = F.split(r, "%", -1)
-    decoded = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when(i == 0, p)
-            .when(
-                p.rlike("^[0-9A-Fa-f]{2}"),
-                F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("bigint")), F.substring(p, 3, 1 << 30)),
-            )
-            .otherwise(F.concat(F.lit("%"), p)),
-        ),
-        "",
-    )
-    # '%25' is decoded last so that an escaped '%' cannot form new codes.
-    common = _replace_chain(r, [(code, ch) for ch, code in _CODES.items() if ch != "%"] + [("%25", "%")])
+    protected = F.regexp_replace(F.replace(r, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
     return (
         F.when(r == DEFAULT_PARTITION, F.lit(None).cast("string"))
         .when(F.instr(r, "%") == 0, r)
-        .when(r.rlike(_UNUSUAL_PERCENT), decoded)
-        .otherwise(common)
+        .otherwise(F.url_decode(protected))
     )
 
 
@@ -116,9 +92,13 @@ def partition_spec(*pairs: tuple[str, Column | str]) -> Column:
     return F.concat(*parts)
 
 
+# A segment is the text between slashes; only segments holding '=' count
+# (a blank or '='-less segment is skipped).
+_SEGMENT = "(?:^|/)([^/]*=[^/]*)"
+
+
 def _segments(spec: Column) -> Column:
-    # Segments that are blank or hold no '=' are skipped.
-    return F.filter(F.split(spec, "/", -1), lambda s: (F.trim(s) != "") & (F.instr(s, "=") > 0))
+    return F.regexp_extract_all(spec, F.lit(_SEGMENT), 1)
 
 
 def spec_keys(spec: Column | str) -> Column:
@@ -138,8 +118,8 @@ def partition_spec_values(
     keep_spec: bool = False,
 ) -> DataFrame:
     """One row per (spec, segment): the other columns of ``df`` plus the
-    1-based position, key and unescaped value.  Runs as a narrow
-    transformation: no shuffle, any number of specs."""
+    1-based position, key and unescaped value.  Runs as a narrow,
+    code-generated transformation: no shuffle, any number of specs."""
     seg = F.col("__seg")
     others = [f"`{c}`" for c in df.columns if keep_spec or c != spec_col]
     exploded = df.select(*others, F.posexplode(_segments(F.col(f"`{spec_col}`"))).alias("__pos", "__seg"))

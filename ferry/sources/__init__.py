@@ -11,11 +11,19 @@ from ferry.sources.catalog import (
     table_exists,
     table_location,
 )
-from ferry.sources.partitions import Detection, describe_rows, partition_columns, schema_partition_columns
+from ferry.sources.partitions import (
+    Detection,
+    describe_rows,
+    detect_partitions,
+    partition_columns,
+    partition_listing,
+    schema_partition_columns,
+)
 
 __all__ = [
     "Detection",
     "describe_rows",
+    "detect_partitions",
     "ensure_namespace",
     "list_source_tables",
     "missing_tables",
@@ -23,6 +31,7 @@ __all__ = [
     "normalize_listing",
     "parse_include",
     "partition_columns",
+    "partition_listing",
     "schema_partition_columns",
     "table_exists",
     "table_location",

@@ -227,6 +227,19 @@ def partition_columns(
     return detect_partitions(spark, [name], probes=probes, trust_session_catalog=trust_session_catalog)[name]
 
 
+def partition_listing(spark: SparkSession, name: str) -> DataFrame:
+    """Every partition of a table as ``(partition, pos, key, value)`` rows:
+    ``SHOW PARTITIONS`` parsed by :func:`partition_spec_values` (values
+    unescaped, the default partition as NULL).  Spark materializes the
+    listing on the driver; the parse itself is a projection."""
+    split_fqn(name)
+    listing = spark.sql(f"SHOW PARTITIONS {name}")
+    spec = listing.select(_spec_column(listing).alias("partition"))
+    from ferry.functions.partition_spec import partition_spec_values
+
+    return partition_spec_values(spec, "partition", keep_spec=True)
+
+
 def schema_partition_columns(
     spark: SparkSession, catalog: str, schema: str, tables: list[str] | None = None
 ) -> DataFrame:
