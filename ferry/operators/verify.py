@@ -1,7 +1,7 @@
 """Data checks of a migrated table against its source.
 
 Each side is read once and reduced to one row per partition value:
-``(partition values..., row count, content hash)``.  Both reductions use
+``(partition values..., row count, content-hash slice sums)``.  Both reductions use
 partial (map-side) aggregation, so only one small row per partition and task
 is shuffled, whatever the table size.  The two per-partition results are
 full-outer-joined on null-safe keys (a NULL partition is a partition) and
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.functions.hashing import HASH_INPUT_TYPE, row_hash
+from ferry.functions.hashing import SLICES, combine_slices, content_hash_aggs
 from ferry.functions.identifiers import split_fqn
 from ferry.sources.partitions import partition_columns
 
@@ -38,9 +38,14 @@ def _resolve(df: DataFrame, names: list[str]) -> list[str] | None:
 
 
 def _per_partition(df: DataFrame, pcols: list[str], hash_cols: list[str] | None) -> DataFrame:
+    """``(k0.., n, h0..h3)``: rows and hash slice sums per partition value.
+    Without ``hash_cols`` (columns differ) the hash sums are NULL."""
     keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(pcols)] or [F.lit(0).alias("k0")]
-    h = row_hash(df, hash_cols).cast(HASH_INPUT_TYPE) if hash_cols is not None else F.lit(None).cast(HASH_INPUT_TYPE)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"))
+    if hash_cols is not None:
+        hashes = content_hash_aggs(df, hash_cols, "h")
+    else:
+        hashes = [F.lit(None).cast("bigint").alias(f"h{i}") for i in range(SLICES)]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *hashes)
 
 
 def compare_tables(
@@ -65,35 +70,39 @@ def compare_tables(
     s = _per_partition(src, group_src, src_names).select(
         *[F.col(f"k{i}").alias(f"s{i}") for i in range(max(1, len(group_src)))],
         F.col("n").alias("sn"),
-        F.col("h").alias("sh"),
+        *[F.col(f"h{j}").alias(f"sh{j}") for j in range(SLICES)],
     )
     t = _per_partition(tgt, group_tgt, tgt_names if same_columns else None).select(
         *[F.col(f"k{i}").alias(f"t{i}") for i in range(max(1, len(group_tgt)))],
         F.col("n").alias("tn"),
-        F.col("h").alias("th"),
+        *[F.col(f"h{j}").alias(f"th{j}") for j in range(SLICES)],
     )
     cond = None
     for i in range(max(1, len(group_src))):
         c = F.col(f"s{i}").eqNullSafe(F.col(f"t{i}"))
         cond = c if cond is None else cond & c
     joined = s.join(t, cond, "full_outer")
-    differs = ~(F.col("sn").eqNullSafe(F.col("tn")) & F.col("sh").eqNullSafe(F.col("th")))
+    same = F.col("sn").eqNullSafe(F.col("tn"))
+    for j in range(SLICES):
+        same = same & F.col(f"sh{j}").eqNullSafe(F.col(f"th{j}"))
     row = joined.agg(
         F.coalesce(F.sum("sn"), F.lit(0)).alias("src_rows"),
         F.coalesce(F.sum("tn"), F.lit(0)).alias("tgt_rows"),
-        F.sum("sh").alias("src_hash"),
-        F.sum("th").alias("tgt_hash"),
+        *[F.sum(f"sh{j}").alias(f"sh{j}") for j in range(SLICES)],
+        *[F.sum(f"th{j}").alias(f"th{j}") for j in range(SLICES)],
         F.count("sn").alias("src_parts"),
         F.count("tn").alias("tgt_parts"),
-        F.count_if(differs).alias("mismatched"),
+        F.count_if(~same).alias("mismatched"),
     ).collect()[0]
+    src_hash = combine_slices([row[f"sh{j}"] for j in range(SLICES)])
+    tgt_hash = combine_slices([row[f"th{j}"] for j in range(SLICES)])
     return {
         "source_columns": ",".join(sorted(c.lower() for c in src_names)),
         "target_columns": ",".join(sorted(c.lower() for c in tgt.columns)),
         "src_rows": row.src_rows,
         "tgt_rows": row.tgt_rows,
-        "src_hash": row.src_hash,
-        "tgt_hash": row.tgt_hash,
+        "src_hash": src_hash,
+        "tgt_hash": tgt_hash,
         "source_partition_cols": ",".join(src_parts),
         "target_partition_cols": ",".join(tgt_parts),
         "src_parts": row.src_parts if src_parts else 0,
