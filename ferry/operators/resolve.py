@@ -35,14 +35,15 @@ def resolve_partition_columns(
     empty = F.size(cols) == 0
     best = candidates.groupBy(table_col).agg(
         F.min_by(
-            F.struct(F.col(found_by_col).alias("found_by"), distinct_names(cols).alias("cols")),
+            F.struct(F.col(found_by_col).alias("found_by"), cols.alias("cols")),
             F.struct(empty.alias("empty"), F.col(priority_col).alias("priority")),
         ).alias("best")
     )
+    # Repeats are dropped from the winning list only, after the shuffle.
     chosen = best.select(
         F.col(table_col),
         F.when(F.size("best.cols") > 0, F.col("best.found_by")).alias("found_by"),
-        F.col("best.cols").alias("cols"),
+        distinct_names(F.col("best.cols")).alias("cols"),
     )
     return chosen.select(
         F.col(table_col),

@@ -14,6 +14,7 @@ scale factor.
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -134,19 +135,22 @@ def build_source_schema(spark: SparkSession, sf_dir: str, schema: str, catalog:
 
 
 _BUILT: dict[tuple[str, str], str] = {}
+_BUILD_LOCK = threading.Lock()
 
 
 def source_schema_for(spark: SparkSession, sf_dir: str) -> str:
     """The source namespace for ``sf_dir`` in this application, built on
-    first use with a fresh run id (so leftovers of other runs never clash)."""
+    first use with a fresh run id (so leftovers of other runs never clash).
+    Callers on several threads share one build."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    schema = _BUILT.get(key)
-    if schema is not None and spark.catalog.tableExists(f"spark_catalog.{schema}.typed"):
+    with _BUILD_LOCK:
+        schema = _BUILT.get(key)
+        if schema is not None and spark.catalog.tableExists(f"spark_catalog.{schema}.typed"):
+            return schema
+        schema = f"ferry_src_{sf_tag(sf_dir)}_{uuid.uuid4().hex[:8]}"
+        build_source_schema(spark, sf_dir, schema)
+        _BUILT[key] = schema
         return schema
-    schema = f"ferry_src_{sf_tag(sf_dir)}_{uuid.uuid4().hex[:8]}"
-    build_source_schema(spark, sf_dir, schema)
-    _BUILT[key] = schema
-    return schema
 
 
 def fresh_schema(spark: SparkSession, label: str) -> str:
