@@ -24,7 +24,7 @@ from ferry.functions.partition_spec import partition_spec_values
 from ferry.operators.migrate import migrate_table
 from ferry.operators.resolve import resolve_partition_columns
 from ferry.operators.schema import migrate_schema, plan_migration
-from ferry.operators.verify import partition_row_counts, verify_migration
+from ferry.operators.verify import partition_row_counts, verify_schema
 from ferry.sources.catalog import list_source_tables
 from ferry.sources.dumps import (
     customer_candidates,
@@ -166,12 +166,10 @@ def q_resolve_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_verify_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _src(spark, sf_dir)
     tgt = fresh_schema(spark, "verify")
-    out = None
-    for t in _VERIFIED:
-        migrate_table(spark, f"{CAT}.{src}.{t}", f"{CAT}.{tgt}.{t}")
-        rep = verify_migration(spark, f"{CAT}.{src}.{t}", f"{CAT}.{tgt}.{t}", table_name=t)
-        out = rep if out is None else out.unionByName(rep)
-    return out.select("table_name", "check_name", "ok")
+    tables = list(_VERIFIED)
+    migrate_schema(spark, CAT, src, CAT, tgt, tables=tables, verify="none", parallelism=len(tables)).collect()
+    report = verify_schema(spark, CAT, src, CAT, tgt, tables=tables, parallelism=len(tables))
+    return report.select("table_name", "check_name", "ok")
 
 
 def q_partition_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ferry.operators import (
     plan_migration,
     resolve_partition_columns,
     verify_migration,
+    verify_schema,
 )
 from ferry.sources import list_source_tables, partition_columns, schema_partition_columns
 
@@ -34,4 +35,5 @@ __all__ = [
     "resolve_partition_columns",
     "schema_partition_columns",
     "verify_migration",
+    "verify_schema",
 ]

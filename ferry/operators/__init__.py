@@ -3,7 +3,7 @@
 from ferry.operators.migrate import MigrationError, MigrationResult, migrate_table
 from ferry.operators.resolve import resolve_partition_columns
 from ferry.operators.schema import failure_count, migrate_schema, plan_migration
-from ferry.operators.verify import compare_tables, partition_row_counts, verify_migration
+from ferry.operators.verify import compare_tables, partition_row_counts, verify_migration, verify_schema
 
 __all__ = [
     "MigrationError",
@@ -16,4 +16,5 @@ __all__ = [
     "plan_migration",
     "resolve_partition_columns",
     "verify_migration",
+    "verify_schema",
 ]

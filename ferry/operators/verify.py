@@ -160,3 +160,38 @@ def partition_row_counts(spark: SparkSession, table: str, partition_cols: list[s
     cols = list(partition_cols) if partition_cols is not None else partition_columns(spark, table).columns
     df = spark.table(table)
     return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def verify_schema(
+    spark: SparkSession,
+    source_catalog: str,
+    source_schema: str,
+    target_catalog: str,
+    target_schema: str | None = None,
+    tables: list[str] | None = None,
+    *,
+    parallelism: int = 1,
+) -> DataFrame:
+    """:func:`verify_migration` for every table of a namespace (or the given
+    ones), as one report.  Tables are independent jobs; ``parallelism > 1``
+    runs that many comparisons at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ferry.functions.identifiers import safe_ident
+    from ferry.sources.catalog import list_source_tables
+
+    target_schema = target_schema or source_schema
+    if tables is None:
+        tables = sorted(r.table_name for r in list_source_tables(spark, source_catalog, source_schema).collect())
+    src_ns = f"{safe_ident(source_catalog)}.{safe_ident(source_schema)}"
+    tgt_ns = f"{safe_ident(target_catalog)}.{safe_ident(target_schema)}"
+
+    def one(t: str) -> list[tuple]:
+        return verify_rows(t, compare_tables(spark, f"{src_ns}.{safe_ident(t)}", f"{tgt_ns}.{safe_ident(t)}"))
+
+    if parallelism > 1 and len(tables) > 1:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            parts = list(pool.map(one, tables))
+    else:
+        parts = [one(t) for t in tables]
+    return spark.createDataFrame([r for p in parts for r in p], REPORT_SCHEMA)

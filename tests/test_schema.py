@@ -126,3 +126,14 @@ def test_cli_exit_codes(spark, src, tgt, capsys):
     assert cli_main(base + ["--tables", "ghost"], spark=spark) == 1
     out = capsys.readouterr().out
     assert "[skipped] nation" in out and "[failed] broken_v" in out
+
+
+def test_verify_schema_reports_every_table(spark, src, tgt):
+    from ferry.operators.verify import verify_schema
+
+    migrate_schema(spark, C, src, C, tgt, tables=["orders", "nation", "typed"], parallelism=3)
+    spark.sql(f"INSERT INTO {C}.{tgt}.nation SELECT * FROM {C}.{src}.nation LIMIT 1")  # one extra row
+    rep = verify_schema(spark, C, src, C, tgt, tables=["nation", "orders", "typed"], parallelism=3).collect()
+    bad = {(r.table_name, r.check_name) for r in rep if not r.ok}
+    assert bad == {("nation", "row_count"), ("nation", "content_hash"), ("nation", "partition_mismatches")}
+    assert len(rep) == 18
