@@ -167,7 +167,8 @@ def migrate_table(
         plan = WritePlan(source, target, provider, cols, dist)
         spark.sql(plan.sql())
         if verify:
-            _verify_or_raise(spark, source, target, cols, drop_on_failure=False)
+            # Nothing stood here before: a copy that fails its check is removed.
+            _verify_or_raise(spark, source, target, cols, drop_on_failure=True)
         return MigrationResult(src_t, source, target, "create", cols, found_by, "ok", dist, plan.sql(), notes)
 
     if tgt_c.lower() != SESSION_CATALOG or provider.lower() not in PATH_PROVIDERS:

@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ferry.operators.migrate import MigrationError, migrate_table
@@ -196,9 +198,6 @@ def test_partition_listing_of_a_migrated_table(spark, src, tgt):
     assert rows == {("p", None), ("p", "a/b:c+d"), ("p", "O")}
 
 
-from hypothesis import HealthCheck, given, settings  # noqa: E402
-from hypothesis import strategies as st  # noqa: E402
-
 VALUE_CHARS = st.sampled_from(list("ab/=:+%{ }é😀#?'-_.0"))
 
 
@@ -216,3 +215,25 @@ def test_partition_values_survive_a_migration(spark, values):
     migrate_table(spark, f"{C}.{ns}.s", f"{C}.{ns}.t")
     assert same_rows(spark.table(f"{C}.{ns}.s"), spark.table(f"{C}.{ns}.t"))
     assert {r.p for r in spark.table(f"{C}.{ns}.t").collect()} == set(values)
+
+
+def test_hot_partition_is_split_by_the_rebalance(spark, tgt):
+    """One value holding most rows is written by several tasks (AQE splits
+    the skewed rebalance partition), never funnelled through one."""
+    ns = tgt
+    spark.sql(
+        f"CREATE TABLE {C}.{ns}.skewed USING orc AS SELECT id, "
+        "CASE WHEN id % 10 < 6 THEN 'hot' ELSE CAST(id % 10 AS STRING) END AS p, "
+        "repeat('x', 200) AS pad FROM range(200000)"
+    )
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        res = migrate_table(spark, f"{C}.{ns}.skewed", f"{C}.{ns}.skewed_t", partition_cols=["p"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert res.distribution == "rebalance"
+    loc = table_location(spark, f"{C}.{ns}.skewed_t").replace("file:", "")
+    files = {d: [f for f in os.listdir(os.path.join(loc, d)) if f.endswith(".parquet")] for d in os.listdir(loc) if d.startswith("p=")}
+    assert len(files["p=hot"]) > 1, files
+    assert same_rows(spark.table(f"{C}.{ns}.skewed"), spark.table(f"{C}.{ns}.skewed_t"))

@@ -137,3 +137,11 @@ def test_verify_schema_reports_every_table(spark, src, tgt):
     bad = {(r.table_name, r.check_name) for r in rep if not r.ok}
     assert bad == {("nation", "row_count"), ("nation", "content_hash"), ("nation", "partition_mismatches")}
     assert len(rep) == 18
+
+
+def test_session_catalog_and_namespace_unchanged(spark, src, tgt):
+    before = (spark.catalog.currentCatalog(), spark.catalog.currentDatabase())
+    plan_migration(spark, C, src, C, tgt).collect()
+    migrate_schema(spark, C, src, C, tgt, tables=["region", "orders_empty"], continue_on_error=True)
+    schema_partition_columns(spark, C, src).collect()
+    assert (spark.catalog.currentCatalog(), spark.catalog.currentDatabase()) == before
