@@ -231,12 +231,14 @@ def _overwrite_by_swap(
     try:
         spark.sql(plan.sql())
     except Exception:
-        # The old target was not touched; remove the partial new version.
+        # The old target was not touched; remove the partial new version and
+        # surface the copy's own error (a failing cleanup must not hide it).
         try:
             spark.sql(f"DROP TABLE IF EXISTS {staging}")
             _hadoop_delete(spark, location)
-        finally:
-            raise
+        except Exception:
+            pass
+        raise
     if verify:
         _verify_or_raise(spark, source, staging, cols, drop_on_failure=True)
 

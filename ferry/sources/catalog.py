@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ferry.functions.fields import first_present
 from ferry.functions.identifiers import safe_ident, split_fqn
@@ -56,8 +55,8 @@ def list_source_tables(
     try:
         views = normalize_listing(spark.sql(f"SHOW VIEWS IN {ns}")).where(~F.col("is_temporary"))
         view_names = views.select(F.col("table_name").alias("view_name"), F.lit(True).alias("is_view"))
-    except AnalysisException:
-        # Catalogs without view support list no views.
+    except Exception:
+        # Catalogs without view support (any error kind) list no views.
         view_names = spark.createDataFrame([], "view_name string, is_view boolean")
     out = listing.join(view_names, listing.table_name == view_names.view_name, "left").select(
         F.lit(ns).alias("namespace"),
