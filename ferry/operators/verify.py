@@ -38,9 +38,17 @@ def _resolve(df: DataFrame, names: list[str]) -> list[str] | None:
 
 
 def _per_partition(df: DataFrame, pcols: list[str], hash_cols: list[str] | None) -> DataFrame:
-    """``(k0.., n, h0..h3)``: rows and hash slice sums per partition value.
-    Without ``hash_cols`` (columns differ) the hash sums are NULL."""
-    keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(pcols)] or [F.lit(0).alias("k0")]
+    """``(k0, z0, .., n, h0..h3)``: rows and hash slice sums per partition
+    value.  Each partition column becomes two never-NULL keys, its value as
+    text (``k``) and a NULL flag (``z``), so that the later join is a plain
+    equi-join on exactly the grouping keys and reuses their partitioning
+    (no second shuffle).  Without ``hash_cols`` the hash sums are NULL."""
+    keys = []
+    for i, c in enumerate(pcols):
+        col = F.col(f"`{c}`")
+        keys += [F.coalesce(col.cast("string"), F.lit("")).alias(f"k{i}"), col.isNull().alias(f"z{i}")]
+    if not keys:
+        keys = [F.lit("").alias("k0"), F.lit(False).alias("z0")]
     if hash_cols is not None:
         hashes = content_hash_aggs(df, hash_cols, "h")
     else:
@@ -67,21 +75,15 @@ def compare_tables(
     if group_tgt is None:  # the target lost a partition column entirely
         group_src, group_tgt = [], []
 
+    nkeys = max(1, len(group_src))
+    key_names = [n for i in range(nkeys) for n in (f"k{i}", f"z{i}")]
     s = _per_partition(src, group_src, src_names).select(
-        *[F.col(f"k{i}").alias(f"s{i}") for i in range(max(1, len(group_src)))],
-        F.col("n").alias("sn"),
-        *[F.col(f"h{j}").alias(f"sh{j}") for j in range(SLICES)],
+        *key_names, F.col("n").alias("sn"), *[F.col(f"h{j}").alias(f"sh{j}") for j in range(SLICES)]
     )
     t = _per_partition(tgt, group_tgt, tgt_names if same_columns else None).select(
-        *[F.col(f"k{i}").alias(f"t{i}") for i in range(max(1, len(group_tgt)))],
-        F.col("n").alias("tn"),
-        *[F.col(f"h{j}").alias(f"th{j}") for j in range(SLICES)],
+        *key_names, F.col("n").alias("tn"), *[F.col(f"h{j}").alias(f"th{j}") for j in range(SLICES)]
     )
-    cond = None
-    for i in range(max(1, len(group_src))):
-        c = F.col(f"s{i}").eqNullSafe(F.col(f"t{i}"))
-        cond = c if cond is None else cond & c
-    joined = s.join(t, cond, "full_outer")
+    joined = s.join(t, key_names, "full_outer")
     same = F.col("sn").eqNullSafe(F.col("tn"))
     for j in range(SLICES):
         same = same & F.col(f"sh{j}").eqNullSafe(F.col(f"th{j}"))
