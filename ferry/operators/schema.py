@@ -10,10 +10,9 @@ otherwise the error propagates, as the first failure ends the batch.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ferry.concurrency import map_concurrently
 from ferry.functions.identifiers import UnsafeIdentifier, is_safe_ident, safe_ident
 from ferry.operators.migrate import MigrationError, migrate_table
 from ferry.sources.catalog import ensure_namespace, list_source_tables, missing_tables, table_exists
@@ -65,7 +64,7 @@ def plan_migration(
     dets = _detect(spark, source_catalog, source_schema, names)
     tgt_ns = f"{safe_ident(target_catalog)}.{safe_ident(target_schema)}"
     safe = [t for t in names if is_safe_ident(t)]
-    existing = {t for t, e in per_table(lambda t: table_exists(spark, f"{tgt_ns}.{t}"), safe) if e is True}
+    existing = {t for t, e in per_table(lambda t: table_exists(spark, f"{tgt_ns}.{t}"), safe, spark) if e is True}
     rows = []
     for t in names:
         if not is_safe_ident(t):
@@ -159,11 +158,7 @@ def migrate_schema(
         ensure_namespace(spark, target_catalog, target_schema)
     args = (spark, source_catalog, source_schema, target_catalog, target_schema)
     opts = (provider, if_exists, verify, continue_on_error)
-    if parallelism > 1 and len(names) > 1:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            rows = list(pool.map(lambda t: _one(*args, t, *opts, dets.get(t)), names))
-    else:
-        rows = [_one(*args, t, *opts, dets.get(t)) for t in names]
+    rows = map_concurrently(lambda t: _one(*args, t, *opts, dets.get(t)), names, parallelism, spark)
     rows.extend((m, "not_found", None, None, None, "not_found", "not in the source namespace") for m in missing)
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 

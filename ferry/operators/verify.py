@@ -177,8 +177,7 @@ def verify_schema(
     """:func:`verify_migration` for every table of a namespace (or the given
     ones), as one report.  Tables are independent jobs; ``parallelism > 1``
     runs that many comparisons at once."""
-    from concurrent.futures import ThreadPoolExecutor
-
+    from ferry.concurrency import map_concurrently
     from ferry.functions.identifiers import safe_ident
     from ferry.sources.catalog import list_source_tables
 
@@ -191,9 +190,5 @@ def verify_schema(
     def one(t: str) -> list[tuple]:
         return verify_rows(t, compare_tables(spark, f"{src_ns}.{safe_ident(t)}", f"{tgt_ns}.{safe_ident(t)}"))
 
-    if parallelism > 1 and len(tables) > 1:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            parts = list(pool.map(one, tables))
-    else:
-        parts = [one(t) for t in tables]
+    parts = map_concurrently(one, tables, parallelism, spark)
     return spark.createDataFrame([r for p in parts for r in p], REPORT_SCHEMA)

@@ -23,13 +23,13 @@ session's current catalog and namespace are never changed.
 from __future__ import annotations
 
 import re
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ferry.concurrency import map_concurrently
 from ferry.functions.ddl import ddl_partition_columns
 from ferry.functions.describe import PARTITION_HEADER, described_partition_columns
 from ferry.functions.fields import ddl_text, first_present
@@ -76,7 +76,7 @@ def _spec_column(df: DataFrame):
 METADATA_THREADS = 8
 
 
-def per_table(fn, names: list[str]) -> list:
+def per_table(fn, names: list[str], spark=None) -> list:
     """``[(name, result or exception)]`` of ``fn(name)`` for each name."""
 
     def call(n):
@@ -85,15 +85,12 @@ def per_table(fn, names: list[str]) -> list:
         except Exception as e:
             return n, e
 
-    if len(names) <= 1:
-        return [call(n) for n in names]
-    with ThreadPoolExecutor(max_workers=min(METADATA_THREADS, len(names))) as pool:
-        return list(pool.map(call, names))
+    return map_concurrently(call, names, METADATA_THREADS, spark)
 
 
 def _catalog(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
     out = {}
-    for n, res in per_table(lambda n: list(spark.catalog.listColumns(n)), names):
+    for n, res in per_table(lambda n: list(spark.catalog.listColumns(n)), names, spark):
         if isinstance(res, Exception):
             notes[n].append(f"catalog: {_first_line(res)}")
         else:
@@ -112,7 +109,7 @@ def _show_partitions(spark: SparkSession, names: list[str], notes: dict) -> dict
         return row[0].s if row else None
 
     specs = []
-    for n, res in per_table(first_spec, names):
+    for n, res in per_table(first_spec, names, spark):
         if isinstance(res, Exception):
             notes[n].append(f"show_partitions: {_first_line(res)}")
         elif res:
@@ -133,7 +130,7 @@ def _show_create(spark: SparkSession, names: list[str], notes: dict) -> dict[str
         return row[0].ddl if row else None
 
     ddls = []
-    for n, res in per_table(ddl_of, names):
+    for n, res in per_table(ddl_of, names, spark):
         if isinstance(res, Exception):
             notes[n].append(f"show_create: {_first_line(res)}")
         # Text without the keyword has nothing to parse (views, flat tables).
@@ -160,7 +157,7 @@ DESCRIBE_SCHEMA = "table_name string, pos int, col_name string, data_type string
 
 def _describe(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
     rows = []
-    for n, listed in per_table(lambda n: describe_rows(spark, n), names):
+    for n, listed in per_table(lambda n: describe_rows(spark, n), names, spark):
         if isinstance(listed, Exception):
             notes[n].append(f"describe: {_first_line(listed)}")
         # Only listings with a partition section need the section scan.

@@ -97,7 +97,7 @@ def main(argv):
     )
     step(
         "DDL parsing (one CREATE TABLE text per part)",
-        "A single stage, no shuffle; the fold is a higher-order function, so this projection is interpreted.",
+        "A single stage, no shuffle. The dump projection is code-generated; the fold (a higher-order function) runs in the Generate node, outside code generation.",
         lambda: ddl_partition_columns_job(spark, sf_dir, part_ddl_dump, ddl_partition_columns),
     )
     step(

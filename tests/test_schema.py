@@ -145,3 +145,13 @@ def test_session_catalog_and_namespace_unchanged(spark, src, tgt):
     migrate_schema(spark, C, src, C, tgt, tables=["region", "orders_empty"], continue_on_error=True)
     schema_partition_columns(spark, C, src).collect()
     assert (spark.catalog.currentCatalog(), spark.catalog.currentDatabase()) == before
+
+
+def test_concurrent_jobs_keep_the_callers_job_group(spark, src, tgt):
+    sc = spark.sparkContext
+    sc.setJobGroup("ferry-group-test", "ferry-group-test")
+    try:
+        migrate_schema(spark, C, src, C, tgt, tables=["nation", "region", "supplier"], parallelism=3)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("ferry-group-test")) >= 3
