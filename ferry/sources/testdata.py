@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ferry.concurrency import map_concurrently
 from ferry.functions.identifiers import safe_ident
 
 # Table names of the scale-factor directories.
@@ -96,21 +97,39 @@ def build_source_schema(spark: SparkSession, sf_dir: str, schema: str, catalog:
         part = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in cols)})" if cols else ""
         spark.sql(f"CREATE TABLE {ns}.`{name}` USING orc{part} AS {select}")
 
-    ctas("lineitem", f"SELECT * FROM {v}lineitem")
-    ctas("orders", f"SELECT * FROM {v}orders")
-    for t in ("customer", "nation", "region", "supplier", "part"):
-        ctas(t, f"SELECT * FROM {v}{t}")
-    ctas("events_d", f"SELECT *, to_date(ts) AS d FROM {v}events")
-    ctas("embeddings_l", f"SELECT * FROM {v}embeddings")
-    ctas(
-        "orders_n",
-        f"SELECT *, CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN '{SPECIAL_VALUE}' "
-        f"ELSE o_orderstatus END AS p FROM {v}orders",
-    )
-    ctas(
-        "orders_e",
-        f"SELECT *, CASE o_orderstatus WHEN 'P' THEN '' ELSE o_orderstatus END AS p FROM {v}orders",
-    )
+    statements = [
+        lambda: ctas("lineitem", f"SELECT * FROM {v}lineitem"),
+        lambda: ctas("orders", f"SELECT * FROM {v}orders"),
+        *[(lambda t=t: ctas(t, f"SELECT * FROM {v}{t}")) for t in ("customer", "nation", "region", "supplier", "part")],
+        lambda: ctas("events_d", f"SELECT *, to_date(ts) AS d FROM {v}events"),
+        lambda: ctas("embeddings_l", f"SELECT * FROM {v}embeddings"),
+        lambda: ctas(
+            "orders_n",
+            f"SELECT *, CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN '{SPECIAL_VALUE}' "
+            f"ELSE o_orderstatus END AS p FROM {v}orders",
+        ),
+        lambda: ctas(
+            "orders_e",
+            f"SELECT *, CASE o_orderstatus WHEN 'P' THEN '' ELSE o_orderstatus END AS p FROM {v}orders",
+        ),
+        lambda: _typed(spark, ns, v),
+        lambda: ctas("spaced", f"SELECT o_orderkey, o_totalprice, o_orderstatus AS `o status` FROM {v}orders"),
+        lambda: spark.sql(f"CREATE TABLE {ns}.gone USING orc AS SELECT * FROM {v}region"),
+    ]
+    # Independent copies run as concurrent jobs; the steps below depend on them.
+    map_concurrently(lambda f: f(), statements, 8, spark)
+    # CREATE TABLE LIKE takes two-part names only (session catalog).
+    spark.sql(f"CREATE TABLE {safe_ident(schema)}.orders_empty LIKE {safe_ident(schema)}.orders")
+    spark.sql(f"CREATE VIEW {ns}.nation_v AS SELECT * FROM {ns}.nation")
+    # A view whose base table is dropped: listed, but its copy fails.
+    spark.sql(f"CREATE VIEW {ns}.broken_v AS SELECT * FROM {ns}.gone")
+    spark.sql(f"DROP TABLE {ns}.gone")
+    # A temporary view: SHOW TABLES lists it, the migration must not.
+    spark.sql(f"CREATE OR REPLACE TEMP VIEW ferry_tmp_v AS SELECT * FROM {ns}.nation")
+    return ns
+
+
+def _typed(spark: SparkSession, ns: str, v: str) -> None:
     # CHAR/VARCHAR exist only as declared table types (a CAST in a query
     # yields STRING), so this table is declared first and then filled.
     spark.sql(
@@ -121,17 +140,6 @@ def build_source_schema(spark: SparkSession, sf_dir: str, schema: str, catalog:
         f"INSERT INTO {ns}.typed SELECT CAST(o_orderkey AS INT), o_orderpriority, o_orderstatus, "
         f"CAST(o_totalprice AS DECIMAL(12,2)), date_format(o_orderdate, 'yyyy'), month(o_orderdate) FROM {v}orders"
     )
-    # CREATE TABLE LIKE takes two-part names only (session catalog).
-    spark.sql(f"CREATE TABLE {safe_ident(schema)}.orders_empty LIKE {safe_ident(schema)}.orders")
-    spark.sql(f"CREATE VIEW {ns}.nation_v AS SELECT * FROM {ns}.nation")
-    ctas("spaced", f"SELECT o_orderkey, o_totalprice, o_orderstatus AS `o status` FROM {v}orders")
-    # A view whose base table is dropped: listed, but its copy fails.
-    spark.sql(f"CREATE TABLE {ns}.gone USING orc AS SELECT * FROM {v}region")
-    spark.sql(f"CREATE VIEW {ns}.broken_v AS SELECT * FROM {ns}.gone")
-    spark.sql(f"DROP TABLE {ns}.gone")
-    # A temporary view: SHOW TABLES lists it, the migration must not.
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW ferry_tmp_v AS SELECT * FROM {ns}.nation")
-    return ns
 
 
 _BUILT: dict[tuple[str, str], str] = {}
