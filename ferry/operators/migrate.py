@@ -17,6 +17,7 @@ REPLACE TABLE ... AS SELECT``) use that instead.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,10 +32,13 @@ from ferry.sources.catalog import (
     namespace_location,
     table_exists,
     table_location,
+    table_provider,
     table_type,
 )
 from ferry.sources.partitions import Detection, dedupe, partition_columns
 
+log = logging.getLogger("ferry")
+
 IF_EXISTS = ("overwrite", "skip", "error")
 SESSION_CATALOG = "spark_catalog"
 VERSION_MARK = "__v_"
@@ -91,6 +95,13 @@ def _check_empty_strings(spark: SparkSession, source: str, cols: list[str]) -> N
         )
 
 
+def _path_partitioned(spark: SparkSession, name: str) -> bool:
+    try:
+        return (table_provider(spark, name) or "") in PATH_PROVIDERS + ("hive",)
+    except Exception:
+        return False
+
+
 def _hadoop_delete(spark: SparkSession, location: str) -> bool:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(location)
@@ -147,24 +158,29 @@ def migrate_table(
 
     exists = table_exists(spark, target)
     if exists and if_exists == "skip":
+        log.info("[skip] %s: target exists", src_t)
         return MigrationResult(src_t, source, target, "skip", cols, found_by, "skipped", notes=notes)
     if exists and if_exists == "error":
         raise MigrationError(f"target {target} exists")
 
     if provider.lower() in PATH_PROVIDERS:
-        src_path_parts = {c.lower() for c in src_detect.columns}
         types = {f.name: f.dataType for f in src_df.schema.fields}
-        _check_empty_strings(
-            spark,
-            source,
-            [c for c in cols if isinstance(types[c], StringType) and c.lower() not in src_path_parts],
-        )
+        string_cols = [c for c in cols if isinstance(types[c], StringType)]
+        # A source that keeps partitions as directories cannot hold '' in
+        # its own partition columns (it already reads them as NULL); other
+        # sources (Iceberg, Delta, ...) can, so only then are those checked.
+        src_parts = {c.lower() for c in src_detect.columns}
+        if any(c.lower() in src_parts for c in string_cols) and not _path_partitioned(spark, source):
+            src_parts = set()
+        _check_empty_strings(spark, source, [c for c in string_cols if c.lower() not in src_parts])
 
     dist = choose_distribution(spark, distribution, src_detect.columns, cols)
     ensure_namespace(spark, tgt_c, tgt_s)
+    log.info("[migrate] %s: partitions=%s found_by=%s distribution=%s", src_t, cols or "(none)", found_by, dist)
 
     if not exists:
         plan = WritePlan(source, target, provider, cols, dist)
+        log.debug("%s", plan.sql())
         spark.sql(plan.sql())
         if verify:
             # Nothing stood here before: a copy that fails its check is removed.
@@ -174,6 +190,7 @@ def migrate_table(
     if tgt_c.lower() != SESSION_CATALOG or provider.lower() not in PATH_PROVIDERS:
         # Catalogs with transactional replace swap atomically.
         plan = WritePlan(source, target, provider, cols, dist, replace=True)
+        log.debug("%s", plan.sql())
         spark.sql(plan.sql())
         if verify:
             _verify_or_raise(spark, source, target, cols, drop_on_failure=False)
@@ -228,6 +245,7 @@ def _overwrite_by_swap(
     staging = f"{tgt_c}.{tgt_s}.{staging_t}"
 
     plan = WritePlan(source, staging, provider, cols, dist, location=location)
+    log.debug("%s", plan.sql())
     try:
         spark.sql(plan.sql())
     except Exception:

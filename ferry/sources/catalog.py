@@ -51,7 +51,16 @@ def list_source_tables(
     Columns: ``namespace, table_name, is_view``.
     """
     ns = namespace(catalog, schema)
-    listing = normalize_listing(spark.sql(f"SHOW TABLES IN {ns}")).where(~F.col("is_temporary"))
+    try:
+        shown = spark.sql(f"SHOW TABLES IN {ns}")
+    except Exception:
+        # Fallback: the catalog API, namespace-qualified (no USE, so the
+        # session's current catalog and namespace stay as they are).
+        tables = spark.catalog.listTables(ns)
+        shown = spark.createDataFrame(
+            [(t.name, bool(t.isTemporary)) for t in tables], "tableName string, isTemporary boolean"
+        )
+    listing = normalize_listing(shown).where(~F.col("is_temporary"))
     try:
         views = normalize_listing(spark.sql(f"SHOW VIEWS IN {ns}")).where(~F.col("is_temporary"))
         view_names = views.select(F.col("table_name").alias("view_name"), F.lit(True).alias("is_view"))
@@ -129,3 +138,14 @@ def table_type(spark: SparkSession, name: str) -> str | None:
         if (d.get("col_name") or "").strip() == "Type":
             return (d.get("data_type") or "").strip().upper() or None
     return None
+
+
+def table_provider(spark: SparkSession, name: str) -> str | None:
+    """The table's provider (``orc``, ``parquet``, ``hive``, ``iceberg``...)
+    as ``DESCRIBE TABLE EXTENDED`` reports it, lower-cased."""
+    split_fqn(name)
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect():
+        d = r.asDict()
+        if (d.get("col_name") or "").strip() == "Provider":
+            return (d.get("data_type") or "").strip().lower() or None
+    return None
