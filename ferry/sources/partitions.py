@@ -2,7 +2,8 @@
 
 Four probes are tried in order and the first non-empty answer wins:
 
-1. ``catalog``          -- the ``isPartition`` flag of ``Catalog.listColumns``
+1. ``catalog``          -- the catalog's partition flag (``DESCRIBE ... AS JSON``,
+                           else ``Catalog.listColumns(...).isPartition``)
 2. ``show_partitions``  -- keys of a ``SHOW PARTITIONS`` spec
 3. ``show_create``      -- the ``PARTITIONED BY`` clause of ``SHOW CREATE TABLE``
 4. ``describe``         -- the partition section of ``DESCRIBE TABLE EXTENDED``
@@ -22,6 +23,7 @@ session's current catalog and namespace are never changed.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -88,13 +90,31 @@ def per_table(fn, names: list[str], spark=None) -> list:
     return map_concurrently(call, names, METADATA_THREADS, spark)
 
 
+def catalog_partition_flags(spark: SparkSession, name: str) -> list[str]:
+    """The catalog's own partition columns of a table.
+
+    Asked first as ``DESCRIBE TABLE EXTENDED ... AS JSON`` (one catalog
+    command, no Spark job); where that form is not available (v2 catalogs,
+    older Spark) through ``Catalog.listColumns(...).isPartition``, which
+    iterates a small dataset and costs a few tiny jobs per table.
+    """
+    try:
+        row = spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").head(1)
+        meta = json.loads(row[0][0]) if row else {}
+    except Exception:
+        meta = {}
+    if "columns" in meta:
+        return list(meta.get("partition_columns") or [])
+    return [c.name for c in spark.catalog.listColumns(name) if getattr(c, "isPartition", False)]
+
+
 def _catalog(spark: SparkSession, names: list[str], notes: dict) -> dict[str, list[str]]:
     out = {}
-    for n, res in per_table(lambda n: list(spark.catalog.listColumns(n)), names, spark):
+    for n, res in per_table(lambda n: catalog_partition_flags(spark, n), names, spark):
         if isinstance(res, Exception):
             notes[n].append(f"catalog: {_first_line(res)}")
         else:
-            out[n] = [c.name for c in res if getattr(c, "isPartition", False)]
+            out[n] = res
     return out
 
 
