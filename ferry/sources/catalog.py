@@ -19,9 +19,6 @@ from ferry.functions.identifiers import safe_ident, split_fqn
 TABLE_NAME_COLUMNS = ("tableName", "tablename", "table_name", "viewName", "name")
 TEMPORARY_COLUMNS = ("isTemporary", "istemporary", "is_temporary")
 
-LISTING_SCHEMA = "namespace string, table_name string, is_view boolean"
-
-
 def namespace(catalog: str, schema: str) -> str:
     return f"{safe_ident(catalog)}.{safe_ident(schema)}"
 

@@ -155,3 +155,14 @@ def test_concurrent_jobs_keep_the_callers_job_group(spark, src, tgt):
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(sc.statusTracker().getJobIdsForGroup("ferry-group-test")) >= 3
+
+
+def test_cli_verbose_logs_each_statement(spark, src, tgt, caplog):
+    import logging
+
+    base = ["--source-schema", src, "--target-catalog", C, "--target-schema", tgt, "--provider", "parquet"]
+    with caplog.at_level(logging.DEBUG, logger="ferry"):
+        assert cli_main(base + ["--tables", "orders", "-v"], spark=spark) == 0
+    text = caplog.text
+    assert "[migrate] orders: partitions=['o_orderstatus']" in text
+    assert f"CREATE TABLE {C}.{tgt}.orders" in text and "PARTITIONED BY (o_orderstatus)" in text
