@@ -1,6 +1,6 @@
 """Table-level operators: copy, batch migration, plan, checks."""
 
-from ferry.operators.migrate import MigrationError, MigrationResult, migrate_table
+from ferry.operators.migrate import MigrationError, MigrationResult, migrate_table, recover_swaps
 from ferry.operators.resolve import resolve_partition_columns
 from ferry.operators.schema import failure_count, migrate_schema, plan_migration
 from ferry.operators.verify import compare_tables, partition_row_counts, verify_migration, verify_schema
@@ -14,6 +14,7 @@ __all__ = [
     "migrate_table",
     "partition_row_counts",
     "plan_migration",
+    "recover_swaps",
     "resolve_partition_columns",
     "verify_migration",
     "verify_schema",

@@ -21,7 +21,7 @@ import logging
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -270,3 +270,42 @@ def _overwrite_by_swap(
     return MigrationResult(
         split_fqn(source)[2], source, target, "overwrite", cols, found_by, "ok", dist, plan.sql(), notes
     )
+
+
+RECOVERY_SCHEMA = "table_name string, staging_table string, action string"
+
+
+def recover_swaps(spark: SparkSession, catalog: str, schema: str) -> DataFrame:
+    """Clean up after overwrites that were interrupted (driver lost) in a
+    target namespace.  Run it when no migration into that namespace is
+    running.
+
+    A staging table ``<t>__stg_<run>`` whose target ``<t>`` is missing is a
+    swap that dropped the old target but never renamed the new copy (which
+    is complete: staging tables only exist after their CTAS succeeded), so
+    it is renamed into place (``completed``).  A staging table whose target
+    exists never reached its swap; it is dropped and its files removed
+    (``discarded``).  Returns one row per staging table found.
+    """
+    import re
+
+    from ferry.sources.catalog import list_source_tables
+
+    pattern = re.compile(rf"^(?P<t>[A-Za-z0-9_]+){STAGING_MARK}(?P<run>[0-9a-f]{{12}})$")
+    names = sorted(r.table_name for r in list_source_tables(spark, catalog, schema, include_views=False).collect())
+    rows = []
+    for name in names:
+        m = pattern.match(name)
+        if not m:
+            continue
+        t = m.group("t")
+        staging = f"{safe_ident(catalog)}.{safe_ident(schema)}.{name}"
+        target = f"{safe_ident(catalog)}.{safe_ident(schema)}.{t}"
+        if table_exists(spark, target):
+            _drop_and_purge(spark, staging)
+            rows.append((t, name, "discarded"))
+        else:
+            spark.sql(f"ALTER TABLE {staging} RENAME TO {safe_ident(schema)}.{t}")
+            rows.append((t, name, "completed"))
+        log.info("[recover] %s: %s %s", t, rows[-1][2], name)
+    return spark.createDataFrame(rows, RECOVERY_SCHEMA)

@@ -259,3 +259,28 @@ def test_verification_shuffles_once_per_side(spark, src, tgt):
     # two map stages (one per side), the join stage, the one-row result stage;
     # AQE may submit stages as separate jobs, so count across the group
     assert stages <= 4, stages
+
+
+def test_recover_interrupted_swaps(spark, src, tgt):
+    from ferry.operators.migrate import recover_swaps
+    from ferry.sources.catalog import namespace_location
+
+    root = namespace_location(spark, C, tgt).rstrip("/")
+    # a swap that dropped the old target but never renamed the new copy
+    spark.sql(
+        f"CREATE TABLE {C}.{tgt}.orders__stg_0123456789ab USING parquet PARTITIONED BY (o_orderstatus) "
+        f"LOCATION '{root}/orders__v_0123456789ab' AS SELECT * FROM {C}.{src}.orders"
+    )
+    # a copy that never reached its swap: the target is still there
+    spark.sql(f"CREATE TABLE {C}.{tgt}.nation USING parquet AS SELECT * FROM {C}.{src}.nation")
+    spark.sql(
+        f"CREATE TABLE {C}.{tgt}.nation__stg_ba9876543210 USING parquet "
+        f"LOCATION '{root}/nation__v_ba9876543210' AS SELECT * FROM {C}.{src}.nation"
+    )
+    rows = {r.table_name: r.action for r in recover_swaps(spark, C, tgt).collect()}
+    assert rows == {"orders": "completed", "nation": "discarded"}
+    assert same_rows(spark.table(f"{C}.{src}.orders"), spark.table(f"{C}.{tgt}.orders"))
+    assert partition_columns(spark, f"{C}.{tgt}.orders").columns == ["o_orderstatus"]
+    assert not os.path.exists(f"{root}/nation__v_ba9876543210".replace("file:", ""))
+    names = {r.tableName for r in spark.sql(f"SHOW TABLES IN {C}.{tgt}").collect()}
+    assert not any("__stg_" in n for n in names)
