@@ -1,9 +1,10 @@
 """Partition columns out of ``CREATE TABLE`` text, as Spark SQL expressions.
 
-The text after ``PARTITIONED BY`` is cut into tokens by one regular
-expression -- quoted strings, back-ticked names, brackets, commas and runs
-of anything else -- so a ``)`` or ``,`` inside a comment or a quoted name is
-part of a single token and never counts.  The built-in higher-order
+String literals (comments, table properties) are removed first, so text
+inside them can neither pose as the clause nor close it.  The text after
+``PARTITIONED BY`` is then cut into tokens by one regular expression --
+back-ticked names, brackets, commas and runs of anything else -- so a ``)``
+or ``,`` inside a quoted name is part of a single token and never counts.  The built-in higher-order
 function ``aggregate`` then folds the tokens, tracking parenthesis depth and
 angle-bracket depth (``struct<a:int,b:int>``) and splitting on top-level
 commas.  No UDF: the fold runs inside the executor JVM and scales with the
@@ -35,11 +36,26 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A back-ticked name (kept, group 1) or a quoted string literal (dropped).
+_NAME_OR_STRING = (
+    r"(`[^`]*+(?:``[^`]*+)*+`)"
+    r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+    r"|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+)
+
+
+def _without_strings(ddl: Column) -> Column:
+    """The DDL with its string literals (comments, properties) removed, so
+    that text inside them can neither look like the clause nor end it."""
+    return F.regexp_replace(ddl, _NAME_OR_STRING, "$1")
+
+
 def _clause_tail(ddl: Column) -> Column:
     """Text from the clause's opening parenthesis to the end, NULL if absent."""
-    start = F.regexp_instr(ddl, F.lit(CLAUSE_PREFIX))
-    prefix_len = F.length(F.regexp_extract(ddl, CLAUSE_PREFIX, 1))
-    return F.when(start > 0, F.substring(ddl, start + prefix_len, 1 << 30))
+    text = _without_strings(ddl)
+    start = F.regexp_instr(text, F.lit(CLAUSE_PREFIX))
+    prefix_len = F.length(F.regexp_extract(text, CLAUSE_PREFIX, 1))
+    return F.when(start > 0, F.substring(text, start + prefix_len, 1 << 30))
 
 
 def _fold(tail: Column, finish) -> Column:
@@ -73,8 +89,9 @@ def _fold(tail: Column, finish) -> Column:
 
 
 def partitioned_by_clause(ddl: Column | str) -> Column:
-    """Text inside ``PARTITIONED BY ( ... )`` with balanced brackets and
-    quotes respected; NULL when there is no clause or it is never closed."""
+    """Text inside ``PARTITIONED BY ( ... )`` with balanced brackets (string
+    literals such as comments left out); NULL when there is no clause or it
+    is never closed."""
     tail = _clause_tail(_col(ddl))
 
     def finish(acc: Column) -> Column:

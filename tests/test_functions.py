@@ -116,6 +116,9 @@ DDL_CASES = [
     ("CREATE TABLE t (x int) PARTITIONED BY (`a``b` int, c string COMMENT 'it\\'s (x', d int)", ["a`b", "c", "d"]),
     ("CREATE TABLE t (x int) PARTITIONED\n  BY\t(k map<string, array<int>>, `v`)", ["k", "v"]),
     ("CREATE TABLE t (x int) PARTITIONED BY (a int COMMENT \"p(, q\", b int)", ["a", "b"]),
+    ("CREATE TABLE t (x int COMMENT 'was partitioned by (day)') PARTITIONED BY (dt)", ["dt"]),
+    ("CREATE TABLE t (x int COMMENT 'not partitioned by (day), ok') USING orc", []),
+    ("CREATE TABLE t (`it's` int) PARTITIONED BY (`it's`, b)", ["it's", "b"]),
 ]
 
 
