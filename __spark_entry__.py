@@ -79,6 +79,11 @@ def q_migrate_array_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(_copy(spark, sf_dir, "embeddings_l", "arrays"))
 
 
+def q_migrate_text_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Whole documents, partitioned by language; one language holds most rows.
+    return spark.table(_copy(spark, sf_dir, "documents_l", "texts"))
+
+
 def q_migrate_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(_copy(spark, sf_dir, "typed", "typed"))
 
@@ -188,6 +193,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "migrate_null_partitions": q_migrate_null_partitions,
     "migrate_date_partitions": q_migrate_date_partitions,
     "migrate_array_column": q_migrate_array_column,
+    "migrate_text_partitioned": q_migrate_text_partitioned,
     "migrate_typed": q_migrate_typed,
     "migrate_overwrite": q_migrate_overwrite,
     "migrate_skip_existing": q_migrate_skip_existing,
@@ -222,7 +228,10 @@ _REPORT_ROW = (
 )
 
 _REPORT = [
+    ("benchmark", "", "benchmark"),
+    ("conversations_r", "role", "conversations"),
     ("customer", "", "customer"),
+    ("documents_l", "lang", "documents"),
     ("embeddings_l", "label", "embeddings"),
     ("events_d", "d", "events"),
     ("lineitem", "l_returnflag,l_linestatus", "lineitem"),
@@ -232,6 +241,8 @@ _REPORT = [
     ("orders_e", "", "orders"),
     ("orders_empty", "o_orderstatus", "orders WHERE false"),
     ("orders_n", "p", "orders"),
+    ("pages", "", "pages"),
+    ("labels", "", "labels"),
     ("part", "", "part"),
     ("region", "", "region"),
     ("supplier", "", "supplier"),
@@ -262,6 +273,7 @@ _ORACLE = {
     "migrate_null_partitions": f"SELECT *, {_ORDERS_N_P} AS p FROM orders",
     "migrate_date_partitions": "SELECT *, CAST(ts AS DATE) AS d FROM events",
     "migrate_array_column": "SELECT * FROM embeddings",
+    "migrate_text_partitioned": "SELECT * FROM documents",
     "migrate_typed": (
         "SELECT CAST(o_orderkey AS INTEGER) AS a, o_orderpriority AS v, rpad(o_orderstatus, 4, ' ') AS ch, "
         "CAST(o_totalprice AS DECIMAL(12,2)) AS amount, strftime(o_orderdate, '%Y') AS dt, "
@@ -276,8 +288,11 @@ _ORACLE = {
     ),
     "plan_migration": (
         "SELECT * FROM (VALUES "
+        "('benchmark', '', NULL, 'create'), "
         "('broken_v', '', NULL, 'create'), "
+        "('conversations_r', 'role', 'catalog', 'create'), "
         "('customer', '', NULL, 'create'), "
+        "('documents_l', 'lang', 'catalog', 'create'), "
         "('embeddings_l', 'label', 'catalog', 'create'), "
         "('events_d', 'd', 'catalog', 'create'), "
         "('lineitem', 'l_returnflag,l_linestatus', 'catalog', 'create'), "
@@ -287,6 +302,8 @@ _ORACLE = {
         "('orders_e', '', NULL, 'create'), "
         "('orders_empty', 'o_orderstatus', 'catalog', 'create'), "
         "('orders_n', 'p', 'catalog', 'create'), "
+        "('labels', '', NULL, 'create'), "
+        "('pages', '', NULL, 'create'), "
         "('part', '', NULL, 'create'), "
         "('region', '', NULL, 'create'), "
         "('spaced', 'o status', 'catalog', 'refuse'), "
@@ -296,6 +313,8 @@ _ORACLE = {
     ),
     "detect_partition_columns": (
         "SELECT * FROM (VALUES "
+        "('conversations_r', 1, 'role', 'catalog'), "
+        "('documents_l', 1, 'lang', 'catalog'), "
         "('embeddings_l', 1, 'label', 'catalog'), "
         "('events_d', 1, 'd', 'catalog'), "
         "('lineitem', 1, 'l_returnflag', 'catalog'), "
@@ -310,7 +329,8 @@ _ORACLE = {
     ),
     "list_source_tables": (
         "SELECT * FROM (VALUES "
-        "('broken_v', true), ('customer', false), ('embeddings_l', false), ('events_d', false), "
+        "('benchmark', false), ('broken_v', true), ('conversations_r', false), ('customer', false), "
+        "('documents_l', false), ('embeddings_l', false), ('events_d', false), ('labels', false), ('pages', false), "
         "('lineitem', false), ('nation', false), ('nation_v', true), ('orders', false), "
         "('orders_e', false), ('orders_empty', false), ('orders_n', false), ('part', false), "
         "('region', false), ('spaced', false), ('supplier', false), ('typed', false)"

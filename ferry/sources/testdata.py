@@ -5,6 +5,7 @@ one parquet file per table.  This module turns a scale-factor directory into
 a namespace of ORC tables that look like a partitioned warehouse schema:
 identity-partitioned tables, unpartitioned ones, a permanent view, a table
 with NULL and escaped partition values, date partitions, an array column,
+large text columns partitioned by a skewed value (documents by language),
 VARCHAR/CHAR/DECIMAL columns, an empty partitioned table, and tables that
 must fail (an unsafe partition column name, a view whose base table is
 gone).  Every table is derived from the given rows, so its size follows the
@@ -28,7 +29,10 @@ OTHER_TABLES = ("events", "documents", "embeddings", "pages", "benchmark", "labe
 
 # Tables that migrate cleanly, and those built to fail or be refused.
 GOOD_TABLES = (
+    "benchmark",
+    "conversations_r",
     "customer",
+    "documents_l",
     "embeddings_l",
     "events_d",
     "lineitem",
@@ -38,6 +42,8 @@ GOOD_TABLES = (
     "orders_e",
     "orders_empty",
     "orders_n",
+    "pages",
+    "labels",
     "part",
     "region",
     "supplier",
@@ -47,7 +53,12 @@ FAILING_TABLES = ("broken_v", "spaced")
 
 # Partition columns each source table is created with (empty: unpartitioned).
 SOURCE_PARTITIONS = {
+    "benchmark": [],
+    "conversations_r": ["role"],
     "customer": [],
+    "documents_l": ["lang"],
+    "labels": [],
+    "pages": [],
     "embeddings_l": ["label"],
     "events_d": ["d"],
     "lineitem": ["l_returnflag", "l_linestatus"],
@@ -100,7 +111,13 @@ def build_source_schema(spark: SparkSession, sf_dir: str, schema: str, catalog:
     statements = [
         lambda: ctas("lineitem", f"SELECT * FROM {v}lineitem"),
         lambda: ctas("orders", f"SELECT * FROM {v}orders"),
-        *[(lambda t=t: ctas(t, f"SELECT * FROM {v}{t}")) for t in ("customer", "nation", "region", "supplier", "part")],
+        *[
+            (lambda t=t: ctas(t, f"SELECT * FROM {v}{t}"))
+            for t in ("customer", "nation", "region", "supplier", "part", "pages", "labels", "benchmark")
+        ],
+        # Whole texts; 'en' holds most documents (a hot partition value).
+        lambda: ctas("documents_l", f"SELECT * FROM {v}documents"),
+        lambda: ctas("conversations_r", f"SELECT * FROM {v}conversations"),
         lambda: ctas("events_d", f"SELECT *, to_date(ts) AS d FROM {v}events"),
         lambda: ctas("embeddings_l", f"SELECT * FROM {v}embeddings"),
         lambda: ctas(
