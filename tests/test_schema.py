@@ -166,3 +166,11 @@ def test_cli_verbose_logs_each_statement(spark, src, tgt, caplog):
     text = caplog.text
     assert "[migrate] orders: partitions=['o_orderstatus']" in text
     assert f"CREATE TABLE {C}.{tgt}.orders" in text and "PARTITIONED BY (o_orderstatus)" in text
+
+
+def test_same_namespace_is_refused_before_any_ddl(spark, src):
+    plan = {r.table_name: r.action for r in plan_migration(spark, C, src, C, src, tables=["nation", "orders"]).collect()}
+    assert plan == {"nation": "refuse", "orders": "refuse"}
+    report = migrate_schema(spark, C, src, C, src, tables=["nation", "orders"], continue_on_error=True).collect()
+    assert {r.status for r in report} == {"failed"} and all("same table" in r.error for r in report)
+    assert spark.table(f"{C}.{src}.orders").count() > 0 and spark.table(f"{C}.{src}.nation").count() == 25
