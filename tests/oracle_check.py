@@ -39,6 +39,30 @@ def norm(v):
     return v
 
 
+# Spark simple type names and the DuckDB names they correspond to.
+DUCK_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "float": "FLOAT",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "array<float>": "FLOAT[]",
+}
+
+
+def type_differences(df, rel) -> list[tuple[str, str, str]]:
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in df.schema.fields:
+        spark_type = f.dataType.simpleString()
+        if DUCK_TYPES.get(spark_type, spark_type.upper()) != duck.get(f.name):
+            out.append((f.name, spark_type, duck.get(f.name)))
+    return out
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return Counter(tuple(norm(r[i]) for i in order) for r in rows)
@@ -91,6 +115,8 @@ def main(argv):
         problems = []
         if sorted(s_cols) != sorted(d_cols):
             problems.append(f"columns spark={sorted(s_cols)} duck={sorted(d_cols)}")
+        elif type_differences(df, rel):
+            problems.append(f"types {type_differences(df, rel)}")
         if len(s_rows) != len(d_rows):
             problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
         if not problems:

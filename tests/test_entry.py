@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SMALL_SF
-from tests.oracle_check import TABLES, rows_of
+from tests.oracle_check import TABLES, rows_of, type_differences
 
 
 def test_entry_smoke(spark):
@@ -37,5 +37,6 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(E.oracle_sql()[name])
     d_cols, d_rows = rel.columns, rel.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    assert type_differences(df, rel) == []
     assert len(s_rows) == len(d_rows)
     assert rows_of(df.columns, s_rows) == rows_of(d_cols, d_rows)
