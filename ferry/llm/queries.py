@@ -11,6 +11,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Integer parts of the mixture; all other sources together get the part of "*".
+MIX_TARGETS = {"src0": 10, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 2, "src6": 2, "src7": 1, "*": 13}
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.exactdup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"), hash_all=True)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.mixing import mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs, MIX_TARGETS)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.neardup import near_duplicates
 
@@ -18,7 +35,17 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_mix_sources": op7_mix_sources,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_EQUAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": (
+        f"WITH t AS (SELECT doc_id, sha256({_EQUAL}) AS text_sha256 FROM documents), "
+        "g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256) "
+        "SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)"
+    ),
+}
