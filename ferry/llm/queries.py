@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MIX_TARGETS = {"src0": 10, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 2, "src6": 2, "src7": 1, "*": 13}
 
 
+def _tokenizer() -> str:
+    """Where the public tokenizer's file is on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.bpe import encode_decode
+
+    return token_digests(encode_decode(_table(spark, sf_dir, "documents"), _tokenizer()))
+
+
+def token_digests(coded: DataFrame) -> DataFrame:
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.exactdup import exact_duplicates
 
@@ -41,6 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
