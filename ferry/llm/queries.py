@@ -38,6 +38,18 @@ def token_digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.exactdup import exact_duplicates
 
@@ -64,7 +76,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_grammar": op1_toxicity_grammar,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
