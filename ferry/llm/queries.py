@@ -44,6 +44,12 @@ def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_legacy_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.warc import legacy_to_warc
+
+    return legacy_to_warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.quality import quality_scores
 
@@ -78,6 +84,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_grammar": op1_toxicity_grammar,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op4_legacy_to_warc": op4_legacy_to_warc,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
@@ -87,7 +94,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _EQUAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FIVES = ", ".join(f"CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER)" for i in range(8))
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[{i}] >> {shift}) & 31 AS INTEGER) + 1, 1)" for i in range(1, 9) for shift in (15, 10, 5, 0)
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_legacy_to_warc": (
+        "WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), "
+        f"v AS (SELECT page_id, payload_bytes, h, [{_FIVES}] AS v, max(page_id) OVER (PARTITION BY h) AS head FROM t) "
+        f"SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, "
+        "CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, "
+        "CASE WHEN page_id <> head THEN head END AS refers_to FROM v"
+    ),
     "op6_exact_dedup": (
         f"WITH t AS (SELECT doc_id, sha256({_EQUAL}) AS text_sha256 FROM documents), "
         "g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256) "
