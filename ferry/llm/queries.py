@@ -69,6 +69,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, MIX_TARGETS)
 
 
+def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.packing import packed_tokens
+
+    rows = packed_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "position_ids")]
+    return rows.select("window", "row", "n_tokens", "cu_seqlens", "doc_ids", "doc_offsets", *digests)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.neardup import near_duplicates
 
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_packed_tokens": op8_packed_tokens,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
