@@ -44,6 +44,12 @@ def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.pagetext import page_texts
+
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op4_legacy_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.warc import legacy_to_warc
 
@@ -92,6 +98,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_grammar": op1_toxicity_grammar,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op3_page_text": op3_page_text,
     "op4_legacy_to_warc": op4_legacy_to_warc,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
