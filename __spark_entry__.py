@@ -218,8 +218,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_partition_row_counts(spark, SMOKE_SF_DIR)
 
 
+def _optional() -> tuple[dict, dict]:
+    """Queries and SQL of ``ferry.llm`` and of the pipeline, where they are installed."""
+    found: dict = {}
+    sql: dict = {}
+    try:
+        from ferry.llm.queries import ORACLE_SQL, QUERIES
+
+        found, sql = dict(QUERIES), dict(ORACLE_SQL)
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ModuleNotFoundError as e:
+        if e.name not in ("ferry.llm", "corpus_pipeline"):
+            raise
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | _optional()[0]
 
 
 _REPORT_ROW = (
@@ -379,4 +398,4 @@ _ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return _ORACLE | _optional()[1]
