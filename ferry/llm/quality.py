@@ -213,14 +213,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: i
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "_id").select("text", "label")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """(id, held_out, score, predicted) per row of ``docs``: score in 0..1 for
-    ``labels.quality`` = 1, predicted 1 if it is ``least`` or more.
-
-    Null texts are empty; an empty text has a score like any other.  Repeated
-    rows score alike; a null id is not held out and has no label.  Only the
-    text is scored: labels, ids and other columns are never inputs.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Network]:
+    """Word vectors from all of ``docs`` and the network fitted on labelled rows."""
     vectors = word_vectors(docs, text_col)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +224,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sample = labelled_sample(docs, labels, "quality", SAMPLE, id_col, text_col).mapInArrow(features, "label double, x array<float>").collect()
     x = np.array([r["x"] for r in sample], dtype=np.float64).reshape(len(sample), 2 * DIM + SHAPES + 1)
     order = np.lexsort(x.T)  # the fit must not depend on the order of rows
-    net = fit_network(x[order], np.array([r["label"] for r in sample])[order])
+    return vectors, fit_network(x[order], np.array([r["label"] for r in sample])[order])
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """(id, held_out, score, predicted) per row of ``docs``: score in 0..1 for
+    ``labels.quality`` = 1, predicted 1 if it is ``least`` or more.
+
+    Null texts are empty; an empty text has a score like any other.  Repeated
+    rows score alike; a null id is not held out and has no label.  Only the
+    text is scored: labels, ids and other columns are never inputs.
+    """
+    vectors, net = fitted(docs, labels, id_col, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,3 +244,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with their columns.
+
+    Rows are scored and kept or dropped where they are read; no text is shuffled.
+    """
+    vectors, net = fitted(docs, labels, id_col, text_col)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = names.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(net.scores(_pooled(b.column(text), vectors).astype(np.float64)) >= least, pa.bool_()))
+
+    return plain.mapInArrow(keep, plain.schema).toDF(*names)

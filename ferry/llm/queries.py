@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MIX_TARGETS = {"src0": 10, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 2, "src6": 2, "src7": 1, "*": 13}
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     """Where the public tokenizer's file is on the driver."""
     import public_tokenizers
 
@@ -26,7 +26,7 @@ def _tokenizer() -> str:
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.bpe import encode_decode
 
-    return token_digests(encode_decode(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return token_digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def token_digests(coded: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferry.llm.packing import packed_tokens
 
-    rows = packed_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
+    rows = packed_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "position_ids")]
     return rows.select("window", "row", "n_tokens", "cu_seqlens", "doc_ids", "doc_offsets", *digests)
 

@@ -106,3 +106,14 @@ def in_filter(places: np.ndarray, bitmap: bytes) -> np.ndarray:
     """Which places are set.  Within a byte, bit ``p mod 8`` counts from the low end."""
     body = np.frombuffer(bitmap, dtype=np.uint8)
     return (body[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
+
+#: Ids up to which a list of rows to leave out is broadcast (1.6 MB); a longer one is joined by a shuffle.
+BROADCAST_IDS = 100_000
+
+
+def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped(id)``; null ids stay."""
+    dropped = saved(dropped.select(F.col("id").alias("_dropped_id")).distinct(), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.join(side, docs[id_col] == side["_dropped_id"], "left_anti")
