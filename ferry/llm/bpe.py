@@ -64,6 +64,8 @@ def _classes() -> tuple[str, str]:
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
+_SIGNS = frozenset(".,;:!?|")
+
 _PIECES: dict[str, re.Pattern] = {}
 
 
@@ -78,6 +80,14 @@ def _pieces() -> re.Pattern:
 def split_words(text: str) -> list[str]:
     """The pieces of a text that holds no special token."""
     pattern = _pieces()
+    # The common cases: letters only, or letters and one sign at the end.
+    body, end = (text, []) if text.isalpha() else (text[:-1], [text[-1:]])
+    if (not end or end[0] in _SIGNS) and body.isalpha():
+        if not body.isascii():
+            body = unicodedata.normalize("NFC", body).replace("Σ", "σ")
+        body = body.lower()
+        if body.isalpha():
+            return [body, *end]
     if text.isascii():
         return _PIECES["ascii"].findall(text.lower())
     if not unicodedata.is_normalized("NFC", text):
@@ -465,6 +475,8 @@ def shipped_lexicon(spark: SparkSession, tokenizer_path: str, words: list[str])
     """Compile a lexicon and hand it to every executor; its name there."""
     body = Lexicon.compiled(tokenizer_path, words)
     name = f"lexicon-{hashlib.sha256(body).hexdigest()[:16]}.bin"
+    if any(os.path.basename(f) == name for f in spark.sparkContext.listFiles):
+        return name  # the same lexicon went out before
     path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
     with open(path, "wb") as f:
         f.write(body)

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferry.llm.bpe import frequent_words, opened, shipped_lexicon, text_chunks
+from ferry.llm.bpe import opened, shipped_lexicon, text_chunks
 
 ROW_TOKENS = 2048
 #: Tokens of a window that is packed on its own.
 WINDOW_TOKENS = 1 << 20
 #: Id that fills the unused end of a row (the tokenizer's end of text).
 PAD = 49407
+#: Binary forms, little-endian.
+TOKEN, POSITION = "<u4", "<u2"
 
 
 class CapacityTree:
@@ -86,7 +88,7 @@ def pack_window(docs: list[tuple[int | None, np.ndarray]], row_tokens: int = ROW
     pieces = [(k, at) for k, (_, ids) in enumerate(docs) for at in range(0, len(ids), row_tokens)]
     sizes = [min(row_tokens, len(docs[k][1]) - at) for k, at in pieces]
     for row in best_fit_decreasing(sizes, row_tokens):
-        matrix = np.full(row_tokens, pad, dtype="<u4")
+        matrix = np.full(row_tokens, pad, dtype=TOKEN)
         ends = np.cumsum([sizes[p] for p in row])
         for p, end in zip(row, ends):
             k, at = pieces[p]
@@ -125,7 +127,7 @@ def _packer(name: str, row_tokens: int, window_tokens: int, pad: int) -> Callabl
 
         window = f"{TaskContext.get().partitionId()}-{number}"
         rows = [
-            (window, r, x["cu_seqlens"][-1], x["ids"], x["cu_seqlens"], position_ids(x["cu_seqlens"], row_tokens).astype("<u4").tobytes(), x["doc_ids"], x["doc_offsets"])
+            (window, r, x["cu_seqlens"][-1], x["ids"], x["cu_seqlens"], position_ids(x["cu_seqlens"], row_tokens).astype(POSITION).tobytes(), x["doc_ids"], x["doc_offsets"])
             for r, x in enumerate(pack_window(docs, row_tokens, pad))
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _FIELDS)], names=[n for n, _ in _FIELDS])
@@ -137,7 +139,7 @@ def _packer(name: str, row_tokens: int, window_tokens: int, pad: int) -> Callabl
         for part, texts in text_chunks(batches):
             for doc, ids in zip(part.column(0).to_pylist(), lexicon.encode(texts)):
                 if ids:
-                    held.append((doc, np.frombuffer(ids, dtype="<u4")))
+                    held.append((doc, np.frombuffer(ids, dtype=TOKEN)))
                     tokens += len(ids) // 4
                 if tokens >= window_tokens:
                     yield packed(held, number)
@@ -151,8 +153,8 @@ def _packer(name: str, row_tokens: int, window_tokens: int, pad: int) -> Callabl
 def packed_tokens(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", row_tokens: int = ROW_TOKENS, window_tokens: int = WINDOW_TOKENS, pad: int = PAD
 ) -> DataFrame:
-    """Packed rows: window, row, n_tokens (without padding), ids and
-    position_ids (``row_tokens`` little-endian unsigned 32-bit integers),
+    """Packed rows: window, row, n_tokens (without padding), ids (``row_tokens``
+    little-endian unsigned 32-bit integers), position_ids (as many 16-bit ones),
     cu_seqlens (0, ..., n_tokens), and per segment doc_ids and doc_offsets
     (first token of the segment in its document).
 
@@ -160,9 +162,10 @@ def packed_tokens(
     have no tokens and no segment; repeated rows and null ids are packed like
     others; other columns are ignored.  Windows follow the input's partitions.
     """
-    if row_tokens < 1:
-        raise ValueError("a row holds one token at least")
-    name = shipped_lexicon(docs.sparkSession, tokenizer_path, frequent_words(docs, text_col))
+    if not 1 <= row_tokens <= 1 << 16:
+        raise ValueError("a row holds from 1 to 65,536 tokens")
+    # One pass over the texts: without a lexicon of their frequent words each worker merges a word when it meets it.
+    name = shipped_lexicon(docs.sparkSession, tokenizer_path, [])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_packer(name, row_tokens, window_tokens, pad), _SCHEMA)
 
