@@ -65,7 +65,7 @@ def _minima(distinct: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        ids, texts = batch.column(0), batch.column(1)
         for first, hashes, at in row_shingles(texts):
             n = len(at) - 1
             sizes, sums = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
@@ -81,7 +81,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = least.astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[first : first + n]),
+                    ids.slice(first, n),
                     pa.array(sizes),
                     pa.array(sums[:, 0].view(np.int64)),
                     pa.array(sums[:, 1].view(np.int64)),

@@ -1,0 +1,163 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ferry.llm import fingerprint as fp
+from ferry.llm import neardup
+from ferry.llm.components import connected_components
+from ferry.llm.exactdup import drop_exact_duplicates, exact_duplicates
+from ferry.llm.mixing import mix
+from ferry.llm.neardup import near_duplicates
+from tests.llm.test_words_and_tokens import brute_shingles
+
+VOCAB = [f"w{i}" for i in range(400)]
+
+
+def brute_components(rows):
+    sets = {d: brute_shingles(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def families(seed, n_base=6, copies=25, size=80):
+    """Copies of a few texts with a few words changed: many pairs near the threshold."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n_base):
+        base = rng.choices(VOCAB, k=size)
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                own[rng.randrange(size)] = rng.choice(VOCAB)
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = families(block) + ["", None, " \n", "one two", "One  Two", "a b c d e", "a b c d e f"]
+    random.Random(1).shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, doc string, hub int")
+    got = {r["doc_id"]: r for r in near_duplicates(docs).collect()}
+    want = brute_components(rows)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "A b c d e f")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == Counter({(None, 2, None, True): 1, (7, 2, 7, True): 2, (9, 2, 7, False): 1})
+    assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_components_of_a_chain_a_star_and_repeats(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(5, k) for k in range(6, 30)] + [(8, 7), (3, 3), (None, 4), (200, 201), (200, 201)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 141)}, **{i: 5 for i in range(5, 30)}, 200: 200, 201: 200}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+EXACT = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 90 + "y"), (8, "x" * 90 + "z"), (9, "x" * 90 + "Y"), (None, "ab"), (None, None), (2, "ab"), (2, "other")]
+
+
+def test_exact_duplicates_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in EXACT], "doc_id long, text string, _len string, _keep int")
+    norm = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    groups: dict = {}
+    for i, t in EXACT:
+        groups.setdefault(norm(t), []).append(i)
+    want = Counter()
+    for i, t in EXACT:
+        own = groups[norm(t)]
+        keep = max((x for x in own if x is not None), default=None)
+        want[(i, keep, len(own), i == keep, hashlib.sha256(norm(t).encode()).hexdigest())] += 1
+    for hash_all in (True, False):
+        got = exact_duplicates(docs, hash_all=hash_all).collect()
+        if hash_all:
+            assert Counter(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got) == want
+        else:
+            assert Counter(tuple(r)[:4] for r in got) == Counter({k[:4]: 0 for k in want}) + Counter([k[:4] for k in want.elements()])
+    kept = Counter((r["doc_id"], norm(r["text"])) for r in drop_exact_duplicates(docs).collect())
+    assert kept == Counter({(max((x for x in own if x is not None), default=None), t): 1 for t, own in groups.items()})
+    assert drop_exact_duplicates(docs).columns == docs.columns
+    assert exact_duplicates(docs.limit(0)).collect() == [] and drop_exact_duplicates(docs.limit(0)).collect() == []
+
+
+def test_mixture_stays_within_a_block_of_its_weights(spark):
+    rng = random.Random(4)
+    sources = rng.choices(["a", "b", "c", None, "z"], weights=[50, 20, 10, 5, 15], k=1500)
+    docs = spark.createDataFrame([(i % 1400, s, "clash") for i, s in enumerate(sources)], "doc_id long, source string, mix_x string")
+    targets = {"a": 3, "b": 2, "c": 1, "*": 2}
+    rows = sorted(mix(docs, targets, block_rows=8, buckets=16).collect(), key=lambda r: r["mix_position"])
+    assert [r["mix_position"] for r in rows] == list(range(1500))
+    assert Counter((r["doc_id"], r["source"]) for r in rows) == Counter((i % 1400, s) for i, s in enumerate(sources))
+    blocks: dict = {}
+    for r in rows:
+        blocks.setdefault(r["mix_slot"], r["mix_class"])
+    left = {k: len({r["mix_block"] for r in rows if r["mix_class"] == k}) for k in range(4)}
+    done, parts = Counter(), list(targets.values())
+    for slot in sorted(blocks):
+        done[blocks[slot]] += 1
+        if any(done[k] == left[k] for k in left):
+            break
+        assert all(abs(done[k] - (slot + 1) * parts[k] / 8) < 1 for k in left)
+    assert mix(docs.limit(0), targets).collect() == []
+    with pytest.raises(ValueError):
+        mix(docs, {"a": 0})
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = [None, "", "é" * 7, "Same text " * 9, "same TEXT " * 9] + [" ".join(rng.choices(VOCAB, k=rng.choice([3, 40, 3000]))) for _ in range(25)]
+    ids = rng.sample(range(-50, 900), len(texts))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts)], "doc_id long, text string, tail int").repartition(5)
+    got = {r["doc_id"]: r for r in fp.fingerprints(docs).collect()}
+    order = sorted(zip(ids, [t or "" for t in texts]))
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        changed = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert r["fingerprint"] == fp.as_text(fp.sketch(t)) and r["edited_fingerprint"] == fp.as_text(fp.sketch(changed))
+        assert r["near_edited"] == fp.containment(fp.sketch(t), fp.sketch(changed)) and r["near_next"] == fp.containment(fp.sketch(t), fp.sketch(after))
+    assert got[ids[3]]["fingerprint"] == got[ids[4]]["fingerprint"]
+
+
+def test_fingerprints_of_one_row_no_row_and_null_ids(spark):
+    one = spark.createDataFrame([(3, "abcdefgh")], "doc_id long, text string")
+    assert fp.fingerprints(one).first()["near_next"] == 1.0
+    assert fp.fingerprints(one.limit(0)).collect() == []
+    mixed = spark.createDataFrame([(None, "b"), (1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in fp.fingerprints(mixed).collect()) == Counter({None: 2, 1: 2})
+
+
+def test_containment_of_unequal_texts_and_merging():
+    rng = random.Random(8)
+    long = " ".join(rng.choices(VOCAB, k=20_000))
+    part = long[20_000:60_000]
+    a, b = fp.sketch(long), fp.sketch(part)
+    assert fp.containment(a, b) > 0.95 and fp.containment(b, fp.sketch(" ".join(rng.choices(VOCAB, k=9000)))) < 0.3
+    assert np.array_equal(fp.from_text(fp.as_text(b)), b)
+    both = fp.merged(a, b)
+    assert np.array_equal(both, a) or fp.containment(both, a) > 0.99
