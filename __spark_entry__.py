@@ -14,24 +14,16 @@ other's targets.  Returned DataFrames read the migrated tables lazily.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.functions.ddl import ddl_partition_columns
-from ferry.functions.describe import described_partition_columns
-from ferry.functions.partition_spec import partition_spec_values
+from ferry.functions.partition_spec import file_partition_spec, partition_spec_values
 from ferry.operators.migrate import migrate_table
-from ferry.operators.resolve import resolve_partition_columns
 from ferry.operators.schema import migrate_schema, plan_migration
-from ferry.operators.verify import partition_row_counts, verify_schema
+from ferry.operators.verify import CHECKS, partition_row_counts, verify_migration, verify_schema
 from ferry.sources.catalog import list_source_tables
-from ferry.sources.dumps import (
-    customer_candidates,
-    customer_describe_dump,
-    orders_partition_specs,
-    part_ddl_dump,
-)
 from ferry.sources.partitions import schema_partition_columns
 from ferry.sources.testdata import FAILING_TABLES, GOOD_TABLES, fresh_schema, source_schema_for
 
@@ -119,50 +111,61 @@ def q_migrate_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_migrate_schema_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that cannot be copied do not keep the others from being copied."""
     src = _src(spark, sf_dir)
     tgt = fresh_schema(spark, "failures")
-    report = migrate_schema(
-        spark, CAT, src, CAT, tgt, tables=[*FAILING_TABLES, "missing_table"], continue_on_error=True
-    )
-    return report.select("table_name", "action", "status")
+    tables = ["lineitem", *FAILING_TABLES, "documents_l", "missing_table"]
+    report = migrate_schema(spark, CAT, src, CAT, tgt, tables=tables, continue_on_error=True)
+    return report.select("table_name", "action", "status", "rows_source", "rows_target")
+
+
+def _counted(spark: SparkSession, src: str, listing: DataFrame, readable: list[str]) -> DataFrame:
+    """``listing`` with the rows that each readable table holds."""
+    counts = [spark.table(f"{CAT}.{src}.`{t}`").agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t in readable]
+    return listing.join(reduce(DataFrame.union, counts), "table_name", "left")
 
 
 def q_plan_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch would do, and how many rows each step would move."""
     src = _src(spark, sf_dir)
     tgt = fresh_schema(spark, "plan")
     spark.sql(f"CREATE TABLE {CAT}.{tgt}.orders USING parquet AS SELECT o_orderkey FROM {CAT}.{src}.orders")
     plan = plan_migration(spark, CAT, src, CAT, tgt)
-    return plan.select("table_name", "partition_cols", "found_by", "action")
+    return _counted(spark, src, plan.select("table_name", "partition_cols", "found_by", "action"), list(GOOD_TABLES))
 
 
 def q_detect_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_partition_columns(spark, CAT, _src(spark, sf_dir))
+    """The detected partition columns, each with the values that it has."""
+    src = _src(spark, sf_dir)
+    found = schema_partition_columns(spark, CAT, src)
+    values = [
+        spark.table(f"{CAT}.{src}.`{r.table_name}`")
+        .agg(F.count_distinct(F.col(f"`{r.column_name}`")).alias("n_values"))
+        .select(F.lit(r.table_name).alias("table_name"), F.lit(r.column_name).alias("column_name"), "n_values")
+        for r in found.collect()
+    ]
+    return found.join(reduce(DataFrame.union, values), ["table_name", "column_name"])
 
 
 def q_list_source_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_source_tables(spark, CAT, _src(spark, sf_dir)).select("table_name", "is_view")
-
-
-# ------------------------------------------------------- bulk metadata
+    src = _src(spark, sf_dir)
+    listing = list_source_tables(spark, CAT, src).select("table_name", "is_view")
+    return _counted(spark, src, listing, list(GOOD_TABLES))
 
 
 def q_partition_spec_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition_spec_values(orders_partition_specs(spark, sf_dir), "partition")
-
-
-def q_ddl_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dump = part_ddl_dump(spark, sf_dir)
-    return dump.select("table_name", F.posexplode(ddl_partition_columns("ddl")).alias("pos", "column_name")).select(
-        "table_name", (F.col("pos") + 1).alias("pos"), "column_name"
-    )
+    """Rows per key and value of the partition folders of migrated tables."""
+    found = []
+    for t in _SPEC_TABLES:
+        rows = spark.table(_copy(spark, sf_dir, t, f"specs_{t}"))
+        files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+        specs = partition_spec_values(files.select("n", file_partition_spec("file").alias("partition")), "partition")
+        found.append(specs.groupBy("pos", "key", "value").agg(F.sum("n").alias("row_count")).select(F.lit(t).alias("table_name"), "*"))
+    return reduce(DataFrame.union, found)
 
 
-def q_described_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described_partition_columns(customer_describe_dump(spark, sf_dir))
-
-
-def q_resolve_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_partition_columns(customer_candidates(spark, sf_dir))
+# File paths are not visible through a table with CHAR columns ("typed").
+_SPEC_TABLES = ("lineitem", "orders_n", "events_d")
 
 
 # ---------------------------------------------------------------- checks
@@ -174,7 +177,25 @@ def q_verify_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = list(_VERIFIED)
     migrate_schema(spark, CAT, src, CAT, tgt, tables=tables, verify="none", parallelism=len(tables)).collect()
     report = verify_schema(spark, CAT, src, CAT, tgt, tables=tables, parallelism=len(tables))
-    return report.select("table_name", "check_name", "ok")
+    # One damaged copy per check; each is compared with the undamaged source.
+    for label, (columns, options, condition) in _DAMAGED.items():
+        spark.sql(f"CREATE TABLE {CAT}.{tgt}.{label} USING parquet {options} AS SELECT {columns} FROM {CAT}.{src}.orders WHERE {condition}")
+        report = report.union(verify_migration(spark, f"{CAT}.{src}.orders", f"{CAT}.{tgt}.{label}"))
+    counts = F.col("check_name").isin("row_count", "partition_count", "partition_mismatches")
+    return report.select(
+        "table_name", "check_name", "ok", F.when(counts, F.col("expected").cast("long")).alias("expected"), F.when(counts, F.col("actual").cast("long")).alias("actual")
+    )
+
+
+_ORDER_COLUMNS = "o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, o_orderstatus"
+_BY_STATUS = "PARTITIONED BY (o_orderstatus)"
+_DAMAGED = {
+    "orders_renamed": (_ORDER_COLUMNS.replace("o_custkey", "o_custkey AS c"), _BY_STATUS, "true"),
+    "orders_retyped": (_ORDER_COLUMNS.replace("o_custkey", "CAST(o_custkey AS DECIMAL(20,0)) AS o_custkey"), _BY_STATUS, "true"),
+    "orders_short": (_ORDER_COLUMNS, _BY_STATUS, "o_orderstatus <> 'P'"),
+    "orders_changed": (_ORDER_COLUMNS.replace("o_custkey", "IF(o_orderstatus = 'F', o_custkey + 1, o_custkey) AS o_custkey"), _BY_STATUS, "true"),
+    "orders_flat": (_ORDER_COLUMNS, "", "true"),
+}
 
 
 def q_partition_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +224,6 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_partition_columns": q_detect_partition_columns,
     "list_source_tables": q_list_source_tables,
     "partition_spec_values": q_partition_spec_values,
-    "ddl_partition_columns": q_ddl_partition_columns,
-    "described_partition_columns": q_described_partition_columns,
-    "resolve_partition_columns": q_resolve_partition_columns,
     "verify_migration": q_verify_migration,
     "partition_row_counts": q_partition_row_counts,
     "pruned_read": q_pruned_read,
@@ -269,22 +287,57 @@ _REPORT = [
 ]
 
 _VERIFIED = ("lineitem", "orders_n", "typed")
-_VERIFY_CHECKS = (
-    "columns",
-    "row_count",
-    "content_hash",
-    "partition_columns",
-    "partition_count",
-    "partition_mismatches",
-)
-_VERIFY_ORACLE = (
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{t}', '{c}', true)" for t in _VERIFIED for c in _VERIFY_CHECKS)
-    + ") AS t(table_name, check_name, ok)"
-)
-
 _ORDERS_N_P = "CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN 'a/b:c+d' ELSE o_orderstatus END"
 
+_COUNTS = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {src}" for t, _, src in _REPORT) + ") AS c"
+
+# Table, partition column and its value over the raw tables.
+_PARTITIONS = [
+    ("conversations_r", 1, "role", "role", "conversations"),
+    ("documents_l", 1, "lang", "lang", "documents"),
+    ("embeddings_l", 1, "label", "label", "embeddings"),
+    ("events_d", 1, "d", "CAST(ts AS DATE)", "events"),
+    ("lineitem", 1, "l_returnflag", "l_returnflag", "lineitem"),
+    ("lineitem", 2, "l_linestatus", "l_linestatus", "lineitem"),
+    ("orders", 1, "o_orderstatus", "o_orderstatus", "orders"),
+    ("orders_empty", 1, "o_orderstatus", "o_orderstatus", "orders WHERE false"),
+    ("orders_n", 1, "p", _ORDERS_N_P, "orders"),
+    ("spaced", 1, "o status", "o_orderstatus", "orders"),
+    ("typed", 1, "dt", "strftime(o_orderdate, '%Y')", "orders"),
+    ("typed", 2, "hr", "month(o_orderdate)", "orders"),
+]
+
+
+def _verify_oracle() -> str:
+    """Every check of every copy, with counts from the raw tables."""
+    parts = {"lineitem": "l_returnflag, l_linestatus", "orders_n": _ORDERS_N_P, "typed": "strftime(o_orderdate, '%Y'), month(o_orderdate)"}
+    rows = []
+
+    def add(name, source, group, wrong=(), kept="true", lost="0", regrouped=None):
+        count, groups = f"SELECT count(*) FROM {source}", f"SELECT count(*) FROM (SELECT 1 FROM {source} GROUP BY {group})"
+        found = {
+            "row_count": (f"({count})", f"({count} WHERE {kept})"),
+            "partition_count": (f"({groups})", regrouped or f"(SELECT count(*) FROM (SELECT 1 FROM {source} WHERE {kept} GROUP BY {group}))"),
+            "partition_mismatches": ("0", f"({lost})"),
+        }
+        for check in CHECKS:
+            expected, actual = found.get(check, ("NULL", "NULL"))
+            rows.append(
+                f"SELECT '{name}' AS table_name, '{check}' AS check_name, {'false' if check in wrong else 'true'} AS ok, "
+                f"CAST({expected} AS BIGINT) AS expected, CAST({actual} AS BIGINT) AS actual"
+            )
+
+    for t in _VERIFIED:
+        add(t, "orders" if t != "lineitem" else t, parts[t])
+    status = "SELECT count(DISTINCT o_orderstatus) FROM orders"
+    add("orders_renamed", "orders", "o_orderstatus", ("columns", "types", "content_hash", "partition_mismatches"), lost=status)
+    add("orders_retyped", "orders", "o_orderstatus", ("types", "content_hash", "partition_mismatches"), lost=status)
+    add("orders_short", "orders", "o_orderstatus", ("row_count", "content_hash", "partition_count", "partition_mismatches"), "o_orderstatus <> 'P'", "1")
+    add("orders_changed", "orders", "o_orderstatus", ("content_hash", "partition_mismatches"), lost="1")
+    add("orders_flat", "orders", "o_orderstatus", ("partition_columns",))
+    return "\nUNION ALL\n".join(rows)
+
+
 _ORACLE = {
     "migrate_partitioned": "SELECT * FROM lineitem",
     "migrate_unpartitioned": "SELECT * FROM customer",
@@ -302,11 +355,13 @@ _ORACLE = {
     "migrate_skip_existing": "SELECT *, 'previous run' AS version FROM orders",
     "migrate_schema_report": "\nUNION ALL\n".join(_REPORT_ROW.format(t=t, p=p, src=s) for t, p, s in _REPORT),
     "migrate_schema_failures": (
-        "SELECT * FROM (VALUES ('broken_v', 'copy', 'failed'), ('spaced', 'refuse', 'failed'), "
+        "SELECT 'lineitem' AS table_name, 'create' AS action, 'ok' AS status, count(*) AS rows_source, count(*) AS rows_target FROM lineitem\nUNION ALL\n"
+        "SELECT 'documents_l', 'create', 'ok', count(*), count(*) FROM documents\nUNION ALL\n"
+        "SELECT *, NULL, NULL FROM (VALUES ('broken_v', 'copy', 'failed'), ('spaced', 'refuse', 'failed'), "
         "('missing_table', 'not_found', 'not_found')) AS t(table_name, action, status)"
     ),
     "plan_migration": (
-        "SELECT * FROM (VALUES "
+        "SELECT t.*, c.row_count FROM (VALUES "
         "('benchmark', '', NULL, 'create'), "
         "('broken_v', '', NULL, 'create'), "
         "('conversations_r', 'role', 'catalog', 'create'), "
@@ -328,68 +383,29 @@ _ORACLE = {
         "('spaced', 'o status', 'catalog', 'refuse'), "
         "('supplier', '', NULL, 'create'), "
         "('typed', 'dt,hr', 'catalog', 'create')"
-        ") AS t(table_name, partition_cols, found_by, action)"
+        ") AS t(table_name, partition_cols, found_by, action) "
+        f"LEFT JOIN ({_COUNTS}) AS c USING (table_name)"
     ),
-    "detect_partition_columns": (
-        "SELECT * FROM (VALUES "
-        "('conversations_r', 1, 'role', 'catalog'), "
-        "('documents_l', 1, 'lang', 'catalog'), "
-        "('embeddings_l', 1, 'label', 'catalog'), "
-        "('events_d', 1, 'd', 'catalog'), "
-        "('lineitem', 1, 'l_returnflag', 'catalog'), "
-        "('lineitem', 2, 'l_linestatus', 'catalog'), "
-        "('orders', 1, 'o_orderstatus', 'catalog'), "
-        "('orders_empty', 1, 'o_orderstatus', 'catalog'), "
-        "('orders_n', 1, 'p', 'catalog'), "
-        "('spaced', 1, 'o status', 'catalog'), "
-        "('typed', 1, 'dt', 'catalog'), "
-        "('typed', 2, 'hr', 'catalog')"
-        ") AS t(table_name, pos, column_name, found_by)"
+    "detect_partition_columns": "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, {n} AS pos, '{c}' AS column_name, 'catalog' AS found_by, count(DISTINCT {v}) AS n_values FROM {src}"
+        for t, n, c, v, src in _PARTITIONS
     ),
     "list_source_tables": (
-        "SELECT * FROM (VALUES "
+        "SELECT t.*, c.row_count FROM (VALUES "
         "('benchmark', false), ('broken_v', true), ('conversations_r', false), ('customer', false), "
         "('documents_l', false), ('embeddings_l', false), ('events_d', false), ('labels', false), ('pages', false), "
         "('lineitem', false), ('nation', false), ('nation_v', true), ('orders', false), "
         "('orders_e', false), ('orders_empty', false), ('orders_n', false), ('part', false), "
         "('region', false), ('spaced', false), ('supplier', false), ('typed', false)"
-        ") AS t(table_name, is_view)"
-    ),
-    "partition_spec_values": (
-        "SELECT o_orderkey, 1 AS pos, 'o_orderdate' AS key, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS value "
-        "FROM orders\nUNION ALL\n"
-        "SELECT o_orderkey, 2, 'o_orderpriority', o_orderpriority FROM orders\nUNION ALL\n"
-        f"SELECT o_orderkey, 3, 'p', {_ORDERS_N_P} FROM orders"
-    ),
-    "ddl_partition_columns": (
-        "WITH d AS (SELECT p_partkey, p_size, 't_' || lower(p_type) AS a, "
-        "'n_' || split_part(p_name, ' ', 1) AS b, 'k_' || split_part(p_name, ' ', 2) AS c FROM part)\n"
-        "SELECT 'part_' || p_partkey AS table_name, 1 AS pos, a AS column_name FROM d WHERE p_size <= 40\n"
-        "UNION ALL\n"
-        "SELECT 'part_' || p_partkey, 2, CASE WHEN p_size > 30 THEN b || ' ' || c ELSE b END FROM d "
-        "WHERE p_size <= 40\nUNION ALL\n"
-        "SELECT 'part_' || p_partkey, 3, c FROM d WHERE p_size > 20 AND p_size <= 30"
-    ),
-    "described_partition_columns": (
-        "SELECT 'cust_' || c_custkey AS table_name, 1 AS pos, 'seg_' || lower(c_mktsegment) AS column_name "
-        "FROM customer WHERE c_mktsegment <> 'BUILDING'\nUNION ALL\n"
-        "SELECT 'cust_' || c_custkey, 2, 'nation_' || c_nationkey FROM customer "
-        "WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')"
+        ") AS t(table_name, is_view) "
+        f"LEFT JOIN ({_COUNTS}) AS c USING (table_name)"
     ),
-    "resolve_partition_columns": (
-        "WITH c AS (SELECT 'cust_' || c_custkey AS table_name, "
-        "'seg_' || lower(c_mktsegment) AS seg, 'nation_' || c_nationkey AS nat, "
-        "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'catalog' "
-        "WHEN c_acctbal >= 0 THEN 'show_partitions' "
-        "WHEN c_mktsegment = 'MACHINERY' THEN 'show_create' "
-        "WHEN c_acctbal < -500 THEN 'describe' END AS found_by FROM customer)\n"
-        "SELECT table_name, found_by, 1 AS pos, CASE found_by WHEN 'catalog' THEN seg "
-        "WHEN 'show_partitions' THEN nat WHEN 'show_create' THEN seg ELSE 'acct_neg' END AS column_name "
-        "FROM c WHERE found_by IS NOT NULL\nUNION ALL\n"
-        "SELECT table_name, found_by, 2, seg FROM c WHERE found_by = 'show_partitions'\nUNION ALL\n"
-        "SELECT table_name, NULL, NULL, NULL FROM c WHERE found_by IS NULL"
+    "partition_spec_values": "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, {n} AS pos, '{c}' AS key, CAST({v} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS row_count FROM {src} GROUP BY {v}"
+        for t, n, c, v, src in _PARTITIONS
+        if t in _SPEC_TABLES
     ),
-    "verify_migration": _VERIFY_ORACLE,
+    "verify_migration": _verify_oracle(),
     "partition_row_counts": (
         "SELECT l_returnflag, l_linestatus, count(*) AS row_count FROM lineitem GROUP BY l_returnflag, l_linestatus"
     ),

@@ -14,8 +14,7 @@ from ferry.functions.identifiers import (
     split_fqn,
 )
 from ferry.functions.partition_spec import (
-    escape_path_value,
-    partition_spec,
+    file_partition_spec,
     partition_spec_values,
     spec_keys,
     unescape_path_value,
@@ -29,12 +28,11 @@ __all__ = [
     "ddl_partition_columns",
     "ddl_text",
     "described_partition_columns",
-    "escape_path_value",
+    "file_partition_spec",
     "first_present",
     "fqn",
     "ident_ok",
     "is_safe_ident",
-    "partition_spec",
     "partition_spec_values",
     "partitioned_by_clause",
     "row_hash",

@@ -55,7 +55,7 @@ def _clause_tail(ddl: Column) -> Column:
     text = _without_strings(ddl)
     start = F.regexp_instr(text, F.lit(CLAUSE_PREFIX))
     prefix_len = F.length(F.regexp_extract(text, CLAUSE_PREFIX, 1))
-    return F.when(start > 0, F.substring(text, start + prefix_len, 1 << 30))
+    return F.when(start > 0, F.substr(text, start + prefix_len))
 
 
 def _fold(tail: Column, finish) -> Column:

@@ -55,9 +55,7 @@ def ddl_text(df: DataFrame) -> Column:
     named = [not_blank(F.col(f"`{c}`")) for c in _present(df, DDL_COLUMN_NAMES)]
     mentions = [
         F.when(
-            F.col(f"`{c}`").contains("CREATE")
-            | F.col(f"`{c}`").contains("create")
-            | F.col(f"`{c}`").contains("TABLE"),
+            F.col(f"`{c}`").rlike(r"(?i)\b(create|table)\b"),
             F.col(f"`{c}`"),
         )
         for c in string_cols

@@ -10,10 +10,10 @@ The sum is kept as four ``bigint`` sums of the hash's 16-bit slices
 arithmetic per row, and no overflow below 2^47 (1.4e14) rows even with ANSI
 mode on.  :func:`combine_slices` folds the four sums into the exact total.
 
-Maps are not hashable in Spark and their entry order is not part of their
-value, so they are replaced by their entries sorted; a null mask is hashed
-too, because ``xxhash64`` skips nulls and would otherwise not tell
-``(NULL, 'x')`` from ``('x', NULL)``; the mask is one boolean per column.
+``xxhash64`` skips nulls and runs neighbouring arrays together.  A null mask
+(one boolean per column) therefore goes into the hash, and nested values
+carry their null flags and sizes with them at every depth.  Maps are not
+hashable and have no entry order, so their sorted entries stand for them.
 """
 
 from __future__ import annotations
@@ -26,32 +26,38 @@ SLICE_BITS = 16
 SLICES = 4
 
 
-def _has_map(t: DataType) -> bool:
-    if isinstance(t, MapType):
-        return True
-    if isinstance(t, ArrayType):
-        return _has_map(t.elementType)
-    if isinstance(t, StructType):
-        return any(_has_map(f.dataType) for f in t.fields)
-    return False
+NESTED = (ArrayType, MapType, StructType)
 
 
-def _hashable(c: Column, t: DataType) -> Column:
-    """Rewrite maps (at any depth) into sorted entry arrays."""
-    if not _has_map(t):
-        if t.typeName() == "variant":
-            return F.to_json(c)
-        return c
+def _tagged(c: Column, t: DataType) -> Column:
+    """A value whose ``xxhash64`` tells nested values apart: ``xxhash64``
+    skips nulls and runs neighbouring arrays together, so every null flag and
+    every array's size is hashed with the values, at each depth."""
     if isinstance(t, MapType):
+        # The entries in the order of their keys; a map has no order of its own.
         entries = F.transform(
             F.map_entries(c),
-            lambda e: F.struct(_hashable(e["key"], t.keyType).alias("k"), _hashable(e["value"], t.valueType).alias("v")),
+            lambda e: F.struct(_tagged(e["key"], t.keyType).alias("k"), _tagged(e["value"], t.valueType).alias("v")),
         )
-        return F.array_sort(entries)
+        return F.struct(c.isNull().alias("z"), F.size(c).alias("n"), F.array_sort(entries).alias("e"))
     if isinstance(t, ArrayType):
-        return F.transform(c, lambda x: _hashable(x, t.elementType))
-    assert isinstance(t, StructType)
-    return F.struct(*[_hashable(c[f.name], f.dataType).alias(f.name) for f in t.fields])
+        if not isinstance(t.elementType, NESTED) and t.elementType.typeName() != "variant":
+            flags = F.transform(c, lambda x: x.isNull())
+            return F.struct(c.isNull().alias("z"), F.size(c).alias("n"), flags.alias("f"), c.alias("e"))
+        items = F.transform(c, lambda x: _tagged(x, t.elementType))
+        return F.struct(c.isNull().alias("z"), F.size(c).alias("n"), items.alias("e"))
+    if isinstance(t, StructType):
+        fields = [_tagged(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(t.fields)]
+        return F.struct(c.isNull().alias("z"), *fields)
+    value = F.to_json(c) if t.typeName() == "variant" else c
+    return F.struct(c.isNull().alias("z"), value.alias("v"))
+
+
+def _hashable(c: Column, t: DataType) -> Column:
+    """Top-level scalars stay as they are (their null flags are in the mask)."""
+    if isinstance(t, NESTED):
+        return _tagged(c, t)
+    return F.to_json(c) if t.typeName() == "variant" else c
 
 
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -33,7 +33,7 @@ def is_safe_ident(name: object) -> bool:
 def safe_ident(name: object) -> str:
     """Return ``name`` unchanged if it is a plain identifier, else raise."""
     if not is_safe_ident(name):
-        raise UnsafeIdentifier(f"unsafe identifier: {name!r}")
+        raise UnsafeIdentifier(f"{name!r} is not a plain name")
     return name  # type: ignore[return-value]
 
 

@@ -1,16 +1,15 @@
 """Partition specs: the ``k1=v1/k2=v2`` strings of ``SHOW PARTITIONS`` and of
 partition directory names.
 
-Both directions are plain Spark SQL expressions, so a metastore dump with
-millions of partition names is parsed by executors, never on the driver:
+Plain Spark SQL expressions, so millions of partition names are parsed by
+executors, never on the driver:
 
-* :func:`partition_spec` builds the spec a row is stored under, escaping
-  values the way Spark escapes partition directory names;
+* :func:`file_partition_spec` takes a spec out of a data file's URI;
 * :func:`partition_spec_values` explodes a spec column into one row per
   ``(pos, key, value)``, unescaped, with the default partition read as NULL;
 * :func:`spec_keys` gives only the ordered key list, for detection.
 
-No higher-order function appears in the escape, unescape and explode paths:
+No higher-order function appears in the unescape and explode paths:
 they are chains of ``replace``/``regexp`` calls and ``url_decode``, so the
 projection stays inside whole-stage code generation.
 """
@@ -22,45 +21,14 @@ from pyspark.sql import functions as F
 
 # Partition path conventions of Spark's file catalogs.
 DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-# Characters escaped as %XX (upper-case hex) in partition directory names:
-# the printable ones below ('%' first, so that it is escaped before the
-# others introduce new '%' signs), and the control characters 0x01-0x1F and
-# 0x7F (DEL).
-PRINTABLE_ESCAPED = "%\"#'*/:=?\\{[]^"
-CONTROL_CHARS = [chr(c) for c in range(0x01, 0x20)] + [chr(0x7F)]
-CONTROL_CHAR_CLASS = "[\\x01-\\x1F\\x7F]"
-
-
-def _code(ch: str) -> str:
-    return f"%{ord(ch):02X}"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _replace_chain(v: Column, chars) -> Column:
-    for ch in chars:
-        v = F.replace(v, F.lit(ch), F.lit(_code(ch)))
-    return v
-
-
-def escape_path_value(value: Column | str) -> Column:
-    """Escape one partition value (already a string) for a spec/path.
-    NULL and the empty string become the default partition name."""
-    v = _col(value)
-    # '%' first; the control-character chain only runs for values that hold
-    # one; then the rest of the printable characters.  Each chain appears
-    # once in the expression, which keeps the generated code small.
-    percent = _replace_chain(v, PRINTABLE_ESCAPED[0])
-    controls = F.when(v.rlike(CONTROL_CHAR_CLASS), _replace_chain(percent, CONTROL_CHARS)).otherwise(percent)
-    return F.when(v.isNull() | (v == ""), F.lit(DEFAULT_PARTITION)).otherwise(
-        _replace_chain(controls, PRINTABLE_ESCAPED[1:])
-    )
-
-
 def unescape_path_value(raw: Column | str) -> Column:
-    """Inverse of :func:`escape_path_value`: ``%XX`` -> character, a ``%``
+    """A value from its escaped form in a path: ``%XX`` -> character, a ``%``
     that starts no code kept as is, the default partition name -> NULL.
 
     ``url_decode`` does the decoding; beforehand ``+`` is protected (the
@@ -76,24 +44,6 @@ def unescape_path_value(raw: Column | str) -> Column:
     )
 
 
-def partition_spec(*pairs: tuple[str, Column | str]) -> Column:
-    """Spec string ``k1=v1/k2=v2`` for the given (name, value) pairs.
-
-    Values are cast to string the way Spark renders partition values
-    (dates ``yyyy-MM-dd``, timestamps ``yyyy-MM-dd HH:mm:ss``).
-    """
-    parts = []
-    for i, (name, value) in enumerate(pairs):
-        if i:
-            parts.append(F.lit("/"))
-        parts.append(escape_path_value(F.lit(name)))
-        parts.append(F.lit("="))
-        parts.append(escape_path_value(_col(value).cast("string")))
-    return F.concat(*parts)
-
-
-# A segment is the text between slashes; only segments holding '=' count
-# (a blank or '='-less segment is skipped).
 _SEGMENT = "(?:^|/)([^/]*=[^/]*)"
 
 
@@ -127,5 +77,15 @@ def partition_spec_values(
         *others,
         (F.col("__pos") + 1).alias(pos_col),
         unescape_path_value(F.trim(F.substring_index(seg, "=", 1))).alias(key_col),
-        unescape_path_value(F.substring(seg, F.instr(seg, "=") + 1, 1 << 30)).alias(value_col),
+        unescape_path_value(F.substr(seg, F.instr(seg, "=") + 1)).alias(value_col),
     )
+
+
+def file_partition_spec(path: Column | str) -> Column:
+    """The partition spec in a data file's URI (``_metadata.file_path``).
+
+    A URI encodes the folder names once more, so it is decoded once; a plus
+    sign stands for itself in it.  Blank for an unpartitioned file.
+    """
+    folders = F.regexp_extract_all(_col(path), F.lit("/([^/=]+=[^/]*)(?=/)"), 1)
+    return F.url_decode(F.replace(F.array_join(folders, "/"), F.lit("+"), F.lit("%2B")))

@@ -18,6 +18,7 @@ REPLACE TABLE ... AS SELECT``) use that instead.
 from __future__ import annotations
 
 import logging
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -109,9 +110,10 @@ def _hadoop_delete(spark: SparkSession, location: str) -> bool:
     return bool(fs.delete(path, True))
 
 
-def _ours(location: str | None, table: str) -> bool:
-    """A location written by an earlier swap of this table."""
-    return bool(location) and f"/{table}{VERSION_MARK}" in location  # type: ignore[operator]
+def _ours(location: str | None, table: str, root: str) -> bool:
+    """A location written by an earlier swap of this table: directly below
+    the namespace's root, the table, the mark and a run's 12 hex digits."""
+    return re.fullmatch(rf"{re.escape(root.rstrip('/'))}/{table}{VERSION_MARK}[0-9a-f]{{12}}/?", location or "") is not None
 
 
 def migrate_table(
@@ -146,6 +148,16 @@ def migrate_table(
     if (src_c.lower(), src_s.lower(), src_t.lower()) == (tgt_c.lower(), tgt_s.lower(), tgt_t.lower()):
         raise MigrationError("source and target are the same table; refusing before any DDL")
 
+    exists = table_exists(spark, target)
+    if exists and if_exists == "skip":
+        log.info("%s is left alone: %s is already there", source, target)
+        cols = list(detection.columns if detection is not None else partition_cols or [])
+        return MigrationResult(src_t, source, target, "skip", cols, None, "skipped")
+    if exists and if_exists == "error":
+        raise MigrationError(f"target {target} exists")
+    if exists and table_type(spark, target) == "VIEW":
+        raise MigrationError(f"target {target} is a view; nothing is copied over a view")
+
     # Detection happens before anything is dropped or written.
     src_df = spark.table(source)
     src_detect = detection if detection is not None else partition_columns(spark, source)
@@ -156,13 +168,6 @@ def migrate_table(
     cols = _resolve_partition_cols(cols, src_df.columns)
     notes = list(src_detect.notes)
 
-    exists = table_exists(spark, target)
-    if exists and if_exists == "skip":
-        log.info("[skip] %s: target exists", src_t)
-        return MigrationResult(src_t, source, target, "skip", cols, found_by, "skipped", notes=notes)
-    if exists and if_exists == "error":
-        raise MigrationError(f"target {target} exists")
-
     if provider.lower() in PATH_PROVIDERS:
         types = {f.name: f.dataType for f in src_df.schema.fields}
         string_cols = [c for c in cols if isinstance(types[c], StringType)]
@@ -176,7 +181,7 @@ def migrate_table(
 
     dist = choose_distribution(spark, distribution, src_detect.columns, cols)
     ensure_namespace(spark, tgt_c, tgt_s)
-    log.info("[migrate] %s: partitions=%s found_by=%s distribution=%s", src_t, cols or "(none)", found_by, dist)
+    log.info("copying %s, partitioned by %s (from %s), %s write", source, ", ".join(cols) or "nothing", found_by, dist)
 
     if not exists:
         plan = WritePlan(source, target, provider, cols, dist)
@@ -265,7 +270,7 @@ def _overwrite_by_swap(
     spark.sql(f"DROP TABLE {target}")
     # An external table keeps its location on rename: metadata-only swap.
     spark.sql(f"ALTER TABLE {staging} RENAME TO {tgt_s}.{tgt_t}")
-    if purge_replaced and old_type == "EXTERNAL" and _ours(old_location, tgt_t):
+    if purge_replaced and old_type == "EXTERNAL" and _ours(old_location, tgt_t, root):
         _hadoop_delete(spark, old_location)  # type: ignore[arg-type]
     return MigrationResult(
         split_fqn(source)[2], source, target, "overwrite", cols, found_by, "ok", dist, plan.sql(), notes

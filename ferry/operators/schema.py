@@ -120,7 +120,7 @@ def _one(
     except Exception as e:
         if not continue_on_error:
             raise
-        msg = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        msg = f"{type(e).__name__}: {e}"
         return (t, "refuse" if isinstance(e, (MigrationError, UnsafeIdentifier)) else "copy", None, None, None, "failed", msg)
 
 

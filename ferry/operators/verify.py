@@ -23,6 +23,7 @@ REPORT_SCHEMA = "table_name string, check_name string, expected string, actual s
 # Names of the checks, in report order.
 CHECKS = (
     "columns",
+    "types",
     "row_count",
     "content_hash",
     "partition_columns",
@@ -37,6 +38,17 @@ def _resolve(df: DataFrame, names: list[str]) -> list[str] | None:
     return None if any(o is None for o in out) else out  # type: ignore[return-value]
 
 
+def column_types(spark: SparkSession, table: str) -> str:
+    """``name type`` of every column, by name, from the catalog: a DataFrame's
+    schema shows CHAR and VARCHAR columns as plain strings."""
+    types = {}
+    for r in spark.sql(f"DESCRIBE TABLE {table}").collect():
+        if not r.col_name or r.col_name.startswith("#"):
+            break
+        types[r.col_name.lower()] = r.data_type
+    return ",".join(f"{n} {t}" for n, t in sorted(types.items()))
+
+
 def _per_partition(df: DataFrame, pcols: list[str], hash_cols: list[str] | None) -> DataFrame:
     """``(k0, z0, .., n, h0..h3)``: rows and hash slice sums per partition
     value.  Each partition column becomes two never-NULL keys, its value as
@@ -101,6 +113,8 @@ def compare_tables(
     return {
         "source_columns": ",".join(sorted(c.lower() for c in src_names)),
         "target_columns": ",".join(sorted(c.lower() for c in tgt.columns)),
+        "source_types": column_types(spark, source),
+        "target_types": column_types(spark, target),
         "src_rows": row.src_rows,
         "tgt_rows": row.tgt_rows,
         "src_hash": src_hash,
@@ -121,6 +135,7 @@ def verify_rows(table_name: str, s: dict) -> list[tuple]:
 
     return [
         r("columns", s["source_columns"], s["target_columns"]),
+        r("types", s["source_types"], s["target_types"]),
         r("row_count", s["src_rows"], s["tgt_rows"]),
         r("content_hash", s["src_hash"], s["tgt_hash"]),
         r("partition_columns", s["source_partition_cols"].lower(), s["target_partition_cols"].lower()),
@@ -139,7 +154,8 @@ def verify_migration(
 ) -> DataFrame:
     """Report ``(table_name, check_name, expected, actual, ok)``.
 
-    ``columns``: same column names; ``row_count``; ``content_hash``: the
+    ``columns``: same column names; ``types``: same column types as the
+    catalogs declare them; ``row_count``; ``content_hash``: the
     order-free multiset hash of all rows; ``partition_columns``: the
     target's registered partition columns equal the source's;
     ``partition_count`` and ``partition_mismatches``: the same partitions,

@@ -50,15 +50,9 @@ class Detection:
 
 
 def dedupe(names: list[str]) -> list[str]:
-    """Keep the first of names that Spark would resolve to the same column."""
-    seen: set[str] = set()
-    out = []
-    for n in names:
-        k = n.lower() if n else n
-        if n and k not in seen:
-            seen.add(k)
-            out.append(n)
-    return out
+    """The names without those that Spark would resolve to an earlier one."""
+    first = {n.lower(): n for n in reversed(names) if n}
+    return sorted(first.values(), key=names.index)
 
 
 def _first_line(e: Exception) -> str:

@@ -136,7 +136,7 @@ def test_verify_schema_reports_every_table(spark, src, tgt):
     rep = verify_schema(spark, C, src, C, tgt, tables=["nation", "orders", "typed"], parallelism=3).collect()
     bad = {(r.table_name, r.check_name) for r in rep if not r.ok}
     assert bad == {("nation", "row_count"), ("nation", "content_hash"), ("nation", "partition_mismatches")}
-    assert len(rep) == 18
+    assert len(rep) == 21
 
 
 def test_session_catalog_and_namespace_unchanged(spark, src, tgt):
@@ -164,7 +164,7 @@ def test_cli_verbose_logs_each_statement(spark, src, tgt, caplog):
     with caplog.at_level(logging.DEBUG, logger="ferry"):
         assert cli_main(base + ["--tables", "orders", "-v"], spark=spark) == 0
     text = caplog.text
-    assert "[migrate] orders: partitions=['o_orderstatus']" in text
+    assert "orders, partitioned by o_orderstatus (from catalog)" in text
     assert f"CREATE TABLE {C}.{tgt}.orders" in text and "PARTITIONED BY (o_orderstatus)" in text
 
 
@@ -174,3 +174,67 @@ def test_same_namespace_is_refused_before_any_ddl(spark, src):
     report = migrate_schema(spark, C, src, C, src, tables=["nation", "orders"], continue_on_error=True).collect()
     assert {r.status for r in report} == {"failed"} and all("same table" in r.error for r in report)
     assert spark.table(f"{C}.{src}.orders").count() > 0 and spark.table(f"{C}.{src}.nation").count() == 25
+
+
+# ------------------------------------------- what verification must not miss
+
+NESTED_PAIRS = [
+    ("array(1, NULL)", "array(NULL, 1)"),
+    ("named_struct('a', CAST(NULL AS STRING), 'b', 'q')", "named_struct('a', 'q', 'b', CAST(NULL AS STRING))"),
+    ("named_struct('a', array(1, 2), 'b', array(3))", "named_struct('a', array(1), 'b', array(2, 3))"),
+    ("CAST(NULL AS STRUCT<a: INT>)", "named_struct('a', CAST(NULL AS INT))"),
+    ("array(CAST(NULL AS ARRAY<INT>))", "array(CAST(array() AS ARRAY<INT>))"),
+    ("map('k', array(1), 'l', array(2, 3))", "map('k', array(1, 2), 'l', array(3))"),
+]
+
+
+@pytest.mark.parametrize("left,right", NESTED_PAIRS)
+def test_row_hash_tells_nested_values_apart(spark, left, right):
+    from ferry.functions.hashing import row_hash
+
+    a, b, again = (spark.sql(f"SELECT {v} AS v") for v in (left, right, left))
+    x, y, z = (df.select(row_hash(df).alias("h")).first().h for df in (a, b, again))
+    assert x == z != y
+
+
+def test_row_hash_of_maps_has_no_order_and_variants_work(spark):
+    from ferry.functions.hashing import row_hash
+
+    a, b = (spark.sql(f"SELECT {v} AS v") for v in ("map('a', 1, 'b', 2)", "map('b', 2, 'a', 1)"))
+    assert a.select(row_hash(a).alias("h")).first().h == b.select(row_hash(b).alias("h")).first().h
+    v = spark.sql("SELECT named_struct('v', parse_json('{\"a\": 1}')) AS s")
+    assert v.select(row_hash(v).alias("h")).first().h is not None
+
+
+def test_verification_compares_declared_types(spark, tgt):
+    spark.sql(f"CREATE TABLE {C}.{tgt}.short_text (t VARCHAR(15)) USING parquet")
+    spark.sql(f"CREATE TABLE {C}.{tgt}.long_text (t STRING) USING parquet")
+    report = verify_migration(spark, f"{C}.{tgt}.short_text", f"{C}.{tgt}.long_text").collect()
+    assert [r.check_name for r in report if not r.ok] == ["types"]
+
+
+def test_first_failure_ends_a_concurrent_run():
+    import threading
+
+    from ferry.concurrency import map_concurrently
+
+    started, gate = [], threading.Event()
+
+    def work(x):
+        started.append(x)
+        if x == 0:
+            gate.wait(5)
+            raise ValueError("first line\nsecond line")
+        if x == 1:
+            gate.set()
+            threading.Event().wait(0.3)
+        return x
+
+    with pytest.raises(ValueError) as caught:
+        map_concurrently(work, range(8), 2)
+    assert len(started) < 8 and "finished before" in caught.value.__notes__[0]
+
+
+def test_errors_are_reported_whole(spark, src, tgt):
+    report = migrate_schema(spark, C, src, C, tgt, tables=["broken_v"], continue_on_error=True)
+    assert "\n" in report.first().error
