@@ -10,7 +10,7 @@ table's rows, so a dump of many tables is scanned in one pass.
 The windows are keyed by table: one table's DESCRIBE rows (its columns plus
 a fixed block of metadata lines) are bounded by its schema width, so no
 group can grow with the data volume; the window buffer spills to disk if a
-very wide table ever exceeds memory.  The three windows share one
+very wide table ever exceeds memory.  The windows share one
 partitioning (by table), so the plan has a single shuffle.
 """
 
