@@ -202,10 +202,9 @@ class Lexicon:
     # -- compiled file
 
     @classmethod
-    def compiled(cls, tokenizer_path: str, words: Iterable[str] = ()) -> bytes:
-        """The file's content for a tokenizer and its frequent words."""
-        with open(tokenizer_path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def compiled(cls, tokenizer: str, words: Iterable[str] = ()) -> bytes:
+        """The file's content for a tokenizer (its JSON text) and its frequent words."""
+        spec = json.loads(tokenizer)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -472,8 +471,19 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
 
 
 def shipped_lexicon(spark: SparkSession, tokenizer_path: str, words: list[str]) -> str:
-    """Compile a lexicon and hand it to every executor; its name there."""
-    body = Lexicon.compiled(tokenizer_path, words)
+    """Compile a lexicon and hand it to every executor; its name there.
+
+    One task compiles it (at most LEXICON_WORDS words), which spares the
+    driver the memory; the compiled file is a few megabytes.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokenizer = f.read()
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([Lexicon.compiled(tokenizer, words)], pa.binary())], names=["body"])
+
+    body = bytes(spark.range(1).repartition(1).mapInArrow(compiled, "body binary").first()["body"])
     name = f"lexicon-{hashlib.sha256(body).hexdigest()[:16]}.bin"
     if any(os.path.basename(f) == name for f in spark.sparkContext.listFiles):
         return name  # the same lexicon went out before

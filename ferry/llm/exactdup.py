@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ferry.llm.shared import id_filter
 
 PREFIX_CHARS = 64
+#: Bits of the map of surviving values (128 KiB, a literal in the plan); a full map costs a hash per row.
+FILTER_BITS = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,7 +46,7 @@ def _refined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Co
     alike = narrow.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1")
     alike = alike.join(lengths, "_len", "left_semi").select(F.xxhash64("_len", "_prefix").alias("_key"))
     full = F.sha2(F.encode("_body", "UTF-8"), 256)
-    survives = _may_survive(F.xxhash64("_len", "_prefix"), id_filter(alike, "_key"))
+    survives = _may_survive(F.xxhash64("_len", "_prefix"), id_filter(alike, "_key", FILTER_BITS))
     return rows.withColumn("_full", F.when(survives, full)), full
 
 

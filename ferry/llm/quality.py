@@ -221,10 +221,10 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(_pooled(b.column(0), vectors)), pa.list_(pa.float32()))], names=["label", "x"])
 
-    sample = labelled_sample(docs, labels, "quality", SAMPLE, id_col, text_col).mapInArrow(features, "label double, x array<float>").collect()
-    x = np.array([r["x"] for r in sample], dtype=np.float64).reshape(len(sample), 2 * DIM + SHAPES + 1)
+    sample = labelled_sample(docs, labels, "quality", SAMPLE, id_col, text_col).mapInArrow(features, "label double, x array<float>").toArrow().combine_chunks()
+    x = np.array(sample["x"].combine_chunks().flatten(), dtype=np.float64).reshape(len(sample), 2 * DIM + SHAPES + 1)
     order = np.lexsort(x.T)  # the fit must not depend on the order of rows
-    return vectors, fit_network(x[order], np.array([r["label"] for r in sample])[order])
+    return vectors, fit_network(x[order], np.array(sample["label"].combine_chunks(), dtype=np.float64)[order])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
