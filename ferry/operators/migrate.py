@@ -7,12 +7,17 @@ parquet readers), the write is a dynamic-partition write, and the optional
 REBALANCE shuffle is chosen by :mod:`ferry.plans.write_plan`.  Table data
 never passes through the driver.
 
-Overwrite never drops the old target before the new rows exist: the new
-version is written under its own location as a staging table, optionally
-verified, and only then swapped in by ``DROP`` + ``RENAME`` (metadata only;
-the files stay where they were written).  A failing copy leaves the old
-target untouched.  Catalogs that implement atomic replace (``CREATE OR
-REPLACE TABLE ... AS SELECT``) use that instead.
+Every copy into the session catalog, the first one too, is written under a
+location of its own run as a staging table, optionally verified, and only
+then put into place by ``RENAME`` (after ``DROP`` of the old target if there
+is one; metadata only, the files stay where they were written).  A failing or
+killed copy leaves the old target untouched and never blocks a later run.
+Tables written this way are EXTERNAL, first copies and overwrites alike:
+dropping one later leaves its files.  The files of a replaced version stay for
+readers that are still running unless ``purge_replaced`` asks for their
+removal.  Catalogs that implement atomic replace (``CREATE OR REPLACE TABLE
+... AS SELECT``) use that instead, from a verified staging table when a check
+is asked for.
 """
 
 from __future__ import annotations
@@ -21,15 +26,17 @@ import logging
 import re
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, DataType, StringType, TimestampType
 
-from ferry.functions.identifiers import safe_ident, split_fqn
-from ferry.plans.write_plan import PATH_PROVIDERS, WritePlan, choose_distribution
+from ferry.functions.identifiers import is_safe_ident, safe_ident, split_fqn
+from ferry.plans.write_plan import DEFAULT_PARTITION, FILE_PROVIDERS, WritePlan, choose_distribution
 from ferry.sources.catalog import (
     ensure_namespace,
+    list_source_tables,
     namespace_location,
     table_exists,
     table_location,
@@ -62,6 +69,8 @@ class MigrationResult:
     distribution: str | None = None
     sql: str | None = None
     notes: list[str] = field(default_factory=list)
+    rows_source: int | None = None
+    rows_target: int | None = None
 
 
 def _resolve_partition_cols(cols: list[str], source_columns: list[str]) -> list[str]:
@@ -77,28 +86,41 @@ def _resolve_partition_cols(cols: list[str], source_columns: list[str]) -> list[
     return out
 
 
-def _check_empty_strings(spark: SparkSession, source: str, cols: list[str]) -> None:
-    """Path-partitioned targets store '' as NULL.  Refuse instead of
-    changing data silently.  Filter-and-limit: the predicate is pushed to
-    the scan, row-group statistics skip most data, the first hit ends it."""
-    if not cols:
+def _changed_by_a_path(value: Column, kind: DataType) -> Column | None:
+    """True where a value does not come back from a directory name; None for
+    types whose text always does."""
+    text = value.cast("string")
+    if isinstance(kind, TimestampType):
+        # Two instants of a daylight-saving overlap have one local text.
+        return ~text.try_cast("timestamp").eqNullSafe(value)
+    if isinstance(kind, BinaryType):
+        return text.isin("", DEFAULT_PARTITION) | ~F.is_valid_utf8(text)
+    if isinstance(kind, StringType):
+        return text.isin("", DEFAULT_PARTITION)
+    return None
+
+
+def _check_partition_values(df: DataFrame, cols: list[str]) -> None:
+    """Refuse partition values that a path-partitioned target would change.
+    Filter-and-limit: predicates on strings are pushed to the scan, row-group
+    statistics skip most data, the first hit ends it."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    tests = {c: t for c in cols if (t := _changed_by_a_path(F.col(f"`{c}`"), types[c])) is not None}
+    if not tests:
         return
-    df = spark.table(source)
-    cond = None
-    for c in cols:
-        p = F.col(f"`{c}`") == F.lit("")
-        cond = p if cond is None else cond | p
-    hits = df.where(cond).select(*[F.col(f"`{c}`") for c in cols]).limit(1).collect()
-    if hits:
-        bad = [c for c in cols if hits[0][c] == ""]
+    flags = [F.coalesce(t, F.lit(False)).alias(f"b{i}") for i, t in enumerate(tests.values())]
+    hit = df.where(reduce(Column.__or__, tests.values())).select(*flags).limit(1).collect()
+    if hit:
+        bad = [c for c, flag in zip(tests, hit[0]) if flag]
         raise MigrationError(
-            f"empty-string values in partition column(s) {bad} would become NULL in a path-partitioned target"
+            f"values in partition column(s) {bad} would change in a path-partitioned target (empty-string and "
+            "default-partition texts become NULL; bytes that are not UTF-8 and repeated local times are lost)"
         )
 
 
 def _path_partitioned(spark: SparkSession, name: str) -> bool:
     try:
-        return (table_provider(spark, name) or "") in PATH_PROVIDERS + ("hive",)
+        return (table_provider(spark, name) or "") in FILE_PROVIDERS
     except Exception:
         return False
 
@@ -126,7 +148,7 @@ def migrate_table(
     if_exists: str = "overwrite",
     distribution: str = "auto",
     verify: bool = False,
-    purge_replaced: bool = True,
+    purge_replaced: bool = False,
     detection: Detection | None = None,
 ) -> MigrationResult:
     """Copy ``source`` to ``target`` (both ``catalog.schema.table``).
@@ -136,6 +158,8 @@ def migrate_table(
     ``overwrite`` (replace, old rows kept until the new copy exists),
     ``skip`` (leave an existing target alone) or ``error``.  With ``verify``
     the new copy is compared with the source before it replaces anything.
+    ``purge_replaced`` deletes the files of a replaced version that an
+    earlier run of this function wrote.
     ``detection`` passes the source's detected partitioning when the caller
     already has it (batch runs detect all tables at once).
     Raises :class:`MigrationError` (or Spark's own error) on failure.
@@ -168,53 +192,67 @@ def migrate_table(
     cols = _resolve_partition_cols(cols, src_df.columns)
     notes = list(src_detect.notes)
 
-    if provider.lower() in PATH_PROVIDERS:
-        types = {f.name: f.dataType for f in src_df.schema.fields}
-        string_cols = [c for c in cols if isinstance(types[c], StringType)]
-        # A source that keeps partitions as directories cannot hold '' in
-        # its own partition columns (it already reads them as NULL); other
-        # sources (Iceberg, Delta, ...) can, so only then are those checked.
-        src_parts = {c.lower() for c in src_detect.columns}
-        if any(c.lower() in src_parts for c in string_cols) and not _path_partitioned(spark, source):
-            src_parts = set()
-        _check_empty_strings(spark, source, [c for c in string_cols if c.lower() not in src_parts])
+    if provider.lower() in FILE_PROVIDERS:
+        # A source that keeps partitions as directories read its values from
+        # there, so only columns that become partitions, or that other sources
+        # (Iceberg, Delta, ...) keep as values, are checked.
+        kept = {c.lower() for c in src_detect.columns} if _path_partitioned(spark, source) else set()
+        _check_partition_values(src_df, [c for c in cols if c.lower() not in kept])
 
     dist = choose_distribution(spark, distribution, src_detect.columns, cols)
     ensure_namespace(spark, tgt_c, tgt_s)
     log.info("copying %s, partitioned by %s (from %s), %s write", source, ", ".join(cols) or "nothing", found_by, dist)
 
-    if not exists:
-        plan = WritePlan(source, target, provider, cols, dist)
-        log.debug("%s", plan.sql())
-        spark.sql(plan.sql())
-        if verify:
-            # Nothing stood here before: a copy that fails its check is removed.
-            _verify_or_raise(spark, source, target, cols, drop_on_failure=True)
-        return MigrationResult(src_t, source, target, "create", cols, found_by, "ok", dist, plan.sql(), notes)
-
-    if tgt_c.lower() != SESSION_CATALOG or provider.lower() not in PATH_PROVIDERS:
-        # Catalogs with transactional replace swap atomically.
-        plan = WritePlan(source, target, provider, cols, dist, replace=True)
-        log.debug("%s", plan.sql())
-        spark.sql(plan.sql())
-        if verify:
-            _verify_or_raise(spark, source, target, cols, drop_on_failure=False)
-        return MigrationResult(src_t, source, target, "overwrite", cols, found_by, "ok", dist, plan.sql(), notes)
-
-    return _overwrite_by_swap(
-        spark, source, target, provider, cols, found_by, dist, verify, purge_replaced, notes
+    result = MigrationResult(
+        src_t, source, target, "overwrite" if exists else "create", cols, found_by, "ok", dist, notes=notes
     )
+    if tgt_c.lower() == SESSION_CATALOG and provider.lower() in FILE_PROVIDERS:
+        _stage_and_swap(spark, result, provider, exists, verify, purge_replaced)
+    else:
+        _write_in_one_commit(spark, result, provider, exists, verify)
+    return result
 
 
-def _verify_or_raise(spark: SparkSession, source: str, target: str, cols: list[str], drop_on_failure: bool) -> None:
+def _run(spark: SparkSession, plan: WritePlan) -> str:
+    log.debug("%s", plan.sql())
+    spark.sql(plan.sql())
+    return plan.sql()
+
+
+def _verify_or_raise(spark: SparkSession, result: MigrationResult, copy: str) -> None:
+    """Compare ``copy`` with the source; the row counts go into the result."""
     from ferry.operators.verify import compare_tables, migration_ok, verify_rows
 
-    summary = compare_tables(spark, source, target, cols)
+    summary = compare_tables(spark, result.source, copy, result.partition_cols)
+    result.rows_source, result.rows_target = summary["src_rows"], summary["tgt_rows"]
     if not migration_ok(summary):
-        failed = [r[1] for r in verify_rows("", summary) if not r[4]]
-        if drop_on_failure:
-            _drop_and_purge(spark, target)
-        raise MigrationError(f"verification failed: {failed}")
+        raise MigrationError(f"verification failed: {[r[1] for r in verify_rows('', summary) if not r[4]]}")
+
+
+def _write_in_one_commit(
+    spark: SparkSession, result: MigrationResult, provider: str, exists: bool, verify: bool
+) -> None:
+    """Copy into a catalog that commits a whole statement.  A checked
+    overwrite writes twice: a staging table, which is compared with the
+    source, and the replacing table, read from the staging table.  A first
+    copy that fails its check is removed."""
+    source, target, cols = result.source, result.target, result.partition_cols
+    if exists and verify:
+        staging = f"{target}{STAGING_MARK}{uuid.uuid4().hex[:12]}"
+        try:
+            _run(spark, WritePlan(source, staging, provider, cols, result.distribution))
+            _verify_or_raise(spark, result, staging)
+            result.sql = _run(spark, WritePlan(staging, target, provider, cols, "none", replace=True))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        return
+    result.sql = _run(spark, WritePlan(source, target, provider, cols, result.distribution, replace=exists))
+    if verify:
+        try:
+            _verify_or_raise(spark, result, target)
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {target}")
+            raise
 
 
 def _drop_and_purge(spark: SparkSession, name: str) -> None:
@@ -228,89 +266,99 @@ def _drop_and_purge(spark: SparkSession, name: str) -> None:
         _hadoop_delete(spark, loc)
 
 
-def _overwrite_by_swap(
-    spark: SparkSession,
-    source: str,
-    target: str,
-    provider: str,
-    cols: list[str],
-    found_by: str | None,
-    dist: str,
-    verify: bool,
-    purge_replaced: bool,
-    notes: list[str],
-):
+def _stage_and_swap(
+    spark: SparkSession, result: MigrationResult, provider: str, exists: bool, verify: bool, purge_replaced: bool
+) -> None:
+    target, cols = result.target, result.partition_cols
     tgt_c, tgt_s, tgt_t = split_fqn(target)
     run = uuid.uuid4().hex[:12]
     root = namespace_location(spark, tgt_c, tgt_s)
     if not root:
         raise MigrationError(f"no location for namespace {tgt_c}.{tgt_s}")
     location = f"{root.rstrip('/')}/{tgt_t}{VERSION_MARK}{run}"
-    staging_t = f"{tgt_t}{STAGING_MARK}{run}"
-    staging = f"{tgt_c}.{tgt_s}.{staging_t}"
-
-    plan = WritePlan(source, staging, provider, cols, dist, location=location)
-    log.debug("%s", plan.sql())
+    staging = f"{tgt_c}.{tgt_s}.{tgt_t}{STAGING_MARK}{run}"
     try:
-        spark.sql(plan.sql())
+        plan = WritePlan(result.source, staging, provider, cols, result.distribution, location=location)
+        result.sql = _run(spark, plan)
+        if verify:
+            _verify_or_raise(spark, result, staging)
     except Exception:
-        # The old target was not touched; remove the partial new version and
-        # surface the copy's own error (a failing cleanup must not hide it).
+        # Nothing was touched; remove the new version and surface the copy's
+        # own error (a failing cleanup must not hide it).
         try:
             spark.sql(f"DROP TABLE IF EXISTS {staging}")
             _hadoop_delete(spark, location)
         except Exception:
-            pass
+            log.warning("%s or files in %s are left over", staging, location)
         raise
-    if verify:
-        _verify_or_raise(spark, source, staging, cols, drop_on_failure=True)
 
-    old_type = table_type(spark, target)
-    old_location = table_location(spark, target)
-    spark.sql(f"DROP TABLE {target}")
-    # An external table keeps its location on rename: metadata-only swap.
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {tgt_s}.{tgt_t}")
+    old_type = table_type(spark, target) if exists else None
+    old_location = table_location(spark, target) if exists else None
+    try:
+        if exists:
+            spark.sql(f"DROP TABLE {target}")
+        # An external table keeps its location on rename: metadata-only swap.
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {tgt_s}.{tgt_t}")
+    except Exception as e:
+        if table_exists(spark, target):
+            _drop_and_purge(spark, staging)
+        else:
+            e.add_note(f"the whole copy is in {staging}; recover_swaps puts it into place")
+        raise
     if purge_replaced and old_type == "EXTERNAL" and _ours(old_location, tgt_t, root):
         _hadoop_delete(spark, old_location)  # type: ignore[arg-type]
-    return MigrationResult(
-        split_fqn(source)[2], source, target, "overwrite", cols, found_by, "ok", dist, plan.sql(), notes
-    )
 
 
-RECOVERY_SCHEMA = "table_name string, staging_table string, action string"
+RECOVERY_SCHEMA = "table_name string, found string, action string"
 
 
-def recover_swaps(spark: SparkSession, catalog: str, schema: str) -> DataFrame:
-    """Clean up after overwrites that were interrupted (driver lost) in a
-    target namespace.  Run it when no migration into that namespace is
-    running.
+def _run_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the run folders (table, mark, 12 hex digits) below a root."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+    return sorted(n for n in found if re.fullmatch(rf"[A-Za-z0-9_]+{VERSION_MARK}[0-9a-f]{{12}}", n))
+
+
+def recover_swaps(spark: SparkSession, catalog: str, schema: str, *, purge: bool = False) -> DataFrame:
+    """Clean up after copies that were interrupted (driver lost) in a target
+    namespace.  Run it when no migration into that namespace is running.
 
     A staging table ``<t>__stg_<run>`` whose target ``<t>`` is missing is a
-    swap that dropped the old target but never renamed the new copy (which
-    is complete: staging tables only exist after their CTAS succeeded), so
-    it is renamed into place (``completed``).  A staging table whose target
-    exists never reached its swap; it is dropped and its files removed
-    (``discarded``).  Returns one row per staging table found.
+    whole copy that was never renamed (staging tables only exist after their
+    CTAS succeeded; a check that was asked for may not have run), so it is
+    renamed into place (``completed``).  One whose target exists never reached
+    its swap; it is dropped and its files removed (``discarded``).  A run
+    folder that no table of the namespace uses is a copy that was cut short or
+    a replaced version: it is listed as ``orphaned``, and with ``purge``
+    deleted (``purged``).  Only tables stored in a run folder of their own
+    name and run are touched.  One row per staging table or folder.
     """
-    import re
+    ns = f"{safe_ident(catalog)}.{safe_ident(schema)}"
+    root = namespace_location(spark, catalog, schema) or ""
 
-    from ferry.sources.catalog import list_source_tables
+    def names() -> list[str]:
+        return sorted(r.table_name for r in list_source_tables(spark, catalog, schema, include_views=False).collect())
 
-    pattern = re.compile(rf"^(?P<t>[A-Za-z0-9_]+){STAGING_MARK}(?P<run>[0-9a-f]{{12}})$")
-    names = sorted(r.table_name for r in list_source_tables(spark, catalog, schema, include_views=False).collect())
     rows = []
-    for name in names:
-        m = pattern.match(name)
-        if not m:
+    for name in names():
+        m = re.fullmatch(rf"([A-Za-z0-9_]+){STAGING_MARK}([0-9a-f]{{12}})", name)
+        if m is None or not _ours(table_location(spark, f"{ns}.{name}"), m[1], root):
             continue
-        t = m.group("t")
-        staging = f"{safe_ident(catalog)}.{safe_ident(schema)}.{name}"
-        target = f"{safe_ident(catalog)}.{safe_ident(schema)}.{t}"
-        if table_exists(spark, target):
-            _drop_and_purge(spark, staging)
-            rows.append((t, name, "discarded"))
+        if table_exists(spark, f"{ns}.{m[1]}"):
+            _drop_and_purge(spark, f"{ns}.{name}")
+            rows.append((m[1], name, "discarded"))
         else:
-            spark.sql(f"ALTER TABLE {staging} RENAME TO {safe_ident(schema)}.{t}")
-            rows.append((t, name, "completed"))
-        log.info("[recover] %s: %s %s", t, rows[-1][2], name)
+            spark.sql(f"ALTER TABLE {ns}.{name} RENAME TO {schema}.{m[1]}")
+            rows.append((m[1], name, "completed"))
+    folders = _run_folders(spark, root) if root else []
+    if folders:
+        used = {(table_location(spark, f"{ns}.{t}") or "").rstrip("/").rpartition("/")[2] for t in names() if is_safe_ident(t)}
+        for folder in folders:
+            if folder not in used:
+                if purge:
+                    _hadoop_delete(spark, f"{root.rstrip('/')}/{folder}")
+                rows.append((folder.rpartition(VERSION_MARK)[0], folder, "purged" if purge else "orphaned"))
+    for table, name, action in rows:
+        log.info("%s: %s was %s", table, name, action)
     return spark.createDataFrame(rows, RECOVERY_SCHEMA)

@@ -101,20 +101,24 @@ def _one(
     if_exists: str,
     verify: str,
     continue_on_error: bool,
+    purge_replaced: bool,
     detection: Detection | None,
 ) -> tuple:
     try:
         src = f"{safe_ident(source_catalog)}.{safe_ident(source_schema)}.{safe_ident(t)}"
         tgt = f"{safe_ident(target_catalog)}.{safe_ident(target_schema)}.{t}"
         res = migrate_table(
-            spark, src, tgt, provider=provider, if_exists=if_exists, verify=(verify == "full"), detection=detection
+            spark, src, tgt, provider=provider, if_exists=if_exists, verify=(verify == "full"),
+            purge_replaced=purge_replaced, detection=detection,
         )
         n_src = n_tgt = None
         status = res.status
-        if verify != "none":
+        if verify == "full":
+            n_src, n_tgt = res.rows_source, res.rows_target  # counted by the comparison
+        elif verify == "counts" and res.status == "ok":
             n_src = spark.table(src).count()
             n_tgt = spark.table(tgt).count()
-            if res.status == "ok" and n_src != n_tgt:
+            if n_src != n_tgt:
                 status = "mismatch"
         return (t, res.action, ",".join(res.partition_cols), n_src, n_tgt, status, None)
     except Exception as e:
@@ -138,6 +142,7 @@ def migrate_schema(
     verify: str = "counts",
     include_views: bool = True,
     parallelism: int = 1,
+    purge_replaced: bool = False,
 ) -> DataFrame:
     """Migrate every table of a namespace (or the ``tables`` asked for).
 
@@ -147,6 +152,8 @@ def migrate_schema(
     ``verify``: ``counts`` (row counts of both sides), ``full`` (content
     hash and partition checks before a replace) or ``none``.
     ``parallelism > 1`` runs that many table copies as concurrent Spark jobs.
+    Skipped tables are not counted.  ``purge_replaced`` deletes the files of
+    replaced versions (see :func:`migrate_table`).
     """
     if verify not in VERIFY_MODES:
         raise ValueError(f"verify must be one of {VERIFY_MODES}")
@@ -157,7 +164,7 @@ def migrate_schema(
     if names:
         ensure_namespace(spark, target_catalog, target_schema)
     args = (spark, source_catalog, source_schema, target_catalog, target_schema)
-    opts = (provider, if_exists, verify, continue_on_error)
+    opts = (provider, if_exists, verify, continue_on_error, purge_replaced)
     rows = map_concurrently(lambda t: _one(*args, t, *opts, dets.get(t)), names, parallelism, spark)
     rows.extend((m, "not_found", None, None, None, "not_found", "not in the source namespace") for m in missing)
     return spark.createDataFrame(rows, REPORT_SCHEMA)

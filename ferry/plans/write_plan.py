@@ -31,6 +31,9 @@ from ferry.functions.identifiers import safe_ident, split_fqn
 # Table providers whose partitions are directories
 # (partition values live in paths; an empty string becomes NULL there).
 PATH_PROVIDERS = ("parquet", "orc", "csv", "json", "text", "avro")
+FILE_PROVIDERS = PATH_PROVIDERS + ("hive",)
+# Fixed value: the directory name that stands for a NULL partition value.
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 DISTRIBUTIONS = ("auto", "none", "rebalance")
 

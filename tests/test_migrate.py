@@ -137,6 +137,10 @@ def test_second_overwrite_removes_the_replaced_version(spark, src, tgt):
     migrate_table(spark, f"{C}.{src}.orders", f"{C}.{tgt}.orders")
     first = table_location(spark, f"{C}.{tgt}.orders")
     migrate_table(spark, f"{C}.{src}.orders", f"{C}.{tgt}.orders")
+    kept = table_location(spark, f"{C}.{tgt}.orders")
+    assert os.path.exists(first.replace("file:", ""))  # removal is asked for, never a default
+    first = kept
+    migrate_table(spark, f"{C}.{src}.orders", f"{C}.{tgt}.orders", purge_replaced=True)
     second = table_location(spark, f"{C}.{tgt}.orders")
     assert first != second
     assert not os.path.exists(first.replace("file:", ""))
@@ -284,3 +288,134 @@ def test_recover_interrupted_swaps(spark, src, tgt):
     assert not os.path.exists(f"{root}/nation__v_ba9876543210".replace("file:", ""))
     names = {r.tableName for r in spark.sql(f"SHOW TABLES IN {C}.{tgt}").collect()}
     assert not any("__stg_" in n for n in names)
+
+
+# ------------------------------------------------- copies that must be safe
+
+UNKEPT = [
+    ("'__HIVE_DEFAULT_PARTITION__'", "string"),
+    ("''", "string"),
+    ("X''", "binary"),
+    ("X'FF'", "binary"),
+]
+
+
+@pytest.mark.parametrize("value,kind", UNKEPT)
+@pytest.mark.parametrize("provider", ["parquet", "hive"])
+def test_values_that_a_path_would_change_are_refused(spark, tgt, value, kind, provider):
+    spark.sql(f"CREATE TABLE {C}.{tgt}.s USING orc AS SELECT 1 AS id, CAST({value} AS {kind}) AS p UNION ALL SELECT 2, NULL")
+    with pytest.raises(MigrationError, match="would change"):
+        migrate_table(spark, f"{C}.{tgt}.s", f"{C}.{tgt}.t", provider=provider, partition_cols=["p"])
+    assert not spark.catalog.tableExists(f"{C}.{tgt}.t")
+
+
+def test_repeated_local_times_are_refused_and_others_kept(spark, tgt):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    # 06:30 UTC is the second 01:30 of that night in New York, 05:30 UTC the first.
+    spark.sql(
+        f"CREATE TABLE {C}.{tgt}.s USING orc AS SELECT 1 AS id, TIMESTAMP'2024-11-03 05:30:00Z' AS p "
+        "UNION ALL SELECT 2, TIMESTAMP'2024-11-03 06:30:00Z' UNION ALL SELECT 3, NULL"
+    )
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        with pytest.raises(MigrationError, match="would change"):
+            migrate_table(spark, f"{C}.{tgt}.s", f"{C}.{tgt}.t", partition_cols=["p"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    migrate_table(spark, f"{C}.{tgt}.s", f"{C}.{tgt}.t", partition_cols=["p"], verify=True)
+    assert same_rows(spark.table(f"{C}.{tgt}.s"), spark.table(f"{C}.{tgt}.t"))
+
+
+def test_first_copies_are_staged_and_leftovers_do_not_block(spark, src, tgt):
+    from ferry.operators.migrate import recover_swaps
+    from ferry.sources.catalog import namespace_location, table_type
+
+    root = namespace_location(spark, C, tgt).rstrip("/").replace("file:", "")
+    for folder in ("nation/_temporary/0", "nation__v_00112233aabb/_temporary/0"):
+        os.makedirs(f"{root}/{folder}")
+    migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation", verify=True)
+    first = table_type(spark, f"{C}.{tgt}.nation")
+    migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation", purge_replaced=True)
+    assert first == table_type(spark, f"{C}.{tgt}.nation") == "EXTERNAL"
+    assert [(r.found, r.action) for r in recover_swaps(spark, C, tgt).collect()] == [("nation__v_00112233aabb", "orphaned")]
+    assert [r.action for r in recover_swaps(spark, C, tgt, purge=True).collect()] == ["purged"]
+    assert recover_swaps(spark, C, tgt).count() == 0
+    assert same_rows(spark.table(f"{C}.{src}.nation"), spark.table(f"{C}.{tgt}.nation"))
+
+
+def test_a_failed_first_copy_leaves_nothing(spark, src, tgt):
+    from ferry.operators.migrate import recover_swaps
+
+    with pytest.raises(Exception):
+        migrate_table(spark, f"{C}.{src}.broken_v", f"{C}.{tgt}.broken_v")
+    assert spark.sql(f"SHOW TABLES IN {C}.{tgt}").where("not isTemporary").count() == 0
+    assert recover_swaps(spark, C, tgt).count() == 0
+
+
+def test_a_view_is_refused_before_the_copy(spark, src, tgt):
+    spark.sql(f"CREATE VIEW {C}.{tgt}.nation AS SELECT 1 AS x")
+    with pytest.raises(MigrationError, match="is a view"):
+        migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation")
+    assert not any("__stg_" in r.tableName for r in spark.sql(f"SHOW TABLES IN {C}.{tgt}").collect())
+
+
+def test_only_own_folders_are_removed(spark, src, tgt):
+    from ferry.operators.migrate import _ours, recover_swaps
+
+    assert not _ours("file:/lake/orders__v_archive/2019", "orders", "file:/lake")
+    assert not _ours("file:/other/orders__v_0123456789ab", "orders", "file:/lake")
+    assert _ours("file:/lake/orders__v_0123456789ab", "orders", "file:/lake/")
+    # a user's table that only looks like a staging table
+    spark.sql(f"CREATE TABLE {C}.{tgt}.nation__stg_0123456789ab USING parquet AS SELECT 1 AS x")
+    assert recover_swaps(spark, C, tgt, purge=True).count() == 0
+    assert spark.table(f"{C}.{tgt}.nation__stg_0123456789ab").count() == 1
+
+
+class Recorder:
+    """A session that records statements and answers table() only."""
+
+    def __init__(self, spark):
+        self.spark, self.said = spark, []
+
+    def sql(self, text):
+        self.said.append(text)
+
+    def table(self, name):
+        return self.spark.table(name)
+
+
+@pytest.mark.parametrize("good", [True, False])
+def test_atomic_catalogs_are_checked_before_the_replace(spark, src, monkeypatch, good):
+    """Statements and their order; this does not run against a real catalog."""
+    import ferry.operators.migrate as m
+    from ferry.sources.partitions import Detection
+
+    def check(session, result, copy):
+        session.said.append(f"CHECK {copy}")
+        if not good:
+            raise MigrationError("verification failed")
+
+    session = Recorder(spark)
+    monkeypatch.setattr(m, "table_exists", lambda s, t: True)
+    monkeypatch.setattr(m, "table_type", lambda s, t: "MANAGED")
+    monkeypatch.setattr(m, "_verify_or_raise", check)
+    found = Detection(f"{C}.{src}.orders", ["o_orderstatus"], "catalog", [])
+
+    def copy():
+        return migrate_table(session, f"{C}.{src}.orders", "lake.n.orders", provider="iceberg", verify=True, detection=found, distribution="none")
+
+    if good:
+        assert copy().action == "overwrite"
+    else:
+        with pytest.raises(MigrationError):
+            copy()
+    verbs = [t.split(" AS SELECT")[0].split("\n")[0] for t in session.said]
+    staging = verbs[1].removeprefix("CREATE TABLE ")
+    assert staging.startswith("lake.n.orders__stg_")
+    replaced = ["CREATE OR REPLACE TABLE lake.n.orders"] if good else []
+    assert verbs == [
+        "CREATE NAMESPACE IF NOT EXISTS lake.n", f"CREATE TABLE {staging}", f"CHECK {staging}",
+        *replaced, f"DROP TABLE IF EXISTS {staging}",
+    ]
+    if good:
+        assert session.said[3].endswith(f"AS SELECT * FROM {staging}") and "PARTITIONED BY (o_orderstatus)" in session.said[3]

@@ -238,3 +238,36 @@ def test_first_failure_ends_a_concurrent_run():
 def test_errors_are_reported_whole(spark, src, tgt):
     report = migrate_schema(spark, C, src, C, tgt, tables=["broken_v"], continue_on_error=True)
     assert "\n" in report.first().error
+
+
+def test_skipped_tables_are_not_counted_and_full_checks_count_once(spark, src, tgt):
+    full = migrate_schema(spark, C, src, C, tgt, tables=["nation"], verify="full").first()
+    assert (full.rows_source, full.rows_target, full.status) == (25, 25, "ok")
+    again = migrate_schema(spark, C, src, C, tgt, tables=["nation"], if_exists="skip")
+    assert (again.first().status, again.first().rows_source) == ("skipped", None)
+
+
+def test_no_item_starts_after_a_failure():
+    import threading
+
+    from ferry.concurrency import map_concurrently
+
+    started, other = [], threading.Event()
+
+    def work(x):
+        started.append(x)
+        if x == 0:
+            raise ValueError("no")
+        other.wait(0.5)
+        return x
+
+    with pytest.raises(ValueError):
+        map_concurrently(work, range(50), 2)
+    assert set(started) <= {0, 1}
+
+
+def test_self_test(spark, capsys):
+    assert cli_main(["--self-test"], spark=spark) == 0
+    assert "7 of 7 cases hold" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli_main([], spark=spark)
