@@ -6,8 +6,9 @@ members is the whole text hashed (level 3).  Levels 1 and 2 move a long or
 two per row.  Level 3 must know, while reading texts, which rows survive: the
 surviving (length, prefix) values are set in a bit map of fixed size, so
 texts never go through a shuffle.  A value that shares a bit by chance costs
-a hash and changes nothing.  All aggregates combine before the shuffle, and
-the joins back are plain equi-joins, which Spark splits on a hot group.
+a hash and changes nothing.  All aggregates combine before the shuffle.  The
+joins back have a key of their own: joined by the columns that the groups are
+aggregated by, Spark would skip a shuffle and could not split a hot group.
 """
 
 from __future__ import annotations
@@ -50,6 +51,12 @@ def _refined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Co
     return rows.withColumn("_full", F.when(survives, full)), full
 
 
+def _with_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` with _keep, _same and _size, null for texts without copies."""
+    key = F.concat_ws(" ", *[F.col(c).cast("string") for c in _LEVELS]).alias("_group")
+    return rows.select("*", key).join(_groups(rows).select("_keep", "_same", "_size", key), "_group", "left")
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """Groups of two or more equal texts: _keep, _size and how many rows share the kept id."""
     per_id = rows.where("_full is not null").groupBy("_len", "_prefix", "_full", "_id").agg(F.count("*").alias("_n"))
@@ -81,7 +88,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("_id", *_LEVELS, (full if hash_all else F.col("_full")).alias("text_sha256"))
     size = F.coalesce("_size", F.lit(1).cast("long"))
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return rows.join(_groups(rows), _LEVELS, "left").select(
+    return _with_groups(rows).select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
 
@@ -94,7 +101,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     rows, _ = _refined(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
-    rows = rows.drop("_body").join(_groups(rows), _LEVELS, "left")
+    rows = _with_groups(rows.drop("_body"))
     once = rows.where("_size is null or (_id <=> _keep and _same = 1)").select(plain.columns)
     repeated = rows.where("_size is not null and _id <=> _keep and _same > 1").dropDuplicates(_LEVELS).select(plain.columns)
     return once.union(repeated).toDF(*names)
