@@ -175,12 +175,13 @@ def _pair_mask(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, in
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members with a pair of another component whose signatures are alike
-    and whose first shared band is this one."""
+    and whose first shared band, by the full band keys, is this one."""
     for t in runs(batches, ["key", "left", "right"]):
         docs, comp, block, left, right = _pair_mask(t)
         if comp.min() == comp.max():
             continue
         sig = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint8).reshape(len(docs), MINIMA)
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(docs), BANDS)
         band = int(t["band"][0].as_py())
         hit = np.zeros(len(docs), dtype=bool)
         rows = np.flatnonzero(block == left)
@@ -189,11 +190,10 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             far = others[(comp[others] != comp[i]) & ((others > i) | (left != right))]
             if not len(far):
                 continue
-            same = sig[far] == sig[i]
-            far, same = (x[same.mean(axis=1) >= SIGNATURE_LEAST] for x in (far, same))
+            far = far[(sig[far] == sig[i]).mean(axis=1) >= SIGNATURE_LEAST]
             if len(far):
-                first = same.reshape(len(far), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                far = far[first == band]
+                # The signature's low bytes can agree in a band that the pair does not share.
+                far = far[(bands[far] == bands[i]).argmax(axis=1) == band]
                 if len(far):
                     hit[i] = True
                     hit[far] = True
@@ -261,9 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = shared.where("n > 2 and doc <> hub").select("key", "band", "doc").join(first, F.col("doc") == F.col("node"), "left")
     rest = rest.select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
     open_keys = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    rest = rest.join(open_keys, "key", "left_semi").join(signatures, "doc")
+    rest = rest.join(open_keys, "key", "left_semi").join(reps.select("doc", "signature", "bands"), "doc")
     flagged = saved(
-        _in_blocks(rest.select("key", "band", "doc", "component", "signature"))
+        _in_blocks(rest.select("key", "band", "doc", "component", "signature", "bands"))
         .repartition("key", "left", "right")
         .sortWithinPartitions("key", "left", "right")
         .mapInArrow(_flag, "key long, doc long, component long")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ferry.llm import fingerprint as fp
@@ -64,6 +65,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_first_shared_band_is_found_on_full_keys():
+    rng = np.random.default_rng(3)
+    signature = rng.integers(0, 256, neardup.MINIMA, dtype=np.uint8)
+    other = signature.copy()
+    other[neardup.ROWS * 30 :: neardup.ROWS] ^= 1
+    # All low bytes agree in bands 0 to 29, the full keys in bands 7 and 9 only.
+    bands = rng.integers(0, 1 << 60, (2, neardup.BANDS))
+    bands[1, [7, 9]] = bands[0, [7, 9]]
+    found = {}
+    for band in (0, 7, 9):
+        columns = [("key", [band] * 2), ("left", [0] * 2), ("right", [0] * 2), ("band", [band] * 2), ("doc", [5, 6]), ("component", [5, 6])]
+        columns += [("signature", [signature.tobytes(), other.tobytes()]), ("bands", bands.tolist()), ("block", [0] * 2)]
+        batch = pa.RecordBatch.from_arrays([pa.array(v) for _, v in columns], names=[n for n, _ in columns])
+        found[band] = [d for b in neardup._flag(iter([batch])) for d in b.column(1).to_pylist()]
+    assert found == {0: [], 7: [5, 6], 9: []}
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "A b c d e f")], "doc_id long, text string")
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
