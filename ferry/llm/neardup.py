@@ -106,14 +106,15 @@ def _set_maker(wanted: bytes):
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, shingles): the full shingle sets of the documents in ``ids(doc)``.
+    """(doc, shingles): the full shingle sets of the documents in ``ids(doc)``,
+    one per row with shingles (a repeated id has several).
 
     A fixed-size bit map of the ids spares the other documents' texts the
     way through a shuffle; the join then makes it exact.
     """
     maker = _set_maker(id_filter(ids, "doc"))
     made = docs.select("doc", "text", id_filter_column("doc").alias("place")).mapInArrow(maker, "doc long, shingles binary")
-    return made.join(ids, "doc", "left_semi")
+    return made.where("octet_length(shingles) > 0").join(ids, "doc", "left_semi")
 
 
 def _matches(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -123,16 +124,19 @@ def _matches(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 def _star_confirmer(threshold: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (hub, salt, is_hub desc): the hub's set comes first."""
-        hub = None
+        """Rows sorted by (hub, salt, is_hub desc): the hub's sets come first,
+        one per text of its id."""
+        hub, sets = None, {}
         for batch in batches:
             u, v = [], []
             rows = zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4))
             for h, salt, is_hub, doc, raw in rows:
                 own = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
                 if is_hub:
-                    hub = (h, salt, own.copy())
-                elif hub and hub[:2] == (h, salt) and _matches(hub[2], own, threshold):
+                    if hub != (h, salt):
+                        hub, sets = (h, salt), {}
+                    sets.setdefault(raw.as_py(), own.copy())
+                elif hub == (h, salt) and any(_matches(x, own, threshold) for x in sets.values()):
                     u.append(doc)
                     v.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])

@@ -89,6 +89,16 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_a_hub_with_several_texts_has_the_links_of_each(spark):
+    rng = random.Random(5)
+    bases = [rng.choices(VOCAB, k=80) for _ in range(3)]
+    rows = [(1, " ".join(b)) for b in bases] + [(1, ""), (9, ""), (9, "x")]
+    rows += [(k + 2, " ".join([*b[:-1], "end"])) for k, b in enumerate(bases)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 9)}
+
+
 def test_components_of_a_chain_a_star_and_repeats(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, k) for k in range(6, 30)] + [(8, 7), (3, 3), (None, 4), (200, 201), (200, 201)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
