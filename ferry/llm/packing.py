@@ -10,6 +10,8 @@ smallest sufficient one in log(row length) steps.
 
 A packed row is a fixed-length run of ids (the rest padded), the cumulative
 lengths of its segments and, from these, positions that start anew in each.
+``packed_files`` writes the rows to the shared folder, as files that a trainer
+reads without this package.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferry.llm.bpe import opened, shipped_lexicon, text_chunks
+from ferry.llm.shared import saved
 
 ROW_TOKENS = 2048
 #: Tokens of a window that is packed on its own.
@@ -170,6 +173,13 @@ def packed_tokens(
     return rows.mapInArrow(_packer(name, row_tokens, window_tokens, pad), _SCHEMA)
 
 
+def packed_files(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+    """The rows of ``packed_tokens`` (same options), written as Parquet files
+    in the shared folder and read back: id matrices and positions as binary
+    columns, cumulative segment lengths as integers."""
+    return saved(packed_tokens(docs, tokenizer_path, **options), "packed")
+
+
 def unpacked(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, offset, ids) per segment of packed rows: the way back."""
     segment = F.explode(F.arrays_zip("doc_ids", "doc_offsets", F.slice("cu_seqlens", 1, F.size("doc_ids")).alias("a"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("b")))

@@ -76,9 +76,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ferry.llm.packing import packed_tokens
+    from ferry.llm.packing import packed_files
 
-    rows = packed_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+    rows = packed_files(_table(spark, sf_dir, "documents"), tokenizer_path())
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "position_ids")]
     return rows.select("window", "row", "n_tokens", "cu_seqlens", "doc_ids", "doc_offsets", *digests)
 

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -34,3 +38,17 @@ def test_pipeline_equals_its_stages_one_by_one(spark):
     assert seen[3] == seen[4] == seen[5]
     got = {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {tuple(r) for r in docs.collect()}
+
+
+def test_packed_rows_are_written_and_digested_from_their_files(spark):
+    made = QUERIES["op8_packed_tokens"](spark, SF)
+    files = [f.removeprefix("file://").removeprefix("file:") for f in made.inputFiles()]
+    assert files and all("/packed-" in f for f in files)
+    want = {}
+    for row in (r for f in files for r in pq.ParquetFile(f).read().to_pylist()):
+        ids, places, ends = np.frombuffer(row["ids"], "<u4"), np.frombuffer(row["position_ids"], "<u2"), row["cu_seqlens"]
+        assert len(ids) == len(places) and ends[0] == 0 and ends[-1] == row["n_tokens"] <= len(ids)
+        assert all(places[a:b].tolist() == list(range(b - a)) for a, b in zip(ends, ends[1:]))
+        want[row["window"], row["row"]] = tuple(hashlib.sha256(row[c]).hexdigest() for c in ("ids", "position_ids"))
+    got = {(r["window"], r["row"]): (r["ids_sha256"], r["position_ids_sha256"]) for r in made.collect()}
+    assert got == want and len(got) > 0
