@@ -10,7 +10,9 @@ can differ from page to page, and an article can quote a paragraph that its
 neighbour has too.  So markup decides where it says something: what stands in
 a navigation, a footer, an advert, a comment list, ... goes, what stands in
 the page's article stays, and differencing decides the lines that markup
-leaves open (see README for figures).
+leaves open, on pages with an article too: the text of its main part around
+the article, and what stands beside both (the README counts the lines that
+each of the two decides).
 
 Pages are put in URL order by a range sort of narrow rows (line hashes, no
 texts) and numbered; neighbours meet by an equi-join on the number, so a host
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ferry.llm.shared import saved
 
-SITE, OPEN, OWN = range(3)
+#: BESIDE: left open, but beside the page's own text; stays only if a neighbour speaks for it.
+SITE, OPEN, OWN, BESIDE = range(4)
 #: Rows of deletions up to which they are broadcast (ids and line numbers); more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Share of link text from which an open line is a menu.
@@ -155,7 +158,13 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         return [(t, SITE if k == OPEN and share >= LINKS else k) for (t, k), (_, share) in zip(lines, kinds)]
     # The innermost mark of a text of its own counts: an article within a main part.
     best = "article" if "article" in owners else "main"
-    return [(t, OWN if k == OWN and by == best else SITE) for (t, k), (by, _) in zip(lines, kinds)]
+
+    def decided(k: int, by: str, share: float) -> int:
+        if k == SITE or (k == OWN and by == best):
+            return k
+        return SITE if share >= LINKS else OPEN if k == OWN else BESIDE
+
+    return [(t, decided(k, *x)) for (t, k), x in zip(lines, kinds)]
 
 
 def line_hashes(lines: list[tuple[str, int]]) -> list[int]:
@@ -199,11 +208,13 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(html: str | None, shared: set[int] = frozenset()) -> str:
+def main_text(html: str | None, shared: set[int] | None = None) -> str:
     """The page's text: its own lines, and of the open ones those that are
-    not ``shared`` with the neighbour."""
+    not ``shared`` with the neighbour; without a neighbour (None) the open
+    ones stay, but not those beside a text of the page's own."""
     lines = page_lines(html)
-    return " ".join(t for i, (t, k) in enumerate(lines) if k == OWN or (k == OPEN and i not in shared))
+    free = (OPEN,) if shared is None else (OPEN, BESIDE)
+    return " ".join(t for i, (t, k) in enumerate(lines) if k == OWN or (k in free and i not in (shared or ())))
 
 
 # ------------------------------------------------------------------ Spark
@@ -216,14 +227,15 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 *(b.column(k) for k in range(4)),
                 pa.array([line_hashes(x) for x in lines], pa.list_(pa.int32())),
-                pa.array([[i for i, (_, k) in enumerate(x) if k == OPEN] for x in lines], pa.list_(pa.int32())),
+                pa.array([[i for i, (_, k) in enumerate(x) if k in (OPEN, BESIDE)] for x in lines], pa.list_(pa.int32())),
             ],
             names=["id", "print", "host", "path", "lines", "open"],
         )
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open lines that a page shares with its nearest neighbour."""
+    """Open lines that a page shares with its nearest neighbour, none if it
+    shares none; no row without a neighbour."""
 
     def likeness(a: str, b: str) -> int:
         n = min(len(a), len(b))
@@ -231,26 +243,27 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         col = {n: b.column(b.schema.get_field_index(n)).to_pylist() for n in ("host", "path", "lines", "open", "host_b", "path_b", "lines_b", "host_a", "path_a", "lines_a")}
-        out = []
+        out, keep = [], []
         for k in range(b.num_rows):
             near = [(likeness(col["path"][k], col["path" + s][k]), col["lines" + s][k]) for s in ("_b", "_a") if col["host" + s][k] == col["host"][k]]
             lines = max(near, key=lambda x: x[0])[1] if near else []
             shared = set(common_lines(col["lines"][k], lines))
             out.append([i for i in col["open"][k] if i in shared])
-        keep = pa.array([bool(x) for x in out], pa.bool_())
+            keep.append(bool(near))
         made = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "print", "shared"])
-        yield made.filter(keep)
+        yield made.filter(pa.array(keep, pa.bool_()))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [main_text(h, frozenset(s or ())) for h, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        texts = [main_text(h, None if s is None else frozenset(s)) for h, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
 def shared_lines(rows: DataFrame) -> DataFrame:
-    """(id, print, shared) of the pages with open lines that their nearest
-    neighbour in URL order has too, from ``rows(id, print, url, html)``.
+    """(id, print, shared) of the pages with open lines and a nearest
+    neighbour in URL order: the open lines that it has too, from
+    ``rows(id, print, url, html)``.
 
     Pages without a URL, and the only page of a host, have no neighbour.
     """

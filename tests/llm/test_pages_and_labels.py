@@ -68,6 +68,14 @@ def test_open_lines_shared_with_the_nearest_page_go(spark):
     assert page_texts(pages.union(pages)).count() == 14
 
 
+def test_alignment_decides_open_lines_of_pages_with_an_article(spark):
+    around = "<div>Site name</div><main><p>{0} intro</p><article><p>{0} text</p><p>quoted</p></article><p>Read on</p></main><div>{0} beside</div><nav>{0} menu</nav>"
+    rows = [("http://h.org/a/1", around.format("one")), ("http://h.org/a/2", around.format("two")), ("http://g.org/a/1", around.format("three"))]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_texts(pages).collect()}
+    assert got == {0: "one intro one text quoted one beside", 1: "two intro two text quoted two beside", 2: "three intro three text quoted Read on"}
+
+
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>word</p>" * 60_000)) == 60_000 * 5 - 1
     assert len(page_lines("<div>" * 3000 + "x")) == 1
