@@ -24,6 +24,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferry.llm.shared import saved
+
 BLOCK_ROWS = 64
 BUCKETS = 1024
 REST = "*"
@@ -68,7 +70,8 @@ def mix(
     source's weight give or take less than one block, until a source ends.
 
     ``targets`` maps sources to integer parts; ``"*"`` is the part of all
-    other sources and of null together, 1 if not given.  Documents of a class
+    other sources and of null together, 1 if not given; the bound holds for
+    them together, not for each.  Documents of a class
     come in an order set by hash of the id and ``seed``, repeated ids and rows
     in any order among themselves; null ids are ordinary ids.  Source names
     are compared as they are.  No row is dropped or repeated.  An empty table
@@ -117,3 +120,10 @@ def mix(
         (F.col("_round") * total + F.col("place")).alias("mix_slot"),
         (earlier + F.col("_nth") % block_rows).alias("mix_position"),
     )
+
+
+def mixed_files(docs: DataFrame, targets: Mapping[str, int], **options) -> DataFrame:
+    """``mix(docs, targets)``, its whole rows written to the shared folder in
+    the order of ``mix_position`` (files by name, rows within) and read back."""
+    mixed = mix(docs, targets, **options)
+    return saved(mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position"), "mixed", compression="zstd")

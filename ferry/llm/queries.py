@@ -69,10 +69,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ferry.llm.mixing import mix
+    from ferry.llm.mixing import mixed_files
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs, MIX_TARGETS)
+    rows = mixed_files(_table(spark, sf_dir, "documents"), MIX_TARGETS)
+    return rows.select("doc_id", "source", "mix_class", "mix_block", "mix_slot", "mix_position")
 
 
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,14 @@ def test_packed_rows_are_written_and_digested_from_their_files(spark):
         want[row["window"], row["row"]] = tuple(hashlib.sha256(row[c]).hexdigest() for c in ("ids", "position_ids"))
     got = {(r["window"], r["row"]): (r["ids_sha256"], r["position_ids_sha256"]) for r in made.collect()}
     assert got == want and len(got) > 0
+
+
+def test_mixed_documents_are_written_whole_and_in_order(spark):
+    made = QUERIES["op7_mix_sources"](spark, SF)
+    files = sorted(f.removeprefix("file://").removeprefix("file:") for f in made.inputFiles())
+    assert files and all("/mixed-" in f for f in files)
+    rows = [r for f in files for r in pq.ParquetFile(f).read().to_pylist()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [r["mix_position"] for r in rows] == list(range(docs.count()))
+    assert sorted(tuple(r[c] for c in docs.columns) for r in rows) == sorted(map(tuple, docs.collect()))
+    assert sorted(tuple(r[c] for c in made.columns) for r in rows) == sorted(map(tuple, made.collect()))
