@@ -10,14 +10,18 @@ documents.  All but the last return the columns of ``documents``:
    smallest id),
 4. ``mix_sources`` puts the documents in the order of the target mixture; it
    drops none, and files and rows are in that order,
-5. ``bpe_encode_decode`` encodes every text and decodes it again.
+5. ``bpe_encode_decode`` encodes every text and decodes it again; the order
+   of the mixture, taken from the files of stage 4, is its column
+   ``mix_position``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ferry.llm.bpe import encode_decode
 from ferry.llm.exactdup import drop_exact_duplicates
@@ -47,7 +51,28 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_digests(encode_decode(docs, tokenizer_path()))
+    placed = in_file_order(docs)
+    coded = encode_decode(placed, tokenizer_path(), id_col="mix_position")
+    digests = token_digests(coded.withColumnRenamed("mix_position", "doc_id")).withColumnRenamed("doc_id", "mix_position")
+    ids = placed.select("mix_position", "doc_id")
+    return ids.join(digests, "mix_position").select("doc_id", *digests.columns[1:], "mix_position")
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``mix_position``, the number (from 0) of each row in its
+    files: files by name, rows as they stand.  Rows that are read from no
+    file are written first."""
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        rows = docs.select("*", *place)
+    except AnalysisException:
+        rows = saved(docs, "ordered").select("*", *place)
+    start, offsets = 0, []
+    for r in rows.groupBy("_file").count().orderBy("_file").collect():  # a row per file
+        offsets.append((r["_file"], start))
+        start += r["count"]
+    starts = docs.sparkSession.createDataFrame(offsets, "_file string, _start long")
+    return rows.join(F.broadcast(starts), "_file").select(*[rows[c] for c in docs.columns], (F.col("_start") + F.col("_row")).alias("mix_position"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

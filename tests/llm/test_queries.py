@@ -8,7 +8,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from ferry.llm.queries import ORACLE_SQL, QUERIES
+from ferry.llm.mixing import mix
+from ferry.llm.queries import MIX_TARGETS, ORACLE_SQL, QUERIES
+from ferry.llm.shared import saved
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +65,18 @@ def test_mixed_documents_are_written_whole_and_in_order(spark):
     assert [r["mix_position"] for r in rows] == list(range(docs.count()))
     assert sorted(tuple(r[c] for c in docs.columns) for r in rows) == sorted(map(tuple, docs.collect()))
     assert sorted(tuple(r[c] for c in made.columns) for r in rows) == sorted(map(tuple, made.collect()))
+
+
+def test_last_stage_keeps_the_order_of_the_mixture(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = saved(corpus_pipeline.mix_sources(spark, docs, SF), "mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 1
+    want = {r["doc_id"]: r["mix_position"] for r in mix(docs, MIX_TARGETS).collect()}
+    for frame in (mixed, spark.createDataFrame([r for f in sorted(mixed.inputFiles()) for r in spark.read.parquet(f).collect()], docs.schema)):
+        got = {r["doc_id"]: r["mix_position"] for r in corpus_pipeline.bpe_encode_decode(spark, frame, SF).collect()}
+        assert got == want
+    assert corpus_pipeline.bpe_encode_decode(spark, mixed.limit(0), SF).collect() == []
