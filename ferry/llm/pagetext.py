@@ -60,8 +60,9 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:@][^\s=>/]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 _PART = re.compile(r"[a-z0-9]+")
 
 
-def _kind(tag: str, attributes: str, inside: int, talk: bool) -> tuple[int, bool]:
-    """(kind of the lines inside a container, whether it is a comment list)."""
+def _kind(tag: str, attributes: str, inside: int, talk: bool, spared: bool = False) -> tuple[int, bool]:
+    """(kind of the lines inside a container, whether it is a comment list);
+    a ``spared`` one's names do not make it noise."""
     names: set[str] = set()
     role = hidden = ""
     if attributes:
@@ -75,6 +76,10 @@ def _kind(tag: str, attributes: str, inside: int, talk: bool) -> tuple[int, bool
                 role = value
             elif name == "itemprop" and value == "articlebody":
                 names.add("articlebody")
+    if tag in ("html", "body"):
+        names.clear()
+    if spared:
+        names -= NOISE
     if talk or names & TALK:
         return SITE, True
     if tag in ("article", "main") or role in ("main", "article"):
@@ -88,11 +93,18 @@ def _kind(tag: str, attributes: str, inside: int, talk: bool) -> tuple[int, bool
     return inside, False
 
 
-def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """The lines (text, kind) of a page in order; no line is empty."""
+def page_lines(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple[str, int]]:
+    """The lines (text, kind) of a page in order; no line is empty.
+
+    On a page without a text of its own, containers with most of its text are
+    no noise, whatever their names; ``spared`` has their numbers.
+    """
     html = html or ""
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, int, bool, str]] = []  # tag, kind inside, comments, what made it an own text
+    noisy: list[tuple[int, int, int]] = []  # open noise: depth, number, characters before
+    large: list[tuple[int, int]] = []  # closed noise: characters, number
+    chars = number = 0
     kind, talk, owner = OPEN, False, ""
     buffer: list[str] = []
     owners: set[str] = set()
@@ -100,15 +112,21 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     kinds: list[tuple[str, float]] = []
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, chars
         if buffer:
             text = " ".join("".join([unescape(b) if "&" in b else b for b in buffer]).split())
             if text:
                 lines.append((text, kind))
+                chars += len(text)
                 kinds.append((owner, link_chars / len(text)))
             buffer.clear()
         link_chars = 0
 
+    def close(depth: int) -> None:
+        while noisy and noisy[-1][0] >= depth:
+            _, which, before = noisy.pop()
+            large.append((chars - before, which))
+
     at = 0
     while m := _TAG.search(html, at):
         if m.start() > at:
@@ -137,13 +155,18 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
                 del stack[depth:]
+                close(depth)
         else:
             while stack and stack[-1][0] == "p":
                 stack.pop()
+                close(len(stack))
+            number += 1
             if tag == "p" and not attributes:
                 pass
             elif not (tag == "p" and _kind(tag, attributes, kind, talk)[0] == kind):
-                now = _kind(tag, attributes, stack[-1][1] if stack else OPEN, stack[-1][2] if stack else False)
+                now = _kind(tag, attributes, stack[-1][1] if stack else OPEN, stack[-1][2] if stack else False, number in spared)
+                if now[0] == SITE and attributes:
+                    noisy.append((len(stack), number, chars))
                 by = stack[-1][3] if stack else ""
                 if now[0] == OWN and by != "article":
                     by = "article" if tag == "article" else "main"
@@ -154,6 +177,9 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         rest = html[at:]
         buffer.append(rest.split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!]", rest) else rest)
     flush()
+    close(0)
+    if not owners and not spared and (most := frozenset(k for n, k in large if 2 * n > chars)):
+        return page_lines(html, most)
     if not owners:
         return [(t, SITE if k == OPEN and share >= LINKS else k) for (t, k), (_, share) in zip(lines, kinds)]
     # The innermost mark of a text of its own counts: an article within a main part.
@@ -233,6 +259,20 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in URL order with the number of their run of copies, and whether
+    they are its first."""
+    last, run = None, -1
+    for b in batches:
+        numbers, firsts = [], []
+        for x in b.column(b.schema.get_field_index("same")).to_pylist():
+            firsts.append(x != last)
+            run += x != last
+            last = x
+            numbers.append(run)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64()), pa.array(firsts, pa.bool_())], names=[*b.schema.names, "run", "first"])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open lines that a page shares with its nearest neighbour, none if it
     shares none; no row without a neighbour."""
@@ -250,7 +290,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = set(common_lines(col["lines"][k], lines))
             out.append([i for i in col["open"][k] if i in shared])
             keep.append(bool(near))
-        made = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "print", "shared"])
+        made = pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["n", "shared"])
         yield made.filter(pa.array(keep, pa.bool_()))
 
 
@@ -265,7 +305,8 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     neighbour in URL order: the open lines that it has too, from
     ``rows(id, print, url, html)``.
 
-    Pages without a URL, and the only page of a host, have no neighbour.
+    Copies that follow each other in URL order count as one page: a copy is
+    no neighbour.  Pages without a URL, and the only page of a host, have none.
     """
     clean = F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""))
     host = F.regexp_extract(clean, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -275,20 +316,25 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     )
     order = ["host", "path", "id", "print"]
     ranged = outline.where("host <> ''").dropDuplicates(["id", "print"]).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = saved(ranged.withColumn("seq", F.monotonically_increasing_id()), "outlines")
-    ranged = ranged.withColumn("part", F.shiftright("seq", 33)).withColumn("nth", F.col("seq").bitwiseAND((1 << 33) - 1))
-    start, offsets = 0, []
-    for r in ranged.groupBy("part").count().orderBy("part").collect():  # a row per partition
-        offsets.append((r["part"], start))
-        start += r["count"]
+    ranged = ranged.withColumn("same", F.xxhash64("host", "lines")).withColumn("part", F.spark_partition_id())
+    ranged = ranged.mapInArrow(_copies, "id long, print long, host string, path string, lines array<int>, open array<int>, same long, part int, run long, first boolean")
+    ranged = saved(ranged, "outlines")
+    start, offsets, tail = 0, [], None
+    ends = ranged.groupBy("part").agg(F.max("run").alias("runs"), F.min_by("same", "run").alias("head"), F.max_by("same", "run").alias("tail"))
+    for r in ends.orderBy("part").collect():  # a row per partition
+        goes_on = tail == r["head"]
+        offsets.append((r["part"], start - goes_on, goes_on))
+        start, tail = start - goes_on + r["runs"] + 1, r["tail"]
     if not offsets:
         return rows.sparkSession.createDataFrame([], "id long, print long, shared array<int>")
-    starts = rows.sparkSession.createDataFrame(offsets, "part long, start long")
-    numbered = ranged.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("nth"))
-    side = lambda by, tag: numbered.select((F.col("n") + by).alias("n"), *[F.col(c).alias(c + tag) for c in ("host", "path", "lines")])
-    pairs = numbered.where(F.size("open") > 0).select("id", "print", "host", "path", "lines", "open", "n")
-    pairs = pairs.join(side(1, "_b"), "n", "left").join(side(-1, "_a"), "n", "left").drop("n")
-    return pairs.mapInArrow(_compared, "id long, print long, shared array<int>")
+    starts = rows.sparkSession.createDataFrame(offsets, "part int, start long, goes_on boolean")
+    numbered = ranged.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("run"))
+    heads = numbered.where("first and not (goes_on and run = 0)")
+    side = lambda by, tag: heads.select((F.col("n") + by).alias("n"), *[F.col(c).alias(c + tag) for c in ("host", "path", "lines")])
+    pairs = heads.where(F.size("open") > 0).select("n", "host", "path", "lines", "open")
+    pairs = pairs.join(side(1, "_b"), "n", "left").join(side(-1, "_a"), "n", "left")
+    compared = pairs.mapInArrow(_compared, "n long, shared array<int>")
+    return numbered.where(F.size("open") > 0).select("id", "print", "n").join(compared, "n").drop("n")
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -76,6 +76,25 @@ def test_alignment_decides_open_lines_of_pages_with_an_article(spark):
     assert got == {0: "one intro one text quoted one beside", 1: "two intro two text quoted two beside", 2: "three intro three text quoted Read on"}
 
 
+def test_names_do_not_make_most_of_a_page_noise():
+    assert main_text("<body class='no-sidebar comments-open'><p>a text</p><div class=ad>buy</div></body>") == "a text"
+    assert main_text("<div class='search-enabled'><div id=no-widget><p>a long text</p></div><div class=ad>buy</div></div><p>end</p>") == "a long text end"
+    assert main_text("<div class='no-sidebar'><p>x</p></div><p>a longer text</p>") == "a longer text"
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_a_copy_is_no_neighbour(spark, parts):
+    page = "<div>Menu</div><p>{0} text</p><div>End</div>"
+    rows = [("http://h.org/a", "one")] * 3 + [("http://h.org/b", "one")] * 2 + [("http://h.org/c", "two"), ("http://g.org/a", "x"), ("http://g.org/b", "x")]
+    pages = spark.createDataFrame([(i, u, page.format(t)) for i, (u, t) in enumerate(rows)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+    try:
+        got = {r["page_id"]: r["text"] for r in page_texts(pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {**{i: "one text" for i in range(5)}, 5: "two text", 6: "Menu x text End", 7: "Menu x text End"}
+
+
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>word</p>" * 60_000)) == 60_000 * 5 - 1
     assert len(page_lines("<div>" * 3000 + "x")) == 1
