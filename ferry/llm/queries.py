@@ -95,6 +95,35 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferry.llm.periodic import periodic_runs, planted, strongest
+
+    found = periodic_runs(_table(spark, sf_dir, "documents"), rewrite=planted).withColumn("best", strongest("runs"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_grammar": op1_toxicity_grammar,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
@@ -106,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_tokens": op8_packed_tokens,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_simhash_bk_trees": op11_simhash_bk_trees,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _EQUAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,7 +147,30 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[{i}] >> {shift}) & 31 AS INTEGER) + 1, 1)" for i in range(1, 9) for shift in (15, 10, 5, 0)
 )
 
+_SHARE = "1 + (1000000000::HUGEINT * ({c} + 5)) // ({n} + 5 * {v})"
+_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_EQUAL}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+w AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+s AS (SELECT lang, source, term, n, v, sum(n) OVER (PARTITION BY lang, source) AS total,
+    sum(n) OVER (PARTITION BY lang, term) AS m, sum(n) OVER (PARTITION BY lang) AS whole FROM c JOIN v USING (lang)),
+p AS (SELECT lang, source, term, n, {_SHARE.format(c="n", n="total", v="v")} AS p, {_SHARE.format(c="m", n="whole", v="v")} AS q FROM s),
+pairs AS (SELECT x.lang, x.source, y.source AS item FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+found AS (
+    SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN sums USING (lang, source, item)
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_source_divergence": _DIVERGENCE,
     "op4_legacy_to_warc": (
         "WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), "
         f"v AS (SELECT page_id, payload_bytes, h, [{_FIVES}] AS v, max(page_id) OVER (PARTITION BY h) AS head FROM t) "
