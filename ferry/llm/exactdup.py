@@ -3,12 +3,15 @@
 Level 1 counts texts per length, level 2 counts texts per length and hash of
 the first characters, and only where a (length, prefix) group still has two
 members is the whole text hashed (level 3).  Levels 1 and 2 move a long or
-two per row.  Level 3 must know, while reading texts, which rows survive: the
-surviving (length, prefix) values are set in a bit map of fixed size, so
-texts never go through a shuffle.  A value that shares a bit by chance costs
-a hash and changes nothing.  All aggregates combine before the shuffle.  The
-joins back have a key of their own: joined by the columns that the groups are
-aggregated by, Spark would skip a shuffle and could not split a hot group.
+two per row, written once as a narrow table.  Level 3 must know, while reading
+texts, which rows survive: the surviving (length, prefix) values are set in a
+bit map, a table of a few thousand bytes a row that is broadcast and joined by
+the number of its row, so texts never go through a shuffle.  The map has as
+many bits as the survivors ask for, up to a bound; a value that shares a bit by
+chance costs a hash and changes nothing.  All aggregates combine before the
+shuffle.  The joins back have a key of their own: joined by the columns that the
+groups are aggregated by, Spark would skip a shuffle and could not split a hot
+group.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferry.llm.shared import id_filter
+from ferry.llm.shared import saved
 
 PREFIX_CHARS = 64
-#: Bits of the map of surviving values (128 KiB, a literal in the plan); a full map costs a hash per row.
-FILTER_BITS = 1 << 20
+#: Bits of the map for each surviving value, and its least and greatest size.  The greatest is 64 MiB: with far more
+#: than 2**29 survivors the map is full, and hashing every text is then cheaper than moving texts to find them out.
+FILTER_BITS_EACH, FILTER_LEAST, FILTER_MOST = 16, 1 << 15, 1 << 29
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,32 +33,51 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
 
 
-def _may_survive(key: Column, bitmap: bytes) -> Column:
-    """Whether the bit of ``key`` is set; plain SQL functions over a literal."""
-    bits = len(bitmap) * 8
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
+def _levels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with _id, _body, _len and _prefix."""
+    rows = docs.select("*", F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_body"))
+    return rows.select("*", F.octet_length("_body").alias("_len"), F.xxhash64(F.substring("_body", 1, PREFIX_CHARS)).alias("_prefix"))
 
 
-def _refined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """(``docs`` with _id, _body, _len, _prefix, _full; the full hash).
-    ``_full`` is null where levels 1 and 2 have settled the row."""
-    rows = docs.select("*", F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_body"))
-    rows = rows.select("*", F.octet_length("_body").alias("_len"), F.xxhash64(F.substring("_body", 1, PREFIX_CHARS)).alias("_prefix"))
-    narrow = rows.select("_len", "_prefix")
+def _alike(narrow: DataFrame) -> DataFrame:
+    """The (_len, _prefix) of two rows or more: level 1 by length, level 2 by prefix."""
     lengths = narrow.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
     alike = narrow.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1")
-    alike = alike.join(lengths, "_len", "left_semi").select(F.xxhash64("_len", "_prefix").alias("_key"))
-    full = F.sha2(F.encode("_body", "UTF-8"), 256)
-    survives = _may_survive(F.xxhash64("_len", "_prefix"), id_filter(alike, "_key", FILTER_BITS))
-    return rows.withColumn("_full", F.when(survives, full)), full
+    return alike.join(lengths, "_len", "left_semi").select("_len", "_prefix")
+
+
+def _place(bits: int) -> Column:
+    """The bit of a row, from 1 to ``bits``."""
+    return F.pmod(F.xxhash64("_len", "_prefix"), F.lit(bits)) + 1
+
+
+def _bit_map(alike: DataFrame) -> tuple[DataFrame, int]:
+    """(the map, its bits): rows of 4 KiB, 16,384 at most."""
+    wanted = max(1, alike.count()) * FILTER_BITS_EACH
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (wanted - 1).bit_length()))
+    places = alike.select(_place(bits).alias("_at")).select(F.bitmap_bucket_number("_at").alias("_bucket"), F.bitmap_bit_position("_at").alias("_bit"))
+    return places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map")), bits
+
+
+def _refined(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """``rows`` of ``_levels`` with _full, which is null where levels 1 and 2
+    have settled the row."""
+    table, bits = _bit_map(alike)
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(_place(bits))).join(F.broadcast(table), "_bucket", "left")
+    bit = F.bitmap_bit_position(_place(bits))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    survives = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return marked.withColumn("_full", F.when(survives, _full_hash())).drop("_bucket", "_map")
+
+
+def _full_hash() -> Column:
+    return F.sha2(F.encode("_body", "UTF-8"), 256)
 
 
-def _with_groups(rows: DataFrame) -> DataFrame:
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with _keep, _same and _size, null for texts without copies."""
     key = F.concat_ws(" ", *[F.col(c).cast("string") for c in _LEVELS]).alias("_group")
-    return rows.select("*", key).join(_groups(rows).select("_keep", "_same", "_size", key), "_group", "left")
+    return rows.select("*", key).join(groups.select("_keep", "_same", "_size", key), "_group", "left")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -84,11 +107,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null where refinement ended before the full hash, unless ``hash_all``.
     Other columns are ignored; an empty table gives an empty result.
     """
-    rows, full = _refined(docs.select(id_col, text_col), id_col, text_col)
-    rows = rows.select("_id", *_LEVELS, (full if hash_all else F.col("_full")).alias("text_sha256"))
+    levels = _levels(docs.select(id_col, text_col), id_col, text_col)
+    if hash_all:
+        # Every row is hashed in the one pass over the texts; refinement goes on with the narrow rows.
+        rows = saved(levels.select("_id", "_len", "_prefix", _full_hash().alias("text_sha256")), "levels")
+        alike = saved(_alike(rows), "alike").withColumn("_open", F.lit(True))
+        rows = rows.join(alike, ["_len", "_prefix"], "left").withColumn("_full", F.when(F.col("_open"), F.col("text_sha256")))
+    else:
+        alike = saved(_alike(levels), "alike")
+        rows = _refined(levels, alike).select("_id", *_LEVELS, F.col("_full").alias("text_sha256"))
+    groups = _groups(rows)
     size = F.coalesce("_size", F.lit(1).cast("long"))
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return _with_groups(rows).select(
+    return _with_groups(rows, groups).select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
 
@@ -100,8 +131,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows, _ = _refined(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
-    rows = _with_groups(rows.drop("_body"))
-    once = rows.where("_size is null or (_id <=> _keep and _same = 1)").select(plain.columns)
-    repeated = rows.where("_size is not null and _id <=> _keep and _same > 1").dropDuplicates(_LEVELS).select(plain.columns)
-    return once.union(repeated).toDF(*names)
+    levels = _levels(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
+    rows = _refined(levels, saved(_alike(levels), "alike")).drop("_body")
+    groups = saved(_groups(rows), "groups")
+    rows = _with_groups(rows, groups)
+    kept = rows.where("_size is null or (_id <=> _keep and _same = 1)").select(plain.columns)
+    if not groups.where("_same > 1").isEmpty():  # some kept id is that of several rows with the text
+        repeated = rows.where("_size is not null and _id <=> _keep and _same > 1").dropDuplicates(_LEVELS).select(plain.columns)
+        kept = kept.union(repeated)
+    return kept.toDF(*names)

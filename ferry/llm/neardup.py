@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketch = saved(named.mapInArrow(_sketches, "doc long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"), "sketches")
     usable = sketch.where("doc is not null and n_shingles > 0")
-    classes = usable.groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
+    # Written, so that the joins below deal the rows of a hot class anew and Spark can split them.
+    classes = saved(usable.groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
     members = usable.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).select("doc", "rep").distinct()
     reps = usable.join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["doc", "s1", "s2"], "left_semi").dropDuplicates(["doc", "s1", "s2"])
 

@@ -109,6 +109,14 @@ def test_components_of_a_chain_a_star_and_repeats(spark):
 EXACT = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 90 + "y"), (8, "x" * 90 + "z"), (9, "x" * 90 + "Y"), (None, "ab"), (None, None), (2, "ab"), (2, "other")]
 
 
+def test_no_table_is_written_into_the_plan_of_exact_duplicates(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(4000)], "doc_id long, text string")
+    for made in (drop_exact_duplicates(docs), exact_duplicates(docs)):
+        plan = made._jdf.queryExecution().toString()
+        assert len(plan) < 100_000 and max(map(len, plan.splitlines())) < 4_000
+    assert made.where("kept").count() == 2000
+
+
 def test_exact_duplicates_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in EXACT], "doc_id long, text string, _len string, _keep int")
     norm = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
