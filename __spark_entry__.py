@@ -19,10 +19,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferry.concurrency import map_concurrently
 from ferry.functions.partition_spec import file_partition_spec, partition_spec_values
+from ferry.operators.differences import row_differences
+from ferry.operators.ledger import RunLedger, read_ledger
 from ferry.operators.migrate import migrate_table
 from ferry.operators.schema import migrate_schema, plan_migration
-from ferry.operators.verify import CHECKS, partition_row_counts, verify_migration, verify_schema
+from ferry.operators.verify import CHECKS, partition_row_counts, verify_pairs
 from ferry.sources.catalog import list_source_tables
 from ferry.sources.partitions import schema_partition_columns
 from ferry.sources.testdata import FAILING_TABLES, GOOD_TABLES, fresh_schema, source_schema_for
@@ -119,6 +122,19 @@ def q_migrate_schema_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("table_name", "action", "status", "rows_source", "rows_target")
 
 
+def q_migration_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a run, read from its durable ledger."""
+    src = _src(spark, sf_dir)
+    tgt = fresh_schema(spark, "ledgered")
+    ledger = RunLedger(spark, f"{CAT}.{tgt}_log.runs")
+    migrate_schema(spark, CAT, src, CAT, tgt, tables=[*_LEDGERED, *FAILING_TABLES, "missing_table"], continue_on_error=True, parallelism=4, ledger=ledger)
+    rows = read_ledger(spark, ledger.table, ledger.run_id)
+    return rows.groupBy("status").agg(F.count("*").alias("n_tables"), F.sum("rows_source").alias("rows_source"), F.sum("rows_target").alias("rows_target"))
+
+
+_LEDGERED = ("orders_n", "documents_l", "events_d", "customer")
+
+
 def _counted(spark: SparkSession, src: str, listing: DataFrame, readable: list[str]) -> DataFrame:
     """``listing`` with the rows that each readable table holds."""
     counts = [spark.table(f"{CAT}.{src}.`{t}`").agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t in readable]
@@ -176,11 +192,14 @@ def q_verify_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     tgt = fresh_schema(spark, "verify")
     tables = list(_VERIFIED)
     migrate_schema(spark, CAT, src, CAT, tgt, tables=tables, verify="none", parallelism=len(tables)).collect()
-    report = verify_schema(spark, CAT, src, CAT, tgt, tables=tables, parallelism=len(tables))
     # One damaged copy per check; each is compared with the undamaged source.
-    for label, (columns, options, condition) in _DAMAGED.items():
-        spark.sql(f"CREATE TABLE {CAT}.{tgt}.{label} USING parquet {options} AS SELECT {columns} FROM {CAT}.{src}.orders WHERE {condition}")
-        report = report.union(verify_migration(spark, f"{CAT}.{src}.orders", f"{CAT}.{tgt}.{label}"))
+    damaged = [
+        f"CREATE TABLE {CAT}.{tgt}.{label} USING parquet {options} AS SELECT {columns} FROM {CAT}.{src}.orders WHERE {condition}"
+        for label, (columns, options, condition) in _DAMAGED.items()
+    ]
+    map_concurrently(spark.sql, damaged, len(damaged), spark)
+    pairs = {t: (f"{CAT}.{src}.{'orders' if t in _DAMAGED else t}", f"{CAT}.{tgt}.{t}") for t in [*tables, *_DAMAGED]}
+    report = verify_pairs(spark, pairs, parallelism=len(pairs))
     counts = F.col("check_name").isin("row_count", "partition_count", "partition_mismatches")
     return report.select(
         "table_name", "check_name", "ok", F.when(counts, F.col("expected").cast("long")).alias("expected"), F.when(counts, F.col("actual").cast("long")).alias("actual")
@@ -198,6 +217,25 @@ _DAMAGED = {
 }
 
 
+def q_verify_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows in which a damaged copy differs from its source."""
+    src = _src(spark, sf_dir)
+    tgt = fresh_schema(spark, "differences")
+    spark.sql(f"CREATE TABLE {CAT}.{tgt}.orders USING parquet {_BY_STATUS} AS SELECT {_ORDER_COLUMNS} FROM {_damaged_rows(f'{CAT}.{src}.orders')}")
+    return row_differences(spark, f"{CAT}.{src}.orders", f"{CAT}.{tgt}.orders")
+
+
+def _damaged_rows(orders: str) -> str:
+    """Some rows of 'F' changed, some of 'O' lost, some of 'P' twice, some without a customer."""
+    changed = "IF(o_orderstatus = 'F' AND o_orderkey % 97 = 1, o_totalprice + 1, o_totalprice)"
+    customer = "IF(o_orderkey % 1009 = 5, NULL, o_custkey)"
+    lists = f"(SELECT *, IF(o_orderstatus = 'P' AND o_orderkey % 7 = 2, 2, 1) AS times FROM {orders} WHERE o_orderstatus <> 'O' OR o_orderkey % 89 <> 3)"
+    return (
+        f"(SELECT o_orderkey, {customer} AS o_custkey, {changed} AS o_totalprice, o_orderdate, o_orderpriority, o_orderstatus "
+        f"FROM {lists} AS d JOIN (SELECT 1 AS copy UNION ALL SELECT 2) AS c ON copy <= times) AS damaged"
+    )
+
+
 def q_partition_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition_row_counts(spark, _copy(spark, sf_dir, "lineitem", "counts"))
 
@@ -224,7 +262,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_partition_columns": q_detect_partition_columns,
     "list_source_tables": q_list_source_tables,
     "partition_spec_values": q_partition_spec_values,
+    "migration_failures": q_migration_failures,
     "verify_migration": q_verify_migration,
+    "verify_differences": q_verify_differences,
     "partition_row_counts": q_partition_row_counts,
     "pruned_read": q_pruned_read,
 }
@@ -405,7 +445,17 @@ _ORACLE = {
         for t, n, c, v, src in _PARTITIONS
         if t in _SPEC_TABLES
     ),
+    "migration_failures": (
+        "SELECT 'ok' AS status, count(*) AS n_tables, CAST(sum(n) AS BIGINT) AS rows_source, CAST(sum(n) AS BIGINT) AS rows_target FROM ("
+        "SELECT count(*) AS n FROM orders UNION ALL SELECT count(*) FROM documents UNION ALL SELECT count(*) FROM events UNION ALL SELECT count(*) FROM customer) "
+        "UNION ALL SELECT 'failed', 2, NULL, NULL UNION ALL SELECT 'not_found', 1, NULL, NULL"
+    ),
     "verify_migration": _verify_oracle(),
+    "verify_differences": (
+        f"WITH s AS (SELECT {_ORDER_COLUMNS} FROM orders), t AS (SELECT {_ORDER_COLUMNS} FROM {_damaged_rows('orders')}) "
+        f"SELECT 'missing' AS side, count(*) AS copies, {_ORDER_COLUMNS} FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM t) GROUP BY ALL "
+        f"UNION ALL SELECT 'extra', count(*), {_ORDER_COLUMNS} FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM s) GROUP BY ALL"
+    ),
     "partition_row_counts": (
         "SELECT l_returnflag, l_linestatus, count(*) AS row_count FROM lineitem GROUP BY l_returnflag, l_linestatus"
     ),

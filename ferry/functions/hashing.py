@@ -53,7 +53,7 @@ def _tagged(c: Column, t: DataType) -> Column:
     return F.struct(c.isNull().alias("z"), value.alias("v"))
 
 
-def _hashable(c: Column, t: DataType) -> Column:
+def hashable(c: Column, t: DataType) -> Column:
     """Top-level scalars stay as they are (their null flags are in the mask)."""
     if isinstance(t, NESTED):
         return _tagged(c, t)
@@ -65,7 +65,7 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     DataFrame's order; callers compare tables by name-aligned columns)."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns if columns is not None else list(fields)
-    values = [_hashable(F.col(f"`{n}`"), fields[n]) for n in names]
+    values = [hashable(F.col(f"`{n}`"), fields[n]) for n in names]
     null_mask = [F.col(f"`{n}`").isNull() for n in names]
     return F.xxhash64(*values, *null_mask)
 

@@ -28,7 +28,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StringType, TimestampType
 
@@ -49,6 +49,7 @@ log = logging.getLogger("ferry")
 
 IF_EXISTS = ("overwrite", "skip", "error")
 SESSION_CATALOG = "spark_catalog"
+VERIFY_MODES = ("none", "counts", "full")
 VERSION_MARK = "__v_"
 STAGING_MARK = "__stg_"
 
@@ -57,6 +58,14 @@ class MigrationError(RuntimeError):
     """A table that must not or cannot be migrated as asked."""
 
 
+class RowCountMismatch(MigrationError):
+    """A copy that holds another number of rows than its source."""
+
+    def __init__(self, rows_source: int, rows_target: int):
+        super().__init__(f"verification failed: the source has {rows_source} rows, the copy {rows_target}")
+        self.rows_source, self.rows_target = rows_source, rows_target
+
+
 @dataclass
 class MigrationResult:
     table: str
@@ -147,7 +156,7 @@ def migrate_table(
     partition_cols: list[str] | None = None,
     if_exists: str = "overwrite",
     distribution: str = "auto",
-    verify: bool = False,
+    verify: bool | str = False,
     purge_replaced: bool = False,
     detection: Detection | None = None,
 ) -> MigrationResult:
@@ -156,8 +165,10 @@ def migrate_table(
     ``partition_cols=None`` detects them on the source (catalog flag,
     SHOW PARTITIONS, DDL, DESCRIBE, in that order).  ``if_exists``:
     ``overwrite`` (replace, old rows kept until the new copy exists),
-    ``skip`` (leave an existing target alone) or ``error``.  With ``verify``
-    the new copy is compared with the source before it replaces anything.
+    ``skip`` (leave an existing target alone) or ``error``.  ``verify``
+    compares the new copy with the source before it replaces anything: its row
+    count (``"counts"``; the source's rows are counted on their way into the
+    write, so the source is read once) or everything (``"full"``, or True).
     ``purge_replaced`` deletes the files of a replaced version that an
     earlier run of this function wrote.
     ``detection`` passes the source's detected partitioning when the caller
@@ -169,6 +180,9 @@ def migrate_table(
     safe_ident(provider)
     if if_exists not in IF_EXISTS:
         raise ValueError(f"if_exists must be one of {IF_EXISTS}, got {if_exists!r}")
+    verify = {True: "full", False: "none"}.get(verify, verify)
+    if verify not in VERIFY_MODES:
+        raise ValueError(f"verify must be one of {VERIFY_MODES}, got {verify!r}")
     if (src_c.lower(), src_s.lower(), src_t.lower()) == (tgt_c.lower(), tgt_s.lower(), tgt_t.lower()):
         raise MigrationError("source and target are the same table; refusing before any DDL")
 
@@ -219,40 +233,74 @@ def _run(spark: SparkSession, plan: WritePlan) -> str:
     return plan.sql()
 
 
+def _run_counting(spark: SparkSession, plan: WritePlan, result: MigrationResult) -> None:
+    """Run the copy and count the source's rows on their way into the write."""
+    log.debug("%s", plan.sql())
+    seen = Observation()
+    spark.sql(plan.sql(rows="{rows}"), rows=spark.table(plan.source).observe(seen, F.count(F.lit(1)).alias("n")))
+    result.sql = plan.sql()
+    try:
+        result.rows_source = seen.get["n"]
+    except Exception:  # nothing passed: the optimizer found the source empty, or the catalog writes in a query of its own
+        result.rows_source = None
+
+
+def _count(spark: SparkSession, table: str) -> int:
+    return spark.table(table).count()
+
+
+def _check(spark: SparkSession, result: MigrationResult, copy: str, verify: str) -> None:
+    if verify == "counts":
+        _compare_counts(spark, result, copy)
+    elif verify == "full":
+        _verify_or_raise(spark, result, copy)
+
+
+def _compare_counts(spark: SparkSession, result: MigrationResult, copy: str) -> None:
+    """Count the copy (file footers) and compare.  Tasks that ran twice because
+    an executor was lost are counted twice on their way, so the source is
+    counted once more before a copy is refused."""
+    result.rows_target = _count(spark, copy)
+    if result.rows_source != result.rows_target:
+        result.rows_source = _count(spark, result.source)
+    if result.rows_source != result.rows_target:
+        raise RowCountMismatch(result.rows_source, result.rows_target)
+
+
 def _verify_or_raise(spark: SparkSession, result: MigrationResult, copy: str) -> None:
     """Compare ``copy`` with the source; the row counts go into the result."""
     from ferry.operators.verify import compare_tables, migration_ok, verify_rows
 
     summary = compare_tables(spark, result.source, copy, result.partition_cols)
     result.rows_source, result.rows_target = summary["src_rows"], summary["tgt_rows"]
+    result.notes += [f"widened {w}" for w in summary["widenings"]]
     if not migration_ok(summary):
         raise MigrationError(f"verification failed: {[r[1] for r in verify_rows('', summary) if not r[4]]}")
 
 
 def _write_in_one_commit(
-    spark: SparkSession, result: MigrationResult, provider: str, exists: bool, verify: bool
+    spark: SparkSession, result: MigrationResult, provider: str, exists: bool, verify: str
 ) -> None:
     """Copy into a catalog that commits a whole statement.  A checked
     overwrite writes twice: a staging table, which is compared with the
     source, and the replacing table, read from the staging table.  A first
     copy that fails its check is removed."""
     source, target, cols = result.source, result.target, result.partition_cols
-    if exists and verify:
+    if exists and verify != "none":
         staging = f"{target}{STAGING_MARK}{uuid.uuid4().hex[:12]}"
         try:
-            _run(spark, WritePlan(source, staging, provider, cols, result.distribution))
-            _verify_or_raise(spark, result, staging)
+            _run_counting(spark, WritePlan(source, staging, provider, cols, result.distribution), result)
+            _check(spark, result, staging, verify)
             result.sql = _run(spark, WritePlan(staging, target, provider, cols, "none", replace=True))
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {staging}")
         return
-    result.sql = _run(spark, WritePlan(source, target, provider, cols, result.distribution, replace=exists))
-    if verify:
-        try:
-            _verify_or_raise(spark, result, target)
-        except Exception:
-            spark.sql(f"DROP TABLE IF EXISTS {target}")
-            raise
+    _run_counting(spark, WritePlan(source, target, provider, cols, result.distribution, replace=exists), result)
+    try:
+        _check(spark, result, target, verify)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {target}")
+        raise
 
 
 def _drop_and_purge(spark: SparkSession, name: str) -> None:
@@ -267,7 +315,7 @@ def _drop_and_purge(spark: SparkSession, name: str) -> None:
 
 
 def _stage_and_swap(
-    spark: SparkSession, result: MigrationResult, provider: str, exists: bool, verify: bool, purge_replaced: bool
+    spark: SparkSession, result: MigrationResult, provider: str, exists: bool, verify: str, purge_replaced: bool
 ) -> None:
     target, cols = result.target, result.partition_cols
     tgt_c, tgt_s, tgt_t = split_fqn(target)
@@ -279,9 +327,8 @@ def _stage_and_swap(
     staging = f"{tgt_c}.{tgt_s}.{tgt_t}{STAGING_MARK}{run}"
     try:
         plan = WritePlan(result.source, staging, provider, cols, result.distribution, location=location)
-        result.sql = _run(spark, plan)
-        if verify:
-            _verify_or_raise(spark, result, staging)
+        _run_counting(spark, plan, result)
+        _check(spark, result, staging, verify)
     except Exception:
         # Nothing was touched; remove the new version and surface the copy's
         # own error (a failing cleanup must not hide it).

@@ -11,10 +11,12 @@ otherwise the error propagates, as the first failure ends the batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ferry.concurrency import map_concurrently
 from ferry.functions.identifiers import UnsafeIdentifier, is_safe_ident, safe_ident
-from ferry.operators.migrate import MigrationError, migrate_table
+from ferry.operators.ledger import FAILED, RunLedger
+from ferry.operators.migrate import VERIFY_MODES, MigrationError, RowCountMismatch, migrate_table
 from ferry.sources.catalog import ensure_namespace, list_source_tables, missing_tables, table_exists
 from ferry.sources.partitions import Detection, detect_partitions, per_table
 
@@ -23,7 +25,6 @@ REPORT_SCHEMA = (
     "table_name string, action string, partition_cols string, rows_source bigint, "
     "rows_target bigint, status string, error string"
 )
-VERIFY_MODES = ("none", "counts", "full")
 
 
 def _listed(spark, source_catalog, source_schema, tables, include_views) -> tuple[list[str], list[str]]:
@@ -102,30 +103,30 @@ def _one(
     verify: str,
     continue_on_error: bool,
     purge_replaced: bool,
+    ledger: RunLedger | None,
     detection: Detection | None,
 ) -> tuple:
+    """Copy one table; its report row goes into the ledger before anything is raised."""
     try:
         src = f"{safe_ident(source_catalog)}.{safe_ident(source_schema)}.{safe_ident(t)}"
         tgt = f"{safe_ident(target_catalog)}.{safe_ident(target_schema)}.{t}"
         res = migrate_table(
-            spark, src, tgt, provider=provider, if_exists=if_exists, verify=(verify == "full"),
+            spark, src, tgt, provider=provider, if_exists=if_exists, verify=verify,
             purge_replaced=purge_replaced, detection=detection,
         )
-        n_src = n_tgt = None
-        status = res.status
-        if verify == "full":
-            n_src, n_tgt = res.rows_source, res.rows_target  # counted by the comparison
-        elif verify == "counts" and res.status == "ok":
-            n_src = spark.table(src).count()
-            n_tgt = spark.table(tgt).count()
-            if n_src != n_tgt:
-                status = "mismatch"
-        return (t, res.action, ",".join(res.partition_cols), n_src, n_tgt, status, None)
+        row = (t, res.action, ",".join(res.partition_cols), res.rows_source, res.rows_target, res.status, None)
+        error = None
     except Exception as e:
-        if not continue_on_error:
-            raise
-        msg = f"{type(e).__name__}: {e}"
-        return (t, "refuse" if isinstance(e, (MigrationError, UnsafeIdentifier)) else "copy", None, None, None, "failed", msg)
+        error, msg = e, f"{type(e).__name__}: {e}"
+        if isinstance(e, RowCountMismatch):
+            row = (t, "copy", None, e.rows_source, e.rows_target, "mismatch", msg)
+        else:
+            row = (t, "refuse" if isinstance(e, (MigrationError, UnsafeIdentifier)) else "copy", None, None, None, "failed", msg)
+    if ledger is not None:
+        ledger.append(source_schema, target_schema, row)
+    if error is not None and not continue_on_error:
+        raise error
+    return row
 
 
 def migrate_schema(
@@ -143,17 +144,20 @@ def migrate_schema(
     include_views: bool = True,
     parallelism: int = 1,
     purge_replaced: bool = False,
+    ledger: str | RunLedger | None = None,
 ) -> DataFrame:
     """Migrate every table of a namespace (or the ``tables`` asked for).
 
     Returns ``(table_name, action, partition_cols, rows_source, rows_target,
     status, error)`` with status ``ok``, ``skipped``, ``failed``,
-    ``mismatch`` (copied but the check disagrees) or ``not_found``.
-    ``verify``: ``counts`` (row counts of both sides), ``full`` (content
-    hash and partition checks before a replace) or ``none``.
+    ``mismatch`` (the copy's rows are not as many as the source's; nothing was
+    replaced) or ``not_found``.  ``verify``: ``counts`` (row counts), ``full``
+    (content hash and partition checks), each before a replace, or ``none``.
     ``parallelism > 1`` runs that many table copies as concurrent Spark jobs.
     Skipped tables are not counted.  ``purge_replaced`` deletes the files of
-    replaced versions (see :func:`migrate_table`).
+    replaced versions (see :func:`migrate_table`).  With ``ledger`` (a table
+    name, or a :class:`RunLedger`) every row is also appended to that table as
+    soon as its table is done, whatever becomes of the batch.
     """
     if verify not in VERIFY_MODES:
         raise ValueError(f"verify must be one of {VERIFY_MODES}")
@@ -164,12 +168,17 @@ def migrate_schema(
     if names:
         ensure_namespace(spark, target_catalog, target_schema)
     args = (spark, source_catalog, source_schema, target_catalog, target_schema)
-    opts = (provider, if_exists, verify, continue_on_error, purge_replaced)
+    if isinstance(ledger, str):
+        ledger = RunLedger(spark, ledger)
+    opts = (provider, if_exists, verify, continue_on_error, purge_replaced, ledger)
     rows = map_concurrently(lambda t: _one(*args, t, *opts, dets.get(t)), names, parallelism, spark)
-    rows.extend((m, "not_found", None, None, None, "not_found", "not in the source namespace") for m in missing)
-    return spark.createDataFrame(rows, REPORT_SCHEMA)
+    absent = [(m, "not_found", None, None, None, "not_found", "not in the source namespace") for m in missing]
+    if ledger is not None:
+        for row in absent:
+            ledger.append(source_schema, target_schema, row)
+    return spark.createDataFrame(rows + absent, REPORT_SCHEMA)
 
 
 def failure_count(report: DataFrame) -> int:
     """Tables whose copy failed or disagrees with its source."""
-    return report.where("status IN ('failed', 'mismatch')").count()
+    return report.where(F.col("status").isin(*FAILED)).count()

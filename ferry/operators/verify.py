@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from ferry.functions.hashing import SLICES, combine_slices, content_hash_aggs
 from ferry.functions.identifiers import split_fqn
+from ferry.functions.types import compare_types
+from ferry.sources.catalog import table_provider
 from ferry.sources.partitions import partition_columns
 
-REPORT_SCHEMA = "table_name string, check_name string, expected string, actual string, ok boolean"
+REPORT_SCHEMA = "table_name string, check_name string, expected string, actual string, ok boolean, note string"
 
 # Names of the checks, in report order.
 CHECKS = (
@@ -38,17 +40,28 @@ def _resolve(df: DataFrame, names: list[str]) -> list[str] | None:
     return None if any(o is None for o in out) else out  # type: ignore[return-value]
 
 
-def column_types(spark: SparkSession, table: str) -> str:
-    """``name type`` of every column, by name, from the catalog: a DataFrame's
+def column_types(spark: SparkSession, table: str) -> dict[str, str]:
+    """The declared type of every column, from the catalog: a DataFrame's
     schema shows CHAR and VARCHAR columns as plain strings."""
     types = {}
     for r in spark.sql(f"DESCRIBE TABLE {table}").collect():
         if not r.col_name or r.col_name.startswith("#"):
             break
         types[r.col_name.lower()] = r.data_type
+    return types
+
+
+def _type_text(types: dict[str, str]) -> str:
     return ",".join(f"{n} {t}" for n, t in sorted(types.items()))
 
 
+def _provider(spark: SparkSession, table: str) -> str | None:
+    try:
+        return table_provider(spark, table)
+    except Exception:  # a catalog that describes tables in a way of its own
+        return None
+
+
 def _per_partition(df: DataFrame, pcols: list[str], hash_cols: list[str] | None) -> DataFrame:
     """``(k0, z0, .., n, h0..h3)``: rows and hash slice sums per partition
     value.  Each partition column becomes two never-NULL keys, its value as
@@ -110,11 +123,15 @@ def compare_tables(
     ).collect()[0]
     src_hash = combine_slices([row[f"sh{j}"] for j in range(SLICES)])
     tgt_hash = combine_slices([row[f"th{j}"] for j in range(SLICES)])
+    src_types, tgt_types = column_types(spark, source), column_types(spark, target)
+    wrong_types, widenings = compare_types(src_types, tgt_types, _provider(spark, target))
     return {
         "source_columns": ",".join(sorted(c.lower() for c in src_names)),
         "target_columns": ",".join(sorted(c.lower() for c in tgt.columns)),
-        "source_types": column_types(spark, source),
-        "target_types": column_types(spark, target),
+        "source_types": _type_text(src_types),
+        "target_types": _type_text(tgt_types),
+        "wrong_types": wrong_types,
+        "widenings": widenings,
         "src_rows": row.src_rows,
         "tgt_rows": row.tgt_rows,
         "src_hash": src_hash,
@@ -128,14 +145,14 @@ def compare_tables(
 
 
 def verify_rows(table_name: str, s: dict) -> list[tuple]:
-    def r(check, expected, actual, ok=None):
+    def r(check, expected, actual, ok=None, notes=()):
         e = None if expected is None else str(expected)
         a = None if actual is None else str(actual)
-        return (table_name, check, e, a, bool(e == a) if ok is None else bool(ok))
+        return (table_name, check, e, a, bool(e == a) if ok is None else bool(ok), "; ".join(notes) or None)
 
     return [
         r("columns", s["source_columns"], s["target_columns"]),
-        r("types", s["source_types"], s["target_types"]),
+        r("types", s["source_types"], s["target_types"], not s["wrong_types"], s["wrong_types"] + [f"widened {w}" for w in s["widenings"]]),
         r("row_count", s["src_rows"], s["tgt_rows"]),
         r("content_hash", s["src_hash"], s["tgt_hash"]),
         r("partition_columns", s["source_partition_cols"].lower(), s["target_partition_cols"].lower()),
@@ -152,10 +169,11 @@ def verify_migration(
     *,
     table_name: str | None = None,
 ) -> DataFrame:
-    """Report ``(table_name, check_name, expected, actual, ok)``.
+    """Report ``(table_name, check_name, expected, actual, ok, note)``.
 
     ``columns``: same column names; ``types``: same column types as the
-    catalogs declare them; ``row_count``; ``content_hash``: the
+    catalogs declare them, or the wider ones that the target's provider is known
+    to store (:mod:`ferry.functions.types`), which are noted; ``row_count``; ``content_hash``: the
     order-free multiset hash of all rows; ``partition_columns``: the
     target's registered partition columns equal the source's;
     ``partition_count`` and ``partition_mismatches``: the same partitions,
@@ -180,6 +198,18 @@ def partition_row_counts(spark: SparkSession, table: str, partition_cols: list[s
     return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def verify_pairs(spark: SparkSession, pairs: dict[str, tuple[str, str]], *, parallelism: int = 1) -> DataFrame:
+    """:func:`verify_migration` for several ``name: (source, target)``, as one
+    report; ``parallelism > 1`` runs that many comparisons at once."""
+    from ferry.concurrency import map_concurrently
+
+    def one(name: str) -> list[tuple]:
+        return verify_rows(name, compare_tables(spark, *pairs[name]))
+
+    parts = map_concurrently(one, list(pairs), parallelism, spark)
+    return spark.createDataFrame([r for p in parts for r in p], REPORT_SCHEMA)
+
+
 def verify_schema(
     spark: SparkSession,
     source_catalog: str,
@@ -193,7 +223,6 @@ def verify_schema(
     """:func:`verify_migration` for every table of a namespace (or the given
     ones), as one report.  Tables are independent jobs; ``parallelism > 1``
     runs that many comparisons at once."""
-    from ferry.concurrency import map_concurrently
     from ferry.functions.identifiers import safe_ident
     from ferry.sources.catalog import list_source_tables
 
@@ -203,8 +232,5 @@ def verify_schema(
     src_ns = f"{safe_ident(source_catalog)}.{safe_ident(source_schema)}"
     tgt_ns = f"{safe_ident(target_catalog)}.{safe_ident(target_schema)}"
 
-    def one(t: str) -> list[tuple]:
-        return verify_rows(t, compare_tables(spark, f"{src_ns}.{safe_ident(t)}", f"{tgt_ns}.{safe_ident(t)}"))
-
-    parts = map_concurrently(one, tables, parallelism, spark)
-    return spark.createDataFrame([r for p in parts for r in p], REPORT_SCHEMA)
+    pairs = {t: (f"{src_ns}.{safe_ident(t)}", f"{tgt_ns}.{safe_ident(t)}") for t in tables}
+    return verify_pairs(spark, pairs, parallelism=parallelism)

@@ -48,7 +48,8 @@ class WritePlan:
     location: str | None = None
     replace: bool = False
 
-    def sql(self) -> str:
+    def sql(self, rows: str | None = None) -> str:
+        """The statement; ``rows`` stands in for the source's name."""
         split_fqn(self.source)
         split_fqn(self.target)
         provider = safe_ident(self.provider)
@@ -60,12 +61,12 @@ class WritePlan:
         if self.location is not None:
             lines.append(f"LOCATION '{_sql_path(self.location)}'")
         hint = f"/*+ REBALANCE({cols}) */ " if self.distribution == "rebalance" and cols else ""
-        lines.append(f"AS SELECT {hint}* FROM {self.source}")
+        lines.append(f"AS SELECT {hint}* FROM {rows or self.source}")
         return "\n".join(lines)
 
 
 def _sql_path(path: str) -> str:
-    if "'" in path or "\\" in path:
+    if any(c in path for c in "'\\{}"):
         raise ValueError(f"location not usable in SQL text: {path!r}")
     return path
 

@@ -377,7 +377,7 @@ class Recorder:
     def __init__(self, spark):
         self.spark, self.said = spark, []
 
-    def sql(self, text):
+    def sql(self, text, **rows):
         self.said.append(text)
 
     def table(self, name):
