@@ -1,0 +1,228 @@
+"""Counts on the way into the write, types that providers widen, row
+differences and the run ledger."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+import ferry.operators.migrate as migrate
+from ferry.functions.types import compare_types, widened
+from ferry.operators.differences import row_differences
+from ferry.operators.ledger import RunLedger, read_ledger, run_summary
+from ferry.operators.migrate import MigrationError, RowCountMismatch, migrate_table
+from ferry.operators.schema import failure_count, migrate_schema
+from ferry.operators.verify import verify_migration
+
+C = "spark_catalog"
+
+
+def scans(spark, monkeypatch, action) -> Counter:
+    """Tables whose rows were counted while ``action`` ran."""
+    counted = Counter()
+    count = migrate._count
+
+    def noted(session, table):
+        counted[table.split(".")[-1].split("__stg_")[0] if "__stg_" not in table else "copy"] += 1
+        return count(session, table)
+
+    monkeypatch.setattr(migrate, "_count", noted)
+    action()
+    return counted
+
+
+def records_read(spark, group, action) -> list[str]:
+    """Names of the stages with tasks that ran for ``action``."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    infos = [tracker.getStageInfo(s) for s in sorted(stages)]
+    return [i.name for i in infos if i is not None and i.numCompletedTasks and not i.name.startswith("hasNext")]
+
+
+# ---------------------------------------------------------------- counts
+
+
+def test_counts_read_the_source_once(spark, src, tgt, monkeypatch):
+    counted = scans(spark, monkeypatch, lambda: migrate_table(spark, f"{C}.{src}.orders", f"{C}.{tgt}.orders", verify="counts"))
+    assert counted == {"copy": 1}  # the source's rows are known from the write
+    # One stage that reads the source and writes, then the two of a count of the copy.
+    names = records_read(spark, "one-scan", lambda: migrate_table(spark, f"{C}.{src}.orders", f"{C}.{tgt}.again", verify="counts"))
+    assert len(names) <= 3
+
+
+def test_counts_of_rebalanced_and_empty_copies(spark, src, tgt):
+    made = migrate_table(spark, f"{C}.{src}.customer", f"{C}.{tgt}.customer", partition_cols=["c_mktsegment"], verify="counts")
+    assert made.distribution == "rebalance" and made.rows_source == made.rows_target == spark.table(f"{C}.{src}.customer").count()
+    empty = migrate_table(spark, f"{C}.{src}.orders_empty", f"{C}.{tgt}.orders_empty", verify="counts")
+    assert (empty.rows_source, empty.rows_target) == (0, 0)
+    spark.sql(f"CREATE VIEW {C}.{tgt}.nothing AS SELECT * FROM {C}.{src}.nation WHERE 1 = 0")
+    view = migrate_table(spark, f"{C}.{tgt}.nothing", f"{C}.{tgt}.nothing_t", verify="counts")
+    assert (view.rows_source, view.rows_target) == (0, 0)
+
+
+def test_a_wrong_count_stops_before_the_old_target_goes(spark, src, tgt, monkeypatch):
+    spark.sql(f"CREATE TABLE {C}.{tgt}.nation USING parquet AS SELECT 'old' AS note")
+    count = migrate._count
+    monkeypatch.setattr(migrate, "_count", lambda s, t: count(s, t) - ("__stg_" in t))
+    with pytest.raises(RowCountMismatch):
+        migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation", verify="counts")
+    assert spark.table(f"{C}.{tgt}.nation").first().note == "old"
+    report = migrate_schema(spark, C, src, C, tgt, tables=["nation"], continue_on_error=True)
+    row = report.first()
+    assert (row.status, row.rows_source, row.rows_target) == ("mismatch", 25, 24) and failure_count(report) == 1
+    with pytest.raises(RowCountMismatch):
+        migrate_schema(spark, C, src, C, tgt, tables=["nation"])
+    assert [r.tableName for r in spark.sql(f"SHOW TABLES IN {C}.{tgt}").collect() if not r.isTemporary] == ["nation"]
+
+
+def test_rows_seen_twice_by_lost_tasks_are_counted_again(spark, src, tgt, monkeypatch):
+    run = migrate._run_counting
+
+    def twice(session, plan, result):
+        run(session, plan, result)
+        result.rows_source *= 2
+
+    monkeypatch.setattr(migrate, "_run_counting", twice)
+    made = migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation", verify="counts")
+    assert (made.rows_source, made.rows_target) == (25, 25)
+    with pytest.raises(ValueError):
+        migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation", verify="some")
+
+
+# ---------------------------------------------------------------- types
+
+
+@pytest.mark.parametrize(
+    "source, target, provider, good",
+    [
+        ("varchar(15)", "string", "iceberg", True),
+        ("char(4)", "string", "ICEBERG", True),
+        ("smallint", "int", "iceberg", True),
+        ("tinyint", "int", "iceberg", True),
+        ("struct<a:varchar(3),b:array<smallint>>", "struct<a:string,b:array<int>>", "iceberg", True),
+        ("map<char(2),tinyint>", "map<string,int>", "iceberg", True),
+        ("varchar(15)", "string", "parquet", False),
+        ("varchar(15)", "string", None, False),
+        ("smallint", "bigint", "iceberg", False),
+        ("int", "smallint", "iceberg", False),
+        ("varchar(15)", "varchar(3)", "iceberg", False),
+        ("struct<a:varchar(3)>", "struct<b:string>", "iceberg", False),
+        ("no such type", "string", "iceberg", False),
+    ],
+)
+def test_widenings_by_provider(spark, source, target, provider, good):
+    assert widened(source, target, provider) is good
+    wrong, notes = compare_types({"c": source, "same": "int"}, {"c": target, "same": "int"}, provider)
+    assert (wrong, notes) == ([], [f"c: {source} -> {target}"]) if good else ([f"c: {source} -> {target}"], [])
+
+
+def test_a_missing_column_is_a_difference():
+    assert compare_types({"a": "int"}, {"b": "int"}, "iceberg") == (["a: int -> absent", "b: absent -> int"], [])
+
+
+def test_string_for_varchar_is_noted_or_refused_by_provider(spark, tgt, monkeypatch):
+    import ferry.operators.verify as v
+
+    spark.sql(f"CREATE TABLE {C}.{tgt}.declared (t VARCHAR(15), n SMALLINT) USING parquet")
+    spark.sql(f"CREATE TABLE {C}.{tgt}.stored (t STRING, n INT) USING parquet")
+    for t in ("declared", "stored"):
+        spark.sql(f"INSERT INTO {C}.{tgt}.{t} VALUES ('x', 1), (NULL, NULL)")
+
+    def report():
+        return {r.check_name: r for r in verify_migration(spark, f"{C}.{tgt}.declared", f"{C}.{tgt}.stored").collect()}
+
+    refused = report()
+    assert not refused["types"].ok and "varchar(15) -> string" in refused["types"].note
+    monkeypatch.setattr(v, "table_provider", lambda s, t: "iceberg")
+    assert all(r.ok for r in report().values())
+    assert report()["types"].note == "widened n: smallint -> int; widened t: varchar(15) -> string"
+
+
+# ---------------------------------------------------------------- differences
+
+
+def plain(spark, source, target, columns):
+    a, b = (Counter(map(repr, spark.table(t).select(*columns).collect())) for t in (source, target))
+    return {("missing", r): n for r, n in (a - b).items()} | {("extra", r): n for r, n in (b - a).items()}
+
+
+def found(df, columns):
+    return {(r["side"], repr(r_)): r["copies"] for r, r_ in zip(df.collect(), df.select(*columns).collect())}
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 50, 1 << 20])
+def test_row_differences_equal_bag_difference(spark, src, tgt, bucket_rows):
+    spark.sql(
+        f"CREATE TABLE {C}.{tgt}.orders USING parquet PARTITIONED BY (o_orderstatus) AS "
+        f"SELECT o_orderstatus AS o, IF(o_orderkey % 31 = 3, NULL, o_custkey) AS O_CUSTKEY, o_orderkey, o_totalprice, o_orderdate, o_orderpriority, "
+        f"IF(o_orderkey % 97 = 5, 'Q', o_orderstatus) AS o_orderstatus FROM {C}.{src}.orders WHERE o_orderkey % 13 <> 4 "
+        f"UNION ALL SELECT o_orderstatus, o_custkey, o_orderkey, o_totalprice, o_orderdate, o_orderpriority, o_orderstatus FROM {C}.{src}.orders WHERE o_orderkey % 50 = 6"
+    )
+    with pytest.raises(MigrationError):
+        row_differences(spark, f"{C}.{src}.orders", f"{C}.{tgt}.orders")
+    columns = spark.table(f"{C}.{src}.orders").columns
+    spark.sql(f"CREATE TABLE {C}.{tgt}.damaged USING parquet PARTITIONED BY (o_orderstatus) AS SELECT {', '.join(columns)} FROM {C}.{tgt}.orders")
+    made = row_differences(spark, f"{C}.{src}.orders", f"{C}.{tgt}.damaged", bucket_rows=bucket_rows)
+    assert made.columns == ["side", "copies", *columns]
+    want = plain(spark, f"{C}.{src}.orders", f"{C}.{tgt}.damaged", columns)
+    assert found(made, columns) == want and len(want) > 20
+
+
+def test_row_differences_of_equal_empty_and_nested_tables(spark, src, tgt):
+    migrate_table(spark, f"{C}.{src}.orders_n", f"{C}.{tgt}.orders_n")
+    assert row_differences(spark, f"{C}.{src}.orders_n", f"{C}.{tgt}.orders_n").collect() == []
+    migrate_table(spark, f"{C}.{src}.orders_empty", f"{C}.{tgt}.empty")
+    assert row_differences(spark, f"{C}.{src}.orders_empty", f"{C}.{tgt}.empty").collect() == []
+    missing = row_differences(spark, f"{C}.{src}.orders", f"{C}.{tgt}.empty")
+    assert missing.where("side = 'missing' AND copies = 1").count() == missing.count() == spark.table(f"{C}.{src}.orders").count()
+    rows = "VALUES (1, map('a', 1, 'b', 2), array(1, NULL), CAST('nan' AS DOUBLE)), (1, map('a', 1, 'b', 2), array(1, NULL), CAST('nan' AS DOUBLE)), (NULL, NULL, NULL, 0.0)"
+    spark.sql(f"CREATE TABLE {C}.{tgt}.left_t USING parquet AS SELECT * FROM {rows} AS t(i, m, a, d)")
+    spark.sql(f"CREATE TABLE {C}.{tgt}.right_t USING parquet AS SELECT i, map_from_entries(reverse(map_entries(m))) AS m, a, d FROM {C}.{tgt}.left_t WHERE i IS NULL UNION ALL SELECT 1, map('b', 2, 'a', 1), array(1, NULL), CAST('nan' AS DOUBLE)")
+    got = [(r.side, r.copies, r.i, r.m) for r in row_differences(spark, f"{C}.{tgt}.left_t", f"{C}.{tgt}.right_t").collect()]
+    assert got == [("missing", 1, 1, {"a": 1, "b": 2})]
+    spark.sql(f"CREATE TABLE {C}.{tgt}.other_t USING parquet AS SELECT CAST(i AS STRING) AS i, m, a, d FROM {C}.{tgt}.left_t")
+    with pytest.raises(MigrationError):
+        row_differences(spark, f"{C}.{tgt}.left_t", f"{C}.{tgt}.other_t")
+
+
+def test_only_differing_partitions_are_opened(spark, src, tgt):
+    columns = ", ".join(spark.table(f"{C}.{src}.lineitem").columns)
+    changed = columns.replace("l_quantity", "IF(l_returnflag = 'A' AND l_orderkey % 50 = 1, l_quantity + 1, l_quantity) AS l_quantity")
+    spark.sql(f"CREATE TABLE {C}.{tgt}.lineitem USING parquet PARTITIONED BY (l_returnflag, l_linestatus) AS SELECT {changed} FROM {C}.{src}.lineitem")
+    made = row_differences(spark, f"{C}.{src}.lineitem", f"{C}.{tgt}.lineitem")
+    assert {r.l_returnflag for r in made.select("l_returnflag").distinct().collect()} == {"A"}
+    assert made.groupBy("side").sum("copies").count() == 2
+
+
+# ---------------------------------------------------------------- ledger
+
+
+def test_ledger_keeps_what_a_dead_batch_had_done(spark, src, tgt):
+    ledger = RunLedger(spark, f"{C}.{tgt}_ops.runs", "first_run")
+    with pytest.raises(Exception):
+        migrate_schema(spark, C, src, C, tgt, tables=["nation", "region", "spaced", "supplier"], ledger=ledger)
+    rows = read_ledger(spark, ledger.table, "first_run").orderBy("seq").collect()
+    assert [(r.table_name, r.status, r.rows_target) for r in rows] == [("nation", "ok", 25), ("region", "ok", 5), ("spaced", "failed", None)]
+    assert rows[2].error and rows[2].finished_at is not None and rows[0].source_schema == src
+    # Another run goes on with the same ledger, by its name.
+    report = migrate_schema(spark, C, src, C, tgt, tables=["spaced", "supplier", "ghost"], continue_on_error=True, parallelism=2, ledger=ledger.table)
+    assert failure_count(report) == 1
+    summary = {r.run_id: (r.tables, r.failures, r.rows_source) for r in run_summary(read_ledger(spark, ledger.table)).collect()}
+    assert summary.pop("first_run") == (3, 1, 30)
+    assert list(summary.values()) == [(3, 1, spark.table(f"{C}.{src}.supplier").count())]
+
+
+def test_last_row_of_a_table_counts(spark, tgt):
+    ledger = RunLedger(spark, f"{C}.{tgt}.runs", provider="orc")
+    ledger.append("s", "t", ("a", "copy", None, None, None, "failed", "first\nsecond"))
+    ledger.append("s", "t", ("a", "create", "", 3, 3, "ok", None))
+    row = run_summary(read_ledger(spark, ledger.table)).first()
+    assert (row.run_id, row.tables, row.failures, row.rows_target) == (ledger.run_id, 1, 0, 3)
+    assert read_ledger(spark, ledger.table).where("error LIKE '%second'").count() == 1

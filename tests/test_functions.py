@@ -87,8 +87,6 @@ def test_specs_of_real_listings_and_files_give_the_values_back(spark, tgt):
 # ------------------------------------------------------------------- DDL
 
 DDL_CASES = [
-    ("CREATE TABLE sales (price int) PARTITIONED BY (`week` date, `shop` bigint) STORED AS ORC", ["week", "shop"]),
-    ("CREATE TABLE trips (km int) PARTITIONED BY (line int, stop struct<zone:int>) STORED AS ORC", ["line", "stop"]),
     ("CREATE TABLE t (x int) PARTITIONED BY (a int, b struct<x:int,y:int>, m decimal(7,2))", ["a", "b", "m"]),
     ("create table t (x int) partitioned by (a int comment 'x) y, z', `my col` string)", ["a", "my col"]),
     ("CREATE TABLE t (x int) USING orc PARTITIONED BY (dt, hr)", ["dt", "hr"]),
@@ -116,13 +114,14 @@ def test_ddl_null_gives_empty(spark):
     assert df.select(ddl_partition_columns("ddl").alias("c")).collect()[0].c == []
 
 
-def test_partitioned_by_clause(spark):
-    df = spark.createDataFrame(
-        [("CREATE TABLE trips (km int) PARTITIONED BY (line int, stop struct<zone:int>) STORED AS ORC",), ("CREATE TABLE trips",)],
-        "ddl string",
-    )
-    got = [r.c for r in df.select(partitioned_by_clause("ddl").alias("c")).collect()]
-    assert got == ["line int, stop struct<zone:int>", None]
+def test_partitioned_by_clause_of_real_statements(spark, tgt):
+    spark.sql(f"CREATE TABLE spark_catalog.{tgt}.flat (n int) USING orc")
+    spark.sql(f"CREATE TABLE spark_catalog.{tgt}.parted (n int, m decimal(7,2), k string) USING orc PARTITIONED BY (m, k)")
+    got = []
+    for t in ("flat", "parted"):
+        shown = spark.sql(f"SHOW CREATE TABLE spark_catalog.{tgt}.{t}")
+        got.append(shown.select(partitioned_by_clause(ddl_text(shown)).alias("c")).first().c)
+    assert got == [None, "m, k"]
 
 
 def test_ddl_of_a_real_table(spark, tgt):
@@ -132,11 +131,11 @@ def test_ddl_of_a_real_table(spark, tgt):
 
 
 def test_ddl_text_from_rows_of_any_shape(spark):
-    statement = "CREATE TABLE visits PARTITIONED BY (week date)"
+    statement = "create table readings (celsius double) using orc partitioned by (station)"
     named = spark.createDataFrame([(statement,)], "createtab_stmt string")
     unnamed = spark.createDataFrame([(statement,)], "_1 string")
-    other = spark.createDataFrame([(" ", "to Create Table visits")], "result string, other string")
-    for df, expected in ((named, statement), (unnamed, statement), (other, "to Create Table visits")):
+    other = spark.createDataFrame([(" ", "text about how to Create a Table")], "result string, other string")
+    for df, expected in ((named, statement), (unnamed, statement), (other, "text about how to Create a Table")):
         assert df.select(ddl_text(df).alias("d")).first().d == expected
 
 
