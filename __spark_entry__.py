@@ -24,6 +24,7 @@ from ferry.functions.partition_spec import file_partition_spec, partition_spec_v
 from ferry.operators.differences import row_differences
 from ferry.operators.ledger import RunLedger, read_ledger
 from ferry.operators.migrate import migrate_table
+from ferry.operators.resume import migrate_resumable
 from ferry.operators.schema import migrate_schema, plan_migration
 from ferry.operators.verify import CHECKS, partition_row_counts, verify_pairs
 from ferry.sources.catalog import list_source_tables
@@ -92,6 +93,37 @@ def q_migrate_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{CAT}.{tgt}.orders")
 
 
+def q_migrate_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second overwrite with other partitions points the table at the new files."""
+    src = _src(spark, sf_dir)
+    tgt = fresh_schema(spark, "swapped")
+    spark.sql(f"CREATE TABLE {CAT}.{tgt}.older USING orc PARTITIONED BY (p) AS SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus, o_orderpriority, concat('old ', p) AS p FROM {CAT}.{src}.orders_n")
+    spark.sql(f"ALTER TABLE {CAT}.{tgt}.older RENAME TO {tgt}.earlier")
+    columns = ", ".join(spark.table(f"{CAT}.{src}.orders_n").columns)
+    spark.sql(f"CREATE VIEW {CAT}.{tgt}.both AS SELECT {columns} FROM {CAT}.{src}.orders_n UNION ALL SELECT {columns} FROM {CAT}.{tgt}.earlier")
+    migrate_table(spark, f"{CAT}.{tgt}.both", f"{CAT}.{tgt}.orders", partition_cols=["p"])
+    migrate_table(spark, f"{CAT}.{src}.orders_n", f"{CAT}.{tgt}.orders", verify="counts")
+    return spark.table(f"{CAT}.{tgt}.orders")
+
+
+def q_migrate_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that ends half-way and is run again."""
+    src = _src(spark, sf_dir)
+    tgt = fresh_schema(spark, "resumed")
+    names = f"{CAT}.{src}.events_d", f"{CAT}.{tgt}.events_d"
+
+    def end_half_way(step: int, rows: int) -> None:
+        if step == 2:
+            raise InterruptedError
+
+    try:
+        migrate_resumable(spark, *names, steps=5, on_step=end_half_way)
+    except InterruptedError:
+        pass
+    migrate_resumable(spark, *names)
+    return spark.table(names[1])
+
+
 def q_migrate_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _src(spark, sf_dir)
     tgt = fresh_schema(spark, "skip")
@@ -255,6 +287,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "migrate_text_partitioned": q_migrate_text_partitioned,
     "migrate_typed": q_migrate_typed,
     "migrate_overwrite": q_migrate_overwrite,
+    "migrate_swapped": q_migrate_swapped,
+    "migrate_resumed": q_migrate_resumed,
     "migrate_skip_existing": q_migrate_skip_existing,
     "migrate_schema_report": q_migrate_schema_report,
     "migrate_schema_failures": q_migrate_schema_failures,
@@ -392,6 +426,8 @@ _ORACLE = {
         "CAST(month(o_orderdate) AS INTEGER) AS hr FROM orders"
     ),
     "migrate_overwrite": "SELECT * FROM orders",
+    "migrate_swapped": f"SELECT *, {_ORDERS_N_P} AS p FROM orders",
+    "migrate_resumed": "SELECT *, CAST(ts AS DATE) AS d FROM events",
     "migrate_skip_existing": "SELECT *, 'previous run' AS version FROM orders",
     "migrate_schema_report": "\nUNION ALL\n".join(_REPORT_ROW.format(t=t, p=p, src=s) for t, p, s in _REPORT),
     "migrate_schema_failures": (

@@ -9,8 +9,9 @@ never passes through the driver.
 
 Every copy into the session catalog, the first one too, is written under a
 location of its own run as a staging table, optionally verified, and only
-then put into place by ``RENAME`` (after ``DROP`` of the old target if there
-is one; metadata only, the files stay where they were written).  A failing or
+then put into place: a target of the same shape is pointed at the new files and
+never missing, any other is dropped before the staging table is renamed
+(metadata only, the files stay where they were written).  A failing or
 killed copy leaves the old target untouched and never blocks a later run.
 Tables written this way are EXTERNAL, first copies and overwrites alike:
 dropping one later leaves its files.  The files of a replaced version stay for
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StringType, TimestampType
 
 from ferry.functions.identifiers import is_safe_ident, safe_ident, split_fqn
-from ferry.plans.write_plan import DEFAULT_PARTITION, FILE_PROVIDERS, WritePlan, choose_distribution
+from ferry.functions.partition_spec import partition_spec_values
+from ferry.plans.write_plan import DEFAULT_PARTITION, FILE_PROVIDERS, WritePlan, choose_distribution, sql_path
 from ferry.sources.catalog import (
     ensure_namespace,
     list_source_tables,
@@ -82,7 +84,7 @@ class MigrationResult:
     rows_target: int | None = None
 
 
-def _resolve_partition_cols(cols: list[str], source_columns: list[str]) -> list[str]:
+def resolve_partition_cols(cols: list[str], source_columns: list[str]) -> list[str]:
     by_lower = {c.lower(): c for c in source_columns}
     out = []
     for c in dedupe(cols):
@@ -203,7 +205,7 @@ def migrate_table(
         cols, found_by = src_detect.columns, src_detect.found_by
     else:
         cols, found_by = list(partition_cols), "given"
-    cols = _resolve_partition_cols(cols, src_df.columns)
+    cols = resolve_partition_cols(cols, src_df.columns)
     notes = list(src_detect.notes)
 
     if provider.lower() in FILE_PROVIDERS:
@@ -249,7 +251,7 @@ def _count(spark: SparkSession, table: str) -> int:
     return spark.table(table).count()
 
 
-def _check(spark: SparkSession, result: MigrationResult, copy: str, verify: str) -> None:
+def check_copy(spark: SparkSession, result: MigrationResult, copy: str, verify: str) -> None:
     if verify == "counts":
         _compare_counts(spark, result, copy)
     elif verify == "full":
@@ -290,14 +292,14 @@ def _write_in_one_commit(
         staging = f"{target}{STAGING_MARK}{uuid.uuid4().hex[:12]}"
         try:
             _run_counting(spark, WritePlan(source, staging, provider, cols, result.distribution), result)
-            _check(spark, result, staging, verify)
+            check_copy(spark, result, staging, verify)
             result.sql = _run(spark, WritePlan(staging, target, provider, cols, "none", replace=True))
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {staging}")
         return
     _run_counting(spark, WritePlan(source, target, provider, cols, result.distribution, replace=exists), result)
     try:
-        _check(spark, result, target, verify)
+        check_copy(spark, result, target, verify)
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {target}")
         raise
@@ -328,7 +330,7 @@ def _stage_and_swap(
     try:
         plan = WritePlan(result.source, staging, provider, cols, result.distribution, location=location)
         _run_counting(spark, plan, result)
-        _check(spark, result, staging, verify)
+        check_copy(spark, result, staging, verify)
     except Exception:
         # Nothing was touched; remove the new version and surface the copy's
         # own error (a failing cleanup must not hide it).
@@ -339,26 +341,95 @@ def _stage_and_swap(
             log.warning("%s or files in %s are left over", staging, location)
         raise
 
+    put_into_place(spark, staging, target, location, root, purge_replaced)
+
+
+def _shape(spark: SparkSession, name: str) -> tuple:
+    """Provider, columns with their declared types in order, partition columns."""
+    from ferry.operators.verify import column_types
+
+    return table_provider(spark, name), list(column_types(spark, name).items()), partition_columns(spark, name).columns
+
+
+def put_into_place(spark: SparkSession, staging: str, target: str, location: str, root: str, purge_replaced: bool = False) -> None:
+    """Make the finished table ``staging``, stored in ``location``, the target.
+
+    A target that an earlier run wrote, with the same provider, columns and
+    partitioning, is pointed at the new files and is there all the time; its
+    partitions change over a batch at a time.  Any other target is dropped
+    before the staging table takes its name.  Both move metadata only.
+    """
+    tgt_c, tgt_s, tgt_t = split_fqn(target)
+    exists = table_exists(spark, target)
     old_type = table_type(spark, target) if exists else None
     old_location = table_location(spark, target) if exists else None
-    try:
-        if exists:
-            spark.sql(f"DROP TABLE {target}")
-        # An external table keeps its location on rename: metadata-only swap.
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {tgt_s}.{tgt_t}")
-    except Exception as e:
-        if table_exists(spark, target):
-            _drop_and_purge(spark, staging)
-        else:
-            e.add_note(f"the whole copy is in {staging}; recover_swaps puts it into place")
-        raise
-    if purge_replaced and old_type == "EXTERNAL" and _ours(old_location, tgt_t, root):
+    replaceable = old_type == "EXTERNAL" and _ours(old_location, tgt_t, root)
+    if exists and replaceable and _shape(spark, target) == _shape(spark, staging):
+        spark.sql(f"ALTER TABLE {target} SET LOCATION '{sql_path(location)}'")
+        _repoint_partitions(spark, staging, target)
+        # The staging table is external: its files stay, they are the target's now.
+        spark.sql(f"DROP TABLE {staging}")
+    else:
+        try:
+            if exists:
+                spark.sql(f"DROP TABLE {target}")
+            # An external table keeps its location on rename: metadata-only swap.
+            spark.sql(f"ALTER TABLE {staging} RENAME TO {tgt_s}.{tgt_t}")
+        except Exception as e:
+            if table_exists(spark, target):
+                _drop_and_purge(spark, staging)
+            else:
+                e.add_note(f"the whole copy is in {staging}; recover_swaps puts it into place")
+            raise
+    if purge_replaced and replaceable:
         _hadoop_delete(spark, old_location)  # type: ignore[arg-type]
 
 
+def _partition_clauses(specs: DataFrame) -> list[str]:
+    """``PARTITION (k = 'v', ...)`` of each spec in a column ``partition``."""
+    rows = partition_spec_values(specs, "partition", keep_spec=True).collect()
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in rows:
+        value = "NULL" if r.value is None else "'" + r.value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        found.setdefault(r.partition, []).append((r.pos, f"{safe_ident(r.key)} = {value}"))
+    return [f"PARTITION ({', '.join(v for _, v in sorted(parts))})" for parts in found.values()]
+
+
+def _partition_location(spark: SparkSession, table: str, clause: str) -> str | None:
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table} {clause}").collect():
+        if (r.col_name or "").strip() == "Location":
+            return r.data_type
+    return None
+
+
+def _repoint_partitions(spark: SparkSession, staging: str, target: str) -> None:
+    """Give ``target``, whose location is that of ``staging`` already, the
+    partitions of ``staging`` where these are stored, and no others."""
+    if not partition_columns(spark, staging).columns:
+        spark.catalog.refreshTable(target)
+        return
+    before, after = (spark.sql(f"SHOW PARTITIONS {t}").select(F.col("partition")) for t in (target, staging))
+    shared = before.join(after, "partition", "left_semi")
+    gone = _partition_clauses(before.join(after, "partition", "left_anti"))
+    sample = _partition_clauses(shared.limit(1))
+    spark.sql(f"ALTER TABLE {target} RECOVER PARTITIONS")
+    if sample and _partition_location(spark, target, sample[0]) != _partition_location(spark, staging, sample[0]):
+        # This catalog leaves partitions that it knows where they were.
+        for clause in _partition_clauses(shared):
+            new = _partition_location(spark, staging, clause)
+            spark.sql(f"ALTER TABLE {target} {clause} SET LOCATION '{sql_path(new or '')}'")
+    for clause in gone:
+        spark.sql(f"ALTER TABLE {target} DROP IF EXISTS {clause}")
+    spark.catalog.refreshTable(target)
+
+
 RECOVERY_SCHEMA = "table_name string, found string, action string"
 
 
+def _same_location(a: str | None, b: str | None) -> bool:
+    return a is not None and b is not None and re.sub("^file:/+", "/", a).rstrip("/") == re.sub("^file:/+", "/", b).rstrip("/")
+
+
 def _run_folders(spark: SparkSession, root: str) -> list[str]:
     """Names of the run folders (table, mark, 12 hex digits) below a root."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -375,7 +446,8 @@ def recover_swaps(spark: SparkSession, catalog: str, schema: str, *, purge: bool
     whole copy that was never renamed (staging tables only exist after their
     CTAS succeeded; a check that was asked for may not have run), so it is
     renamed into place (``completed``).  One whose target exists never reached
-    its swap; it is dropped and its files removed (``discarded``).  A run
+    its swap; it is dropped and its files removed (``discarded``), unless the
+    target is pointed at its files already: then that is finished (``completed``).  A run
     folder that no table of the namespace uses is a copy that was cut short or
     a replaced version: it is listed as ``orphaned``, and with ``purge``
     deleted (``purged``).  Only tables stored in a run folder of their own
@@ -392,7 +464,13 @@ def recover_swaps(spark: SparkSession, catalog: str, schema: str, *, purge: bool
         m = re.fullmatch(rf"([A-Za-z0-9_]+){STAGING_MARK}([0-9a-f]{{12}})", name)
         if m is None or not _ours(table_location(spark, f"{ns}.{name}"), m[1], root):
             continue
-        if table_exists(spark, f"{ns}.{m[1]}"):
+        target, own = f"{ns}.{m[1]}", f"{ns}.{name}"
+        if table_exists(spark, target) and _same_location(table_location(spark, target), table_location(spark, own)):
+            # The target is pointed at these files already; its partitions may not be.
+            _repoint_partitions(spark, own, target)
+            spark.sql(f"DROP TABLE {own}")
+            rows.append((m[1], name, "completed"))
+        elif table_exists(spark, target):
             _drop_and_purge(spark, f"{ns}.{name}")
             rows.append((m[1], name, "discarded"))
         else:

@@ -59,13 +59,13 @@ class WritePlan:
         if cols:
             lines.append(f"PARTITIONED BY ({cols})")
         if self.location is not None:
-            lines.append(f"LOCATION '{_sql_path(self.location)}'")
+            lines.append(f"LOCATION '{sql_path(self.location)}'")
         hint = f"/*+ REBALANCE({cols}) */ " if self.distribution == "rebalance" and cols else ""
         lines.append(f"AS SELECT {hint}* FROM {rows or self.source}")
         return "\n".join(lines)
 
 
-def _sql_path(path: str) -> str:
+def sql_path(path: str) -> str:
     if any(c in path for c in "'\\{}"):
         raise ValueError(f"location not usable in SQL text: {path!r}")
     return path
