@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import logging
 import re
+import threading
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -240,11 +241,30 @@ def _run_counting(spark: SparkSession, plan: WritePlan, result: MigrationResult)
     log.debug("%s", plan.sql())
     seen = Observation()
     spark.sql(plan.sql(rows="{rows}"), rows=spark.table(plan.source).observe(seen, F.count(F.lit(1)).alias("n")))
-    result.sql = plan.sql()
-    try:
-        result.rows_source = seen.get["n"]
-    except Exception:  # nothing passed: the optimizer found the source empty, or the catalog writes in a query of its own
-        result.rows_source = None
+    result.sql, result.rows_source = plan.sql(), observed(seen)
+
+
+#: Seconds that a finished write has to report its counts.
+OBSERVED_WAIT = 10
+
+
+def observed(seen: Observation) -> int | None:
+    """The count ``n`` of a write that has ended; None if there is none: the
+    optimizer found the source empty, or the catalog writes in a query of its
+    own, whose counts do not come here."""
+    found: list[int] = []
+
+    def read() -> None:
+        try:
+            found.append(seen.get["n"])
+        except Exception:  # an observation without rows has no values
+            pass
+
+    # Reading waits for the report without end, so it waits in a thread.
+    reader = threading.Thread(target=read, daemon=True)
+    reader.start()
+    reader.join(OBSERVED_WAIT)
+    return found[0] if found else None
 
 
 def _count(spark: SparkSession, table: str) -> int:

@@ -27,6 +27,7 @@ from ferry.operators.migrate import (
     MigrationResult,
     check_copy,
     migrate_table,
+    observed,
     put_into_place,
     resolve_partition_cols,
 )
@@ -123,10 +124,7 @@ def migrate_resumable(
             part = part.hint("rebalance", *[F.col(f"`{c}`") for c in cols])
         # By path, where the writer takes the overwrite mode as an option of its own and leaves the session's alone.
         part.write.format(provider).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols).save(location)
-        try:
-            finished[step] = seen.get["n"]
-        except Exception:  # no partition of the source falls into this step
-            finished[step] = 0
+        finished[step] = observed(seen) or 0  # none if no partition of the source falls into this step
         _note(spark, manifest, (*job, steps, step, finished[step]))
         log.info("%s: step %d of %d, %d rows", target, step + 1, steps, finished[step])
         if on_step is not None:

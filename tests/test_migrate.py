@@ -396,6 +396,7 @@ def test_atomic_catalogs_are_checked_before_the_replace(spark, src, monkeypatch,
             raise MigrationError("verification failed")
 
     session = Recorder(spark)
+    monkeypatch.setattr(m, "OBSERVED_WAIT", 0.1)  # the recorder writes nothing
     monkeypatch.setattr(m, "table_exists", lambda s, t: True)
     monkeypatch.setattr(m, "table_type", lambda s, t: "MANAGED")
     monkeypatch.setattr(m, "_verify_or_raise", check)
