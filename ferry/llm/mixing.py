@@ -30,6 +30,7 @@ BLOCK_ROWS = 64
 BUCKETS = 1024
 REST = "*"
 MAX_PARTS = 10_000
+RESULT = ("mix_class", "mix_block", "mix_slot", "mix_position")
 
 
 def schedule(spark: SparkSession, targets: Mapping[str, int]) -> DataFrame:
@@ -75,9 +76,12 @@ def mix(
     come in an order set by hash of the id and ``seed``, repeated ids and rows
     in any order among themselves; null ids are ordinary ids.  Source names
     are compared as they are.  No row is dropped or repeated.  An empty table
-    gives an empty result.
+    gives an empty result.  Columns of ``docs`` keep their names; one that has
+    the name of a column of the result is refused (``toDF`` renames it).
     """
     spark = docs.sparkSession
+    if clashes := sorted({c for c in docs.columns if c.lower() in RESULT}):
+        raise ValueError(f"columns of the mixture have these names: {', '.join(clashes)}")
     targets = dict(targets)
     targets.setdefault(REST, 1)
     names = list(targets)

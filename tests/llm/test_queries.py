@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ferry.llm.mixing import mix
@@ -80,3 +81,29 @@ def test_last_stage_keeps_the_order_of_the_mixture(spark):
         got = {r["doc_id"]: r["mix_position"] for r in corpus_pipeline.bpe_encode_decode(spark, frame, SF).collect()}
         assert got == want
     assert corpus_pipeline.bpe_encode_decode(spark, mixed.limit(0), SF).collect() == []
+
+
+CLASHING = "mix_class mix_block mix_slot mix_position _metadata _file _row _start _d _order _bucket _i _nth number before _dropped_id id doc rep key band bands _id _len _prefix _full _group _keep _same _size _n _map _bucket2 c0 c1 score predicted held_out kept component_id quality toxic place n_chars2".split()
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_of_odd_and_empty_tables_with_clashing_columns(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(40).union(docs.limit(3)).union(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "src0", 0), (None, "", "en", "src0", 0), (7, " ", None, None, 1), (7, None, None, None, 1)], docs.schema))
+    wide = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    step = dict(corpus_pipeline.STAGES)[stage]
+    made = saved(step(spark, saved(wide, "wide"), SF), "clash")
+    plain = saved(step(spark, saved(odd, "plain"), SF), "noclash")
+    if stage == "bpe_encode_decode":
+        assert made.columns == plain.columns and made.count() == odd.count()
+        assert sorted(r["mix_position"] for r in made.collect()) == list(range(odd.count()))
+    else:
+        assert made.columns == wide.columns and plain.columns == odd.columns
+        assert all(r[c] == k for r in made.collect() for k, c in enumerate(CLASHING))
+        assert sorted(map(str, made.select(odd.columns).collect())) == sorted(map(str, plain.collect()))
+    assert step(spark, saved(wide.limit(0), "none"), SF).collect() == []
+
+
+def test_mixture_refuses_columns_with_its_names(spark):
+    with pytest.raises(ValueError, match="mix_Slot"):
+        mix(spark.createDataFrame([(1, "a", 2)], "doc_id long, source string, mix_Slot int"), {"a": 1})
