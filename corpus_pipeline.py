@@ -13,6 +13,14 @@ documents.  All but the last return the columns of ``documents``:
 5. ``bpe_encode_decode`` encodes every text and decodes it again; the order
    of the mixture, taken from the files of stage 4, is its column
    ``mix_position``.
+
+In every stage a null text counts as empty, an empty table gives an empty one,
+and extra columns pass through stages 1 to 4 whatever their names.  Ties and
+repeated rows: stage 1 decides each row by its text, so equal rows go or stay
+together.  Stage 2 keeps one row of those with the largest id; an id comes before
+none.  Stage 3 drops by id: of rows that share an id all go or all stay, and rows
+without an id stay.  Stages 4 and 5 keep every row; rows that share an id, or have
+none, get places of their own.
 """
 
 from __future__ import annotations
@@ -46,8 +54,10 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(docs, MIX_TARGETS)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the documents meets one of the mixture
+    mixed = mix(plain, MIX_TARGETS, id_col=f"c{names.index('doc_id')}", source_col=f"c{names.index('source')}")
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(plain.columns).toDF(*names)
 
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,20 +69,24 @@ def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``mix_position``, the number (from 0) of each row in its
-    files: files by name, rows as they stand.  Rows that are read from no
-    file are written first."""
-    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    """doc_id and text of ``docs`` with ``mix_position``, the number (from 0) of
+    each row in its files: files by name, rows as they stand.  Rows that are read
+    from no file are written first."""
+
+    def with_place(rows: DataFrame) -> DataFrame:
+        place = rows.metadataColumn("_metadata")  # also where a column has that name
+        return rows.select("doc_id", "text", place["file_name"].alias("_file"), place["row_index"].alias("_row"))
+
     try:
-        rows = docs.select("*", *place)
+        rows = with_place(docs)
     except AnalysisException:
-        rows = saved(docs, "ordered").select("*", *place)
+        rows = with_place(saved(docs.select("doc_id", "text"), "ordered"))
     start, offsets = 0, []
     for r in rows.groupBy("_file").count().orderBy("_file").collect():  # a row per file
         offsets.append((r["_file"], start))
         start += r["count"]
     starts = docs.sparkSession.createDataFrame(offsets, "_file string, _start long")
-    return rows.join(F.broadcast(starts), "_file").select(*[rows[c] for c in docs.columns], (F.col("_start") + F.col("_row")).alias("mix_position"))
+    return rows.join(F.broadcast(starts), "_file").select("doc_id", "text", (F.col("_start") + F.col("_row")).alias("mix_position"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
