@@ -6,7 +6,8 @@ members is the whole text hashed (level 3).  Levels 1 and 2 move a long or
 two per row, written once as a narrow table.  Level 3 must know, while reading
 texts, which rows survive: the surviving (length, prefix) values are set in a
 bit map, a table of a few thousand bytes a row that is broadcast and joined by
-the number of its row, so texts never go through a shuffle.  The map has as
+the number of its row, so no text goes through a shuffle to find that out.  Only
+rows whose group still has two members are joined with the result.  The map has as
 many bits as the survivors ask for, up to a bound; a value that shares a bit by
 chance costs a hash and changes nothing.  All aggregates combine before the
 shuffle.  The joins back have a key of their own: joined by the columns that the
@@ -134,8 +135,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     levels = _levels(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
     rows = _refined(levels, saved(_alike(levels), "alike")).drop("_body")
     groups = saved(_groups(rows), "groups")
-    rows = _with_groups(rows, groups)
-    kept = rows.where("_size is null or (_id <=> _keep and _same = 1)").select(plain.columns)
+    # Only rows that levels 1 and 2 left open take part in the join, and in its shuffle; the others pass as they are.
+    settled = rows.where("_full is null").select(plain.columns)
+    rows = _with_groups(rows.where("_full is not null"), groups)
+    kept = settled.union(rows.where("_size is null or (_id <=> _keep and _same = 1)").select(plain.columns))
     if not groups.where("_same > 1").isEmpty():  # some kept id is that of several rows with the text
         repeated = rows.where("_size is not null and _id <=> _keep and _same > 1").dropDuplicates(_LEVELS).select(plain.columns)
         kept = kept.union(repeated)
