@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = usable.join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["doc", "s1", "s2"], "left_semi").dropDuplicates(["doc", "s1", "s2"])
 
     banded = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = saved(banded.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     shared = saved(banded.join(hubs, "key").select("key", F.col("band").cast("int").alias("band"), "doc", "hub", "n"), "bands")
 
     named = named.where("doc is not null")
