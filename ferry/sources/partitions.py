@@ -55,9 +55,8 @@ def dedupe(names: list[str]) -> list[str]:
     return sorted(first.values(), key=names.index)
 
 
-def _first_line(e: Exception) -> str:
-    s = str(e).strip()
-    return f"{type(e).__name__}: {s.splitlines()[0] if s else ''}"
+def _error_text(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).strip()}"
 
 
 def _spec_column(df: DataFrame):
@@ -106,7 +105,7 @@ def _catalog(spark: SparkSession, names: list[str], notes: dict) -> dict[str, li
     out = {}
     for n, res in per_table(lambda n: catalog_partition_flags(spark, n), names, spark):
         if isinstance(res, Exception):
-            notes[n].append(f"catalog: {_first_line(res)}")
+            notes[n].append(f"catalog: {_error_text(res)}")
         else:
             out[n] = res
     return out
@@ -125,7 +124,7 @@ def _show_partitions(spark: SparkSession, names: list[str], notes: dict) -> dict
     specs = []
     for n, res in per_table(first_spec, names, spark):
         if isinstance(res, Exception):
-            notes[n].append(f"show_partitions: {_first_line(res)}")
+            notes[n].append(f"show_partitions: {_error_text(res)}")
         elif res:
             specs.append((n, res))
     if not specs:
@@ -146,7 +145,7 @@ def _show_create(spark: SparkSession, names: list[str], notes: dict) -> dict[str
     ddls = []
     for n, res in per_table(ddl_of, names, spark):
         if isinstance(res, Exception):
-            notes[n].append(f"show_create: {_first_line(res)}")
+            notes[n].append(f"show_create: {_error_text(res)}")
         # Text without the keyword has nothing to parse (views, flat tables).
         elif res and _MAY_PARTITION.search(res):
             ddls.append((n, res))
@@ -173,7 +172,7 @@ def _describe(spark: SparkSession, names: list[str], notes: dict) -> dict[str, l
     rows = []
     for n, listed in per_table(lambda n: describe_rows(spark, n), names, spark):
         if isinstance(listed, Exception):
-            notes[n].append(f"describe: {_first_line(listed)}")
+            notes[n].append(f"describe: {_error_text(listed)}")
         # Only listings with a partition section need the section scan.
         elif any((r[2] or "").strip().startswith(PARTITION_HEADER) for r in listed):
             rows.extend(listed)

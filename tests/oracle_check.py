@@ -102,7 +102,7 @@ def main(argv):
             s_cols = df.columns
             s_rows = df.collect()
         except Exception as e:  # report and go on
-            print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
+            print(f"FAIL {name}: spark error {type(e).__name__}: {e}")
             bad += 1
             continue
         dt = time.time() - t0
@@ -127,7 +127,7 @@ def main(argv):
                 problems.append(f"values differ: spark-only {only_s} duck-only {only_d}")
         if problems:
             bad += 1
-            print(f"FAIL {name} ({dt:.1f}s): " + "; ".join(problems)[:1500])
+            print(f"FAIL {name} ({dt:.1f}s): " + "; ".join(problems))
         else:
             print(f"OK   {name}: {len(s_rows)} rows ({dt:.1f}s)")
     spark.stop()

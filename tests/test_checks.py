@@ -226,3 +226,21 @@ def test_last_row_of_a_table_counts(spark, tgt):
     row = run_summary(read_ledger(spark, ledger.table)).first()
     assert (row.run_id, row.tables, row.failures, row.rows_target) == (ledger.run_id, 1, 0, 3)
     assert read_ledger(spark, ledger.table).where("error LIKE '%second'").count() == 1
+
+
+def test_command_line_writes_the_ledger(spark, src, tgt):
+    from ferry.cli import main
+
+    args = ["--source-schema", src, "--target-catalog", C, "--target-schema", tgt, "--provider", "parquet", "--tables", "nation,spaced", "--continue-on-error"]
+    assert main([*args, "--ledger", f"{C}.{tgt}_ops.runs"], spark) == 1
+    assert sorted((r.table_name, r.status) for r in read_ledger(spark, f"{C}.{tgt}_ops.runs").collect()) == [("nation", "ok"), ("spaced", "failed")]
+
+
+def test_a_write_without_its_rebalance_is_noted(spark, src, tgt):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = migrate_table(spark, f"{C}.{src}.nation", f"{C}.{tgt}.nation", partition_cols=["n_regionkey"])
+        kept = migrate_table(spark, f"{C}.{src}.orders", f"{C}.{tgt}.orders")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert made.distribution == "none" and "rebalance" in made.notes[0] and kept.notes == []
