@@ -104,12 +104,13 @@ def row_differences(spark: SparkSession, source: str, target: str, partition_col
     left, right = keyed(src), keyed(tgt)
     whole = _differing(left, right, keys)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("__rows") / bucket_rows)).cast("bigint")
-    # A row per differing partition, used three times below.
-    opened = whole.select(*keys, buckets.alias("__buckets")).persist()
-    few = opened.count()
+    opened = whole.select(*keys, buckets.alias("__buckets"))
+    # A row per differing partition.  A list of bounded size becomes a literal table; a longer one is worked out again
+    # by the passes below.
+    few = opened.limit(BROADCAST_PARTITIONS + 1).collect()
     if not few:
         return src.limit(0).select(F.lit("missing").alias("side"), F.lit(1).cast("bigint").alias("copies"), "*")
-    listed = F.broadcast(opened) if few <= BROADCAST_PARTITIONS else opened
+    listed = F.broadcast(spark.createDataFrame(few, opened.schema)) if len(few) <= BROADCAST_PARTITIONS else opened
 
     def bucketed(df: DataFrame) -> DataFrame:
         return df.join(listed, keys).withColumn("__bucket", F.pmod("__hash", "__buckets"))

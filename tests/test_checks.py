@@ -192,6 +192,15 @@ def test_row_differences_of_equal_empty_and_nested_tables(spark, src, tgt):
         row_differences(spark, f"{C}.{tgt}.left_t", f"{C}.{tgt}.other_t")
 
 
+def test_more_differing_partitions_than_are_listed(spark, src, tgt, monkeypatch):
+    import ferry.operators.differences as d
+
+    monkeypatch.setattr(d, "BROADCAST_PARTITIONS", 1)
+    migrate_table(spark, f"{C}.{src}.orders_empty", f"{C}.{tgt}.empty")
+    made = row_differences(spark, f"{C}.{src}.orders", f"{C}.{tgt}.empty")
+    assert made.agg({"copies": "sum"}).first()[0] == spark.table(f"{C}.{src}.orders").count()
+
+
 def test_only_differing_partitions_are_opened(spark, src, tgt):
     columns = ", ".join(spark.table(f"{C}.{src}.lineitem").columns)
     changed = columns.replace("l_quantity", "IF(l_returnflag = 'A' AND l_orderkey % 50 = 1, l_quantity + 1, l_quantity) AS l_quantity")
