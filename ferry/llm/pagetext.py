@@ -11,8 +11,12 @@ neighbour has too.  So markup decides where it says something: what stands in
 a navigation, a footer, an advert, a comment list, ... goes, what stands in
 the page's article stays, and differencing decides the lines that markup
 leaves open, on pages with an article too: the text of its main part around
-the article, and what stands beside both (the README counts the lines that
-each of the two decides).
+the article, what stands beside both, and parts of the article whose names
+only suggest noise (``ad-free``, ``overflow-hidden``).  A class or id says
+something when it is a word of noise as a whole, or made of such words and
+words of layout (``cookie-notice``, ``site-nav``); such a name alone never
+takes away an article or a main part.  The README counts the lines that each
+of the two decides.
 
 Pages are put in URL order by a range sort of narrow rows (line hashes, no
 texts) and numbered; neighbours meet by an equi-join on the number, so a host
@@ -22,20 +26,22 @@ with a third of all pages is spread like any other.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferry.llm.shared import saved
 
 #: BESIDE: left open, but beside the page's own text; stays only if a neighbour speaks for it.
-SITE, OPEN, OWN, BESIDE = range(4)
+#: DOUBT: in the page's own text, but named like noise; stays unless a neighbour has it too.
+SITE, OPEN, OWN, BESIDE, DOUBT = range(5)
 #: Rows of deletions up to which they are broadcast (ids and line numbers); more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Share of link text from which an open line is a menu.
@@ -48,51 +54,84 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math object select button canvas audio video".split())
 SKIPPED = set("nav footer aside form menu dialog".split())
-NOISE = set(
+NOISE = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager related recommended recommendations widget login search toolbar copyright legal tags taglist teaser hidden".split()
 )
-TALK = set("comment comments commentlist reply replies respond disqus discussion reviews".split())
-EDGES = set("header footer masthead topbar".split())
+TALK = frozenset("comment comments commentlist reply replies respond disqus discussion reviews".split())
+EDGES = frozenset("header footer masthead topbar".split())
+LAYOUT = set(
+    "area bar block box bottom button buttons center col column container entry fixed global group inner item items left link links list outer page panel post posts primary region right row secondary section site slot sticky strip top unit wrap wrapper zone".split()
+)
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:@][^\s=>/]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _PART = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s/]|$)", re.I)
+
+
+@lru_cache(maxsize=1 << 14)
+def _said(token: str, words: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a class or id says one of ``words`` (all its parts are such
+    words, words of layout or numbers), and whether it only suggests one."""
+    parts = _PART.findall(token)
+    some = any(p in words for p in parts)
+    whole = some and all(p in words or p in LAYOUT or p[0].isdigit() for p in parts)
+    return whole, some and not whole
+
+
+def _says(tokens: list[str], words: frozenset[str]) -> tuple[bool, bool]:
+    said = [_said(t, words) for t in tokens]
+    return any(x for x, _ in said), any(x for _, x in said)
 
 
 def _kind(tag: str, attributes: str, inside: int, talk: bool, spared: bool = False) -> tuple[int, bool]:
     """(kind of the lines inside a container, whether it is a comment list);
     a ``spared`` one's names do not make it noise."""
-    names: set[str] = set()
-    role = hidden = ""
+    names: list[str] = []
+    role, hidden, body = "", False, False
     if attributes:
-        if re.search(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I):
-            hidden = "yes"
+        hidden = _HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)) is not None
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                names.update(_PART.findall(value))
+                names += value.split()
             elif name == "role":
                 role = value
-            elif name == "itemprop" and value == "articlebody":
-                names.add("articlebody")
+            elif name == "itemprop":
+                body = value == "articlebody"
+            elif name == "hidden":
+                hidden = True
+            elif name == "aria-hidden":
+                hidden = hidden or value == "true"
+            elif name == "style":
+                hidden = hidden or re.search(r"display\s*:\s*none", value) is not None
     if tag in ("html", "body"):
-        names.clear()
-    if spared:
-        names -= NOISE
-    if talk or names & TALK:
+        names = []
+    talks, perhaps_talks = _says(names, TALK)
+    noise, perhaps_noise = (False, False) if spared else _says(names, NOISE)
+    if talk or talks:
         return SITE, True
+    doubt = perhaps_talks or perhaps_noise
     if tag in ("article", "main") or role in ("main", "article"):
-        return (OWN if not hidden and not names & NOISE else SITE), False
-    if hidden or tag in SKIPPED or role in NOISE_ROLES or names & NOISE:
+        return (SITE if hidden else DOUBT if noise or doubt else OWN), False
+    if hidden or tag in SKIPPED or role in NOISE_ROLES or noise:
         return SITE, False
-    if inside != OWN and (tag == "header" or names & EDGES):
+    if inside not in (OWN, DOUBT) and (tag == "header" or _says(names, EDGES)[0]):
         return SITE, False
-    if inside == OPEN and "articlebody" in names:
+    if inside in (OPEN, BESIDE) and (body or "articlebody" in names):
         return OWN, False
+    if doubt and not spared:
+        return {OWN: DOUBT, OPEN: BESIDE}.get(inside, inside), False
     return inside, False
 
 
+def _named(attributes: str) -> bool:
+    """Whether a class or id of an article says noise as a whole."""
+    values = [(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    return _says(" ".join(values).split(), NOISE)[0]
+
+
 def page_lines(html: str | None, spared: frozenset[int] = frozenset()) -> list[tuple[str, int]]:
     """The lines (text, kind) of a page in order; no line is empty.
 
@@ -165,11 +204,12 @@ def page_lines(html: str | None, spared: frozenset[int] = frozenset()) -> list[t
                 pass
             elif not (tag == "p" and _kind(tag, attributes, kind, talk)[0] == kind):
                 now = _kind(tag, attributes, stack[-1][1] if stack else OPEN, stack[-1][2] if stack else False, number in spared)
-                if now[0] == SITE and attributes:
+                outer = stack[-1][1] if stack else OPEN
+                if attributes and now[0] in (SITE, BESIDE):
                     noisy.append((len(stack), number, chars))
                 by = stack[-1][3] if stack else ""
-                if now[0] == OWN and by != "article":
-                    by = "article" if tag == "article" else "main"
+                if now[0] in (OWN, DOUBT) and (outer not in (OWN, DOUBT) or tag == "article") and by != "article":
+                    by = tag if tag == "article" and (now[0] == OWN or not _named(attributes)) else "named" if tag == "article" else "main"
                     owners.add(by)
                 stack.append((tag, *now, by))
         kind, talk, owner = (stack[-1][1:]) if stack else (OPEN, False, "")
@@ -181,28 +221,29 @@ def page_lines(html: str | None, spared: frozenset[int] = frozenset()) -> list[t
     if not owners and not spared and (most := frozenset(k for n, k in large if 2 * n > chars)):
         return page_lines(html, most)
     if not owners:
-        return [(t, SITE if k == OPEN and share >= LINKS else k) for (t, k), (_, share) in zip(lines, kinds)]
+        return [(t, SITE if k in (OPEN, BESIDE) and share >= LINKS else k) for (t, k), (_, share) in zip(lines, kinds)]
     # The innermost mark of a text of its own counts: an article within a main part.
-    best = "article" if "article" in owners else "main"
+    # An article that is named like noise counts where no other one is.
+    best = next(x for x in ("article", "named", "main") if x in owners)
 
     def decided(k: int, by: str, share: float) -> int:
         if k == SITE or (k == OWN and by == best):
             return k
-        return SITE if share >= LINKS else OPEN if k == OWN else BESIDE
+        if by == "named" != best and "article" in owners:
+            return SITE
+        return SITE if share >= LINKS else DOUBT if k == DOUBT and by == best else OPEN if k == OWN else BESIDE
 
     return [(t, decided(k, *x)) for (t, k), x in zip(lines, kinds)]
 
 
 def line_hashes(lines: list[tuple[str, int]]) -> list[int]:
-    """32-bit sums; a repeated line's sum depends on which occurrence it is,
+    """64-bit sums; a repeated line's sum depends on which occurrence it is,
     so an alignment matches first with first, second with second."""
     seen: Counter = Counter()
     out = []
     for text, _ in lines:
-        raw = text.encode("utf-8")
-        h = zlib.crc32(raw, zlib.crc32(b"%d" % seen[raw]) if seen[raw] else 0)
-        seen[raw] += 1
-        out.append(h - (1 << 31))
+        out.append(xxhash.xxh64_intdigest(text.encode("utf-8"), seed=seen[text]) - (1 << 63))
+        seen[text] += 1
     return out
 
 
@@ -239,7 +280,7 @@ def main_text(html: str | None, shared: set[int] | None = None) -> str:
     not ``shared`` with the neighbour; without a neighbour (None) the open
     ones stay, but not those beside a text of the page's own."""
     lines = page_lines(html)
-    free = (OPEN,) if shared is None else (OPEN, BESIDE)
+    free = (OPEN, DOUBT) if shared is None else (OPEN, BESIDE, DOUBT)
     return " ".join(t for i, (t, k) in enumerate(lines) if k == OWN or (k in free and i not in (shared or ())))
 
 
@@ -252,8 +293,8 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 *(b.column(k) for k in range(4)),
-                pa.array([line_hashes(x) for x in lines], pa.list_(pa.int32())),
-                pa.array([[i for i, (_, k) in enumerate(x) if k in (OPEN, BESIDE)] for x in lines], pa.list_(pa.int32())),
+                pa.array([line_hashes(x) for x in lines], pa.list_(pa.int64())),
+                pa.array([[i for i, (_, k) in enumerate(x) if k in (OPEN, BESIDE, DOUBT)] for x in lines], pa.list_(pa.int32())),
             ],
             names=["id", "print", "host", "path", "lines", "open"],
         )
@@ -312,12 +353,12 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     host = F.regexp_extract(clean, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_replace(F.regexp_extract(clean, r"^[^/?#]*([^?#]*)", 1), r"/$", "")
     outline = rows.select("id", "print", host.alias("host"), path.alias("path"), "html").mapInArrow(
-        _outline, "id long, print long, host string, path string, lines array<int>, open array<int>"
+        _outline, "id long, print long, host string, path string, lines array<bigint>, open array<int>"
     )
     order = ["host", "path", "id", "print"]
     ranged = outline.where("host <> ''").dropDuplicates(["id", "print"]).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("same", F.xxhash64("host", "lines")).withColumn("part", F.spark_partition_id())
-    ranged = ranged.mapInArrow(_copies, "id long, print long, host string, path string, lines array<int>, open array<int>, same long, part int, run long, first boolean")
+    ranged = ranged.mapInArrow(_copies, "id long, print long, host string, path string, lines array<bigint>, open array<int>, same long, part int, run long, first boolean")
     ranged = saved(ranged, "outlines")
     start, offsets, tail = 0, [], None
     ends = ranged.groupBy("part").agg(F.max("run").alias("runs"), F.min_by("same", "run").alias("head"), F.max_by("same", "run").alias("tail"))

@@ -82,6 +82,65 @@ def test_names_do_not_make_most_of_a_page_noise():
     assert main_text("<div class='no-sidebar'><p>x</p></div><p>a longer text</p>") == "a longer text"
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article class='prose overflow-hidden'><p>a</p></article>", "a"),
+        ("<main><article class='card ad-free'><p>art</p></article><p>n</p></main>", "art n"),
+        ("<article><p>x</p><div class='overflow-hidden'>y</div><section class='comment-free'>z</section></article>", "x y z"),
+        ("<article class=promo><p>only</p></article>", "only"),
+        ("<main><article class=promo>buy</article><article><p>real</p></article></main>", "real"),
+        ("<main class='page no-sidebar'><p>x</p><div class='cookie-notice'>c</div><div class='ad-300x250'>b</div><div class='site-nav'>m</div></main>", "x"),
+        ("<article><p>x</p><p hidden>h</p><p data-state='hidden'>y</p><p style='display: none'>d</p><p aria-hidden=true>i</p></article>", "x y"),
+        ("<article hidden>a</article><p>b</p>", "b"),
+    ],
+)
+def test_names_that_only_suggest_noise_take_nothing_away(html, text):
+    assert main_text(html) == text
+
+
+def test_alignment_decides_parts_of_an_article_with_a_doubtful_name(spark):
+    page = "<article><p>{0} text</p><div class='promo-free'>{0} own</div><div class='ad-like'>Offer of the day</div></article>"
+    pages = spark.createDataFrame([(i, f"http://h.org/a/{i}", page.format(t)) for i, t in enumerate(("one", "two", "six"))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_texts(pages).collect()}
+    assert got == {i: f"{t} text {t} own" for i, t in enumerate(("one", "two", "six"))}
+
+
+NAMES = ("", " class='site-nav'", " class=ad", " id='cookie-notice'", " class='related posts'", " class='share-buttons'")
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from("pnfdasc"), st.text("abz &<é", min_size=1, max_size=12)), max_size=12),
+    st.sampled_from(("article", "main", "div itemprop=articleBody", "div role=main")),
+)
+def test_pages_made_around_a_known_text(parts, own):
+    """Whatever stands around and within, the text that the page was made of comes back."""
+    import html as markup
+
+    inside, outside, want = [], [], []
+    for kind, text in parts:
+        raw = markup.escape(text)
+        if kind == "p":
+            inside.append(f"<p>{raw}</p>")
+            want += text.split()
+        elif kind == "n":
+            outside.append(f"<nav><a href=x>{raw}</a></nav>")
+        elif kind == "f":
+            inside.append(f"<form>{raw}</form>")
+        elif kind == "d":
+            inside.append(f"<div{NAMES[1 + len(text) % 5]}>{raw}</div>")
+        elif kind == "a":
+            outside.append(f"<aside>{raw}</aside>")
+        elif kind == "s":
+            inside.append(f"<script>{text.replace('<', '')}</script>")
+        else:
+            outside.append(f"<section class=comments><p>{raw}</p></section>")
+    tag = own.split()[0]
+    page = f"<html><body><header>Top</header>{''.join(outside)}<{own}>{''.join(inside)}</{tag}><footer>End</footer></body></html>"
+    assert main_text(page) == " ".join(want)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_a_copy_is_no_neighbour(spark, parts):
     page = "<div>Menu</div><p>{0} text</p><div>End</div>"
