@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause as a sequence of word classes: negation and
-reported speech mark what stands in their scope, target marks what is aimed
-at someone, threat follows "I/we - will - harm - someone", and insult weighs
-marked insults.  They are composed into one deterministic automaton (the
-product of their states) whose transitions carry the weight of the composed
-match, so a clause is scored by one walk and a word alone, outside its
-clause, by nothing.
+Six transducers read a clause as a sequence of word classes: negation,
+reported speech and quotation mark what stands in their scope, target marks
+what is aimed at someone, threat follows "I/we - will - harm - someone", and
+insult weighs marked insults.  They are composed into one deterministic
+automaton (the product of their states) whose transitions carry the weight of
+the composed match, so a clause is scored by one walk.  What a bare insult,
+without a target, is worth against other matches is fixed; from which evidence
+on a text is toxic, the labels decide.
 
 The classes of function words are fixed lists.  Insults are a short fixed
 list plus words and stems learned from labelled documents: a stem must occur
@@ -35,10 +36,9 @@ SAMPLE = 12_000
 SUPPORT = 5
 #: The same as a share of the best supported stem (copies of one text give rare words some support).
 SUPPORT_SHARE = 0.05
-#: Share of toxic texts among the texts with a learned stem, at least.
-PURITY = 0.995
+#: Share of toxic texts among the texts with a learned stem, at least (texts that negate or quote it are the others).
+PURITY = 0.8
 STEM_SIZES = (4, 5, 6)
-LONGEST_WORD = 32
 
 # The grammar's word classes in English, German, French and Spanish.
 INSULTS = "idiot moron scum loser clown worthless pathetic disgusting stupid trash imbecile dumbass arschloch trottel vollidiot abschaum connard abruti ordure gilipollas imbécil escoria".split()
@@ -49,16 +49,17 @@ INTENTS = "will shall gonna going must werde werden vais allons voy vamos".split
 NEGATIONS = "not never n't isn't aren't wasn't don't nicht kein keine nie pas jamais nunca jamás".split()
 REPORTS = "said says say called calls claimed quoted reported alleged wrote sagte behauptete nannte dit appelé écrit dijo llamó escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, SPEAKER, INTENT, NEGATION, REPORT = range(8)
-CLASSES = 8
+OTHER, INSULT, THREAT, TARGET, SPEAKER, INTENT, NEGATION, REPORT, QUOTE = range(9)
+CLASSES = 9
 _CLASS = {w: c for words, c in ((TARGETS, TARGET), (SPEAKERS, SPEAKER), (INTENTS, INTENT), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
 
-NEGATED, REPORTED, AIMED, THREATENED = 0.35, 0.5, 1.25, 1.5
-#: Words after a negation that it covers; words around a target that are aimed at it.
-SCOPE, REACH = 3, 4
+NEGATED, REPORTED, QUOTED, AIMED, THREATENED = 0.35, 0.5, 0.25, 1.25, 1.5
+#: Words after a negation that it covers; words around a target that are aimed at it; words of an open quotation.
+SCOPE, REACH, QUOTATION = 3, 4, 6
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_TOKEN = re.compile(_WORD.pattern + r"|[\"'“”„‘’«»]")
 
 
 # -------------------------------------------------------------- transducers
@@ -73,6 +74,13 @@ def _reported(state: int, c: int) -> tuple[int, bool]:
     return (1, False) if c == REPORT else (state, state > 0)
 
 
+def _quoted(state: int, c: int) -> tuple[int, bool]:
+    """A quotation mark opens a quotation or closes it; an unclosed one ends by itself."""
+    if c == QUOTE:
+        return 0 if state else QUOTATION, False
+    return max(0, state - 1), state > 0
+
+
 def _target(state: int, c: int) -> tuple[int, bool]:
     return (REACH, True) if c == TARGET else (max(0, state - 1), state > 0)
 
@@ -90,24 +98,27 @@ def _threat(state: int, c: int) -> tuple[int, bool]:
     return state, False
 
 
-def _insult(marks: tuple[bool, bool, bool, bool], c: int) -> tuple[float, float]:
+def _insult(marks: tuple[bool, ...], c: int) -> tuple[float, float]:
     """(factor of an insult's own weight, weight of a completed threat)."""
-    negated, reported, aimed, threat = marks
-    context = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
+    negated, reported, quoted, aimed, threat = marks
+    context = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0) * (QUOTED if quoted else 1.0)
     return (context * (AIMED if aimed else 1.0) if c == INSULT else 0.0), (THREATENED * context if threat else 0.0)
 
 
+#: The transducers that mark words, in the order in which ``_insult`` reads their marks.
+MARKS: tuple[Callable[[int, int], tuple[int, bool]], ...] = (_negation, _reported, _quoted, _target, _threat)
+
+
 def composed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(next state, insult factor, threat weight) by state and class, of the
     states that the start state 0 reaches."""
-    steps: tuple[Callable[[int, int], tuple[int, bool]], ...] = (_negation, _reported, _target, _threat)
-    number = {(0, 0, 0, 0): 0}
-    queue = [(0, 0, 0, 0)]
+    start = (0,) * len(MARKS)
+    number, queue = {start: 0}, [start]
     rows = []
     for state in queue:  # grows while it is read
         row = []
         for c in range(CLASSES):
-            moved = [f(s, c) for f, s in zip(steps, state)]
+            moved = [f(s, c) for f, s in zip(MARKS, state)]
             to = tuple(m[0] for m in moved)
             if to not in number:
                 number[to] = len(queue)
@@ -126,6 +137,9 @@ class Grammar:
         self.needles = sorted({*words, *stems, *THREATS}, key=len)
         to, factor, threat = composed()
         self.to, self.factor, self.threat = to.tolist(), factor.tolist(), threat.tolist()
+        # An insult one word after a target is aimed: the states where the target's mark is already in the factor.
+        values = [a * b * c for a in (1.0, NEGATED) for b in (1.0, REPORTED) for c in (1.0, QUOTED)]
+        self.is_aimed = [any(abs(f[INSULT] - AIMED * v) < 1e-9 for v in values) for f in self.factor]
 
     def _insult_weight(self, word: str) -> float:
         if word in self.words:
@@ -137,7 +151,7 @@ class Grammar:
         seen = []
         for w in words:
             weight = self._insult_weight(w)
-            seen.append((INSULT if weight else THREAT if w in THREATS else _CLASS.get(w, OTHER), weight))
+            seen.append((INSULT if weight else THREAT if w in THREATS else _CLASS.get(w, OTHER if w[0].isalnum() else QUOTE), weight))
         best = 0.0
         late = [c == TARGET for c, _ in seen]
         state, total = 0, 0.0
@@ -152,7 +166,7 @@ class Grammar:
 
     def aimed(self, state: int) -> bool:
         """Whether an insult read in ``state`` is already aimed at someone."""
-        return self.factor[state][INSULT] in (AIMED, AIMED * NEGATED, AIMED * REPORTED, AIMED * NEGATED * REPORTED)
+        return self.is_aimed[state]
 
     def evidence(self, text: str | None) -> float:
         """The sum of the clause scores of a whole text."""
@@ -162,7 +176,7 @@ class Grammar:
         total = 0.0
         for clause in _CLAUSE.split(low):
             if any(n in clause for n in self.needles):
-                total += self.clause_score(_WORD.findall(clause))
+                total += self.clause_score(_TOKEN.findall(clause))
         return total
 
 
@@ -174,7 +188,7 @@ def _word_stems(words: list[str]) -> dict[str, set[int]]:
     found: dict[str, set[int]] = {}
     for k, w in enumerate(words):
         around = zlib.crc32(" ".join((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")).encode())
-        for s in {w[:LONGEST_WORD] + "$", *(w[:n] for n in STEM_SIZES if len(w) >= n)}:
+        for s in {w + "$", *(w[:n] for n in STEM_SIZES if len(w) >= n)}:
             found.setdefault(s, set()).add(around)
     return found
 
@@ -204,7 +218,7 @@ def learned_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, floa
         for b in batches:
             for text in b.column(1).to_pylist():
                 own = set(_WORD.findall((text or "").lower()))
-                counts.update({s for w in own for s in (w[:LONGEST_WORD] + "$", *(w[:n] for n in STEM_SIZES if len(w) >= n)) if s in found})
+                counts.update({s for w in own for s in (w + "$", *(w[:n] for n in STEM_SIZES if len(w) >= n)) if s in found})
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
 
     clean = texts.where("label = 0").select("doc", "text").mapInArrow(others, "stem string, n long")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from ferry.llm import warc
 from ferry.llm.pagetext import common_lines, line_hashes, main_text, page_lines, page_texts
 from ferry.llm.quality import drop_low_quality, fit_network, quality_scores
-from ferry.llm.toxicity import AIMED, NEGATED, REPORTED, THREATENED, Grammar, composed, fit_scale, toxicity_scores
+from ferry.llm.toxicity import AIMED, CLASSES, INSULT, MARKS, NEGATED, QUOTED, REPORTED, THREATENED, Grammar, composed, fit_scale, toxicity_scores
 
 PAGE = (
     "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>a</a></nav><div class='cookie-notice'>We use</div>"
@@ -209,6 +209,39 @@ def test_grammar_scores_clauses_by_context():
     assert g.evidence(None) == 0.0 and g.evidence("") == 0.0
 
 
+def test_quoted_mentions_weigh_little():
+    g = Grammar({"idiot": 1.0}, {})
+    assert g.evidence("The novel 'The Idiot' by Dostoevsky") == QUOTED == g.evidence("the word “idiot” is old")
+    assert g.evidence("he said \"idiot\"") < QUOTED and g.evidence("'old' idiot") == 1.0
+    assert g.evidence("an idiot's words") == 0.0 and g.evidence("it’s an idiot") == 1.0
+    assert g.evidence("\" one two three four five six idiot") == 1.0  # an unclosed quotation ends
+
+
+def test_learned_words_of_any_length_match():
+    word = "x" * 40
+    assert Grammar({word: 1.0}, {}).evidence(f"a {word} here") == 1.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, CLASSES - 1), max_size=30))
+def test_composed_walk_equals_the_transducers_one_by_one(classes):
+    to, factor, threat = composed()
+    tracks = []
+    for step in MARKS:
+        state, marks = 0, []
+        for c in classes:
+            state, mark = step(state, c)
+            marks.append(mark)
+        tracks.append(marks)
+    state = 0
+    for k, c in enumerate(classes):
+        negated, reported, quoted, aimed, threatened = (t[k] for t in tracks)
+        context = (NEGATED if negated else 1) * (REPORTED if reported else 1) * (QUOTED if quoted else 1)
+        assert factor[state, c] == pytest.approx(context * (AIMED if aimed else 1) if c == INSULT else 0)
+        assert threat[state, c] == pytest.approx(THREATENED * context if threatened else 0)
+        state = to[state, c]
+
+
 def test_composed_automaton_is_complete():
     to, factor, threat = composed()
     assert to.shape == factor.shape == threat.shape and to.min() >= 0 and to.max() < len(to)
