@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ferry.llm import words as W
-from ferry.llm.bpe import Lexicon, chunks, encode_decode, minimal_automaton, split_words
+from ferry.llm.bpe import Lexicon, chunks, encode_decode, frequent_words, minimal_automaton, split_words
 from ferry.llm.packing import CapacityTree, best_fit_decreasing, packed_tokens, position_ids, unpacked
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,18 @@ def test_automaton_is_minimal_and_numbers_its_words():
     assert lex.looked_up(listed + [b"ta", b"", b"mapss"]).tolist() == [*range(7), -1, -1, -1]
 
 
+def test_frequent_words_come_by_a_least_count(spark):
+    counts = {"often": 5000, "more": 4990, "some": 40, "few": 3, "rare": 3, "once": 1}
+    texts = [w for w, n in counts.items() for _ in range(n)] + [None, ""]
+    random.Random(1).shuffle(texts)
+    docs = spark.createDataFrame([(" ".join(t or "" for t in texts[i : i + 100]),) for i in range(0, len(texts), 100)], "text string").repartition(40)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    assert frequent_words(docs) == order
+    # The words of one step of counts come together or not at all.
+    assert frequent_words(docs, limit=4) == frequent_words(docs, limit=3) == order[:3]
+    assert frequent_words(docs, limit=1) == [] == frequent_words(docs.limit(0))
+
+
 def test_no_words_compile():
     lex = Lexicon({**minimal_automaton([]), "name_end": np.zeros(0, np.int64), "names": np.zeros(0, np.uint8)}, {})
     assert lex.looked_up([b"a"]).tolist() == [-1]
