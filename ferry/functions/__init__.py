@@ -2,7 +2,7 @@
 DataFrame transformation made of built-in expressions (no UDFs)."""
 
 from ferry.functions.ddl import ddl_partition_columns, partitioned_by_clause
-from ferry.functions.describe import described_partition_columns
+from ferry.functions.describe import described_partition_columns, described_transforms
 from ferry.functions.fields import ddl_text, first_present
 from ferry.functions.hashing import combine_slices, content_hash_aggs, hash_slices, row_hash
 from ferry.functions.identifiers import (

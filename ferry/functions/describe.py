@@ -21,9 +21,26 @@ from pyspark.sql import functions as F
 
 # Section headers of DESCRIBE TABLE EXTENDED output.
 PARTITION_HEADER = "# Partition Information"
+#: Stands instead of the header above when a table has a partition transform that is not a plain column.
+TRANSFORM_HEADER = "# Partitioning"
 SECTION_END_HEADERS = ("# Detailed", "# Metadata", "# Storage")
 
 
+def described_transforms(rows: list[tuple[str | None, str | None]]) -> list[str]:
+    """Every partition transform of one table, in order, from its ``(col_name,
+    data_type)`` rows: plain column names and texts like ``bucket(4, id)``.
+    Empty where all are plain columns (another section lists those)."""
+    names = [(name or "").strip() for name, _ in rows]
+    if TRANSFORM_HEADER not in names:
+        return []
+    parts = []
+    for name, text in rows[names.index(TRANSFORM_HEADER) + 1 :]:
+        if not (name or "").startswith("Part "):
+            break
+        parts.append((text or "").strip())
+    return parts
+
+
 def described_partition_columns(
     df: DataFrame,
     *,

@@ -216,7 +216,7 @@ def migrate_table(
         kept = {c.lower() for c in src_detect.columns} if _path_partitioned(spark, source) else set()
         _check_partition_values(src_df, [c for c in cols if c.lower() not in kept])
 
-    dist = choose_distribution(spark, distribution, src_detect.columns, cols)
+    dist = choose_distribution(spark, distribution, src_detect.columns, cols, source)
     if cols and distribution == "auto" and dist == "none" and [c.lower() for c in cols] != [c.lower() for c in src_detect.columns]:
         notes.append("adaptive execution is off: the copy is written without a rebalance, in many small files")
     ensure_namespace(spark, tgt_c, tgt_s)

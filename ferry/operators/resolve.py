@@ -36,7 +36,8 @@ def resolve_partition_columns(
     best = candidates.groupBy(table_col).agg(
         F.min_by(
             F.struct(F.col(found_by_col).alias("found_by"), cols.alias("cols")),
-            F.struct(empty.alias("empty"), F.col(priority_col).alias("priority")),
+            # Candidates of one priority: the source's name, then the columns decide, whatever the row order.
+            F.struct(empty.alias("empty"), F.col(priority_col).alias("priority"), F.col(found_by_col).alias("found_by"), cols.alias("cols")),
         ).alias("best")
     )
     # Repeats are dropped from the winning list only, after the shuffle.

@@ -1,8 +1,9 @@
 """Whole-namespace operators: the migration plan (dry run) and the batch
 migration with its per-table report.
 
-A namespace is processed table by table in name order; every table is one
-write job (see :mod:`ferry.operators.migrate`).  Only one small row per
+A namespace is processed table by table in name order, or, when several are
+copied at once, the largest first, so that the longest copy does not begin
+last; every table is one write job (see :mod:`ferry.operators.migrate`).  Only one small row per
 table crosses to the driver (listing, plan, report).  A failing table is
 isolated into a ``failed`` report row when ``continue_on_error`` is set,
 otherwise the error propagates, as the first failure ends the batch.
@@ -17,7 +18,7 @@ from ferry.concurrency import map_concurrently
 from ferry.functions.identifiers import UnsafeIdentifier, is_safe_ident, safe_ident
 from ferry.operators.ledger import FAILED, RunLedger
 from ferry.operators.migrate import VERIFY_MODES, MigrationError, RowCountMismatch, migrate_table
-from ferry.sources.catalog import ensure_namespace, list_source_tables, missing_tables, table_exists
+from ferry.sources.catalog import ensure_namespace, estimated_bytes, list_source_tables, missing_tables, table_exists
 from ferry.sources.partitions import Detection, detect_partitions, per_table
 
 PLAN_SCHEMA = "table_name string, partition_cols string, found_by string, action string, notes string"
@@ -41,6 +42,14 @@ def _detect(spark: SparkSession, catalog: str, schema: str, names: list[str]) ->
     return {t: found[f"{ns}.{t}"] for t in safe}
 
 
+def _largest_first(spark: SparkSession, catalog: str, schema: str, names: list[str]) -> list[str]:
+    """Names by falling size, equal sizes by name; names that are no identifiers first, since they fail at once."""
+    ns = f"{safe_ident(catalog)}.{safe_ident(schema)}"
+    safe = [t for t in names if is_safe_ident(t)]
+    sizes = dict(per_table(lambda t: estimated_bytes(spark, f"{ns}.{t}"), safe, spark))
+    return sorted(names, key=lambda t: (-sizes.get(t, float("inf")), t))
+
+
 def plan_migration(
     spark: SparkSession,
     source_catalog: str,
@@ -153,7 +162,8 @@ def migrate_schema(
     ``mismatch`` (the copy's rows are not as many as the source's; nothing was
     replaced) or ``not_found``.  ``verify``: ``counts`` (row counts), ``full``
     (content hash and partition checks), each before a replace, or ``none``.
-    ``parallelism > 1`` runs that many table copies as concurrent Spark jobs.
+    ``parallelism > 1`` runs that many table copies as concurrent Spark jobs,
+    the largest table (by Spark's estimate) first; the report stays in name order.
     Skipped tables are not counted.  ``purge_replaced`` deletes the files of
     replaced versions (see :func:`migrate_table`).  With ``ledger`` (a table
     name, or a :class:`RunLedger`) every row is also appended to that table as
@@ -171,7 +181,8 @@ def migrate_schema(
     if isinstance(ledger, str):
         ledger = RunLedger(spark, ledger)
     opts = (provider, if_exists, verify, continue_on_error, purge_replaced, ledger)
-    rows = map_concurrently(lambda t: _one(*args, t, *opts, dets.get(t)), names, parallelism, spark)
+    order = names if parallelism <= 1 else _largest_first(spark, source_catalog, source_schema, names)
+    rows = sorted(map_concurrently(lambda t: _one(*args, t, *opts, dets.get(t)), order, parallelism, spark), key=lambda r: r[0])
     absent = [(m, "not_found", None, None, None, "not_found", "not in the source namespace") for m in missing]
     if ledger is not None:
         for row in absent:

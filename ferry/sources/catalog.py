@@ -92,6 +92,23 @@ def missing_tables(spark: SparkSession, listing: DataFrame, include: set[str] |
     return sorted(r.table_name for r in wanted.join(listing, "table_name", "left_anti").collect())
 
 
+_SIZE = re.compile(r"sizeInBytes=([\d.]+) ([KMGTPE]?i?B)")
+_UNITS = {u: 1024**k for k, u in enumerate(("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"))}
+
+
+def estimated_bytes(spark: SparkSession, name: str) -> float:
+    """Spark's estimate of a table's size, from the costs of its plan (no job
+    runs).  A size that Spark does not know is large; one that cannot be read
+    (a broken view) is 0."""
+    split_fqn(name)
+    try:
+        costs = spark.sql(f"EXPLAIN COST SELECT * FROM {name}").head(1)[0][0]
+    except Exception:
+        return 0.0
+    found = _SIZE.search(costs)
+    return float(found[1]) * _UNITS.get(found[2], 1) if found else 0.0
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     """Existence by the catalog API; other errors (permissions, a catalog
     that is down) propagate instead of reading as "absent"."""

@@ -12,7 +12,11 @@ All empty means the table is not partitioned.  For tables of the session
 catalog (``spark_catalog``) a successful ``listColumns`` is final: SHOW
 PARTITIONS, SHOW CREATE TABLE and DESCRIBE are rendered from the same
 catalog entry there, so the later probes cannot disagree and are skipped
-(``trust_session_catalog=False`` runs the whole chain anyway).  Detection works on a batch
+(``trust_session_catalog=False`` runs the whole chain anyway).  In other
+catalogs the partition flag marks plain columns only, so the partitioning is
+read whole there: a transform such as ``bucket(4, id)`` is part of the answer,
+which the identifier rule then refuses, rather than copied as if it were not
+there.  Detection works on a batch
 of tables: each probe runs only for the tables still without an answer,
 the catalog command's rows of all those tables are gathered into one
 DataFrame, and the same Column functions that parse metastore dumps in bulk
@@ -33,10 +37,10 @@ from pyspark.sql.types import StringType
 
 from ferry.concurrency import map_concurrently
 from ferry.functions.ddl import ddl_partition_columns
-from ferry.functions.describe import PARTITION_HEADER, described_partition_columns
+from ferry.functions.describe import PARTITION_HEADER, described_partition_columns, described_transforms
 from ferry.functions.fields import ddl_text, first_present
 from ferry.functions.identifiers import split_fqn
-from ferry.functions.partition_spec import spec_keys
+from ferry.functions.partition_spec import file_partition_spec, partition_spec_values, spec_keys
 
 PROBES = ("catalog", "show_partitions", "show_create", "describe")
 
@@ -98,6 +102,10 @@ def catalog_partition_flags(spark: SparkSession, name: str) -> list[str]:
         meta = {}
     if "columns" in meta:
         return list(meta.get("partition_columns") or [])
+    if name.split(".")[0].lower() != SESSION_CATALOG:
+        transforms = described_transforms([(r[2], r[3]) for r in describe_rows(spark, name)])
+        if transforms:
+            return transforms
     return [c.name for c in spark.catalog.listColumns(name) if getattr(c, "isPartition", False)]
 
 
@@ -237,16 +245,23 @@ def partition_columns(
     return detect_partitions(spark, [name], probes=probes, trust_session_catalog=trust_session_catalog)[name]
 
 
-def partition_listing(spark: SparkSession, name: str) -> DataFrame:
+def partition_listing(spark: SparkSession, name: str, *, from_files: bool = False) -> DataFrame:
     """Every partition of a table as ``(partition, pos, key, value)`` rows:
     ``SHOW PARTITIONS`` parsed by :func:`partition_spec_values` (values
-    unescaped, the default partition as NULL).  Spark materializes the
-    listing on the driver; the parse itself is a projection."""
-    split_fqn(name)
-    listing = spark.sql(f"SHOW PARTITIONS {name}")
-    spec = listing.select(_spec_column(listing).alias("partition"))
-    from ferry.functions.partition_spec import partition_spec_values
+    unescaped, the default partition as NULL).  Spark materializes that
+    listing on the driver; the parse itself is a projection.
 
+    ``from_files`` takes the specs from the paths of the data files instead
+    (``_metadata.file_path``, no column is read), in tasks: for tables with
+    millions of partitions.  Partitions that hold no rows, and those at a
+    location of their own, are not in it."""
+    split_fqn(name)
+    if from_files:
+        paths = spark.table(name).select(F.col("_metadata.file_path").alias("path")).distinct()
+        spec = paths.select(file_partition_spec("path").alias("partition")).where("partition <> ''").distinct()
+    else:
+        listing = spark.sql(f"SHOW PARTITIONS {name}")
+        spec = listing.select(_spec_column(listing).alias("partition"))
     return partition_spec_values(spec, "partition", keep_spec=True)
 
 
