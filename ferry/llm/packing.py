@@ -16,6 +16,7 @@ reads without this package.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -137,6 +138,7 @@ def _packer(name: str, row_tokens: int, window_tokens: int, pad: int) -> Callabl
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = opened(name)
+        gc.disable()  # as in encode_decode: no cycles are made here
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = number = 0
         for part, texts in text_chunks(batches):
