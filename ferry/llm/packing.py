@@ -107,9 +107,9 @@ def pack_window(docs: list[tuple[int | None, np.ndarray]], row_tokens: int = ROW
 
 def position_ids(cu_seqlens: list[int], row_tokens: int = ROW_TOKENS) -> np.ndarray:
     """Positions of a packed row: from 0 in each segment and in the padding."""
-    starts = np.array([*cu_seqlens[:-1], cu_seqlens[-1]])
-    place = np.arange(row_tokens)
-    return place - starts[np.searchsorted(starts, place, "right") - 1] if len(starts) else place
+    ends = np.array([*cu_seqlens[1:], row_tokens])
+    starts = np.array(cu_seqlens)
+    return np.arange(row_tokens) - np.repeat(starts, ends - starts)
 
 
 _FIELDS = [
