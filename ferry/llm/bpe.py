@@ -38,8 +38,8 @@ from ferry.llm.shared import saved
 LEXICON_WORDS = 65_536
 #: Counters of a task's frequent-item summary.
 COUNTERS = 262_144
-#: Chunks that one worker remembers, twice over (new and old ones).
-REMEMBERED = 400_000
+#: Chunks, and words, that one worker remembers, each twice over (new and old ones).
+REMEMBERED = 300_000
 #: Bytes of a word up to which words are merged side by side.
 SIDE_BY_SIDE = 48
 TEXT_CHUNK = 1 << 20
@@ -79,23 +79,26 @@ def _pieces() -> re.Pattern:
     return _PIECES["all"]
 
 
-def split_words(text: str) -> list[str]:
-    """The pieces of a text that holds no special token."""
-    pattern = _pieces()
+def split_words(parts: list[str]) -> list[list[str]]:
+    """The pieces of each of ``parts``, which hold no white space and no special token.
+
+    All are composed and lowered at once, a line each: no character composes
+    with a line's end.  Characters are lowered one by one: a capital sigma has
+    one small form only.
+    """
+    whole = "\n".join(parts)
+    if not whole.isascii():
+        whole = unicodedata.normalize("NFC", whole).replace("Σ", "σ")
     # The common cases: letters only, or letters and one sign at the end.
-    body, end = (text, []) if text.isalpha() else (text[:-1], [text[-1:]])
-    if (not end or end[0] in _SIGNS) and body.isalpha():
-        if not body.isascii():
-            body = unicodedata.normalize("NFC", body).replace("Σ", "σ")
-        body = body.lower()
-        if body.isalpha():
-            return [body, *end]
-    if text.isascii():
-        return _PIECES["ascii"].findall(text.lower())
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    # Characters are lowered one by one: a capital sigma has one small form only.
-    return pattern.findall(text.replace("Σ", "σ").lower())
+    return [
+        [low] if low.isalpha() else [low[:-1], low[-1]] if low[-1:] in _SIGNS and low[:-1].isalpha() else _found(low)
+        for low in whole.lower().split("\n")
+    ]
+
+
+def _found(low: str) -> list[str]:
+    pattern = _pieces()
+    return (_PIECES["ascii"] if low.isascii() else pattern).findall(low)
 
 
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
@@ -188,6 +191,26 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Remembered:
+    """Ids of the texts met last: two generations of about ``size`` texts; one
+    of the older generation that is met again moves to the newer."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, met: set[str]) -> set[str]:
+        """Those of ``met`` that are not known; the others are in ``new`` then."""
+        left = met.difference(self.new)
+        if left and len(self.new) + len(left) > self.size:
+            self.old, self.new = self.new, {}
+            left = met
+        again = left & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return left - again
+
+
 class Lexicon:
     """The arrays of a compiled lexicon and the encoding over them."""
 
@@ -195,8 +218,7 @@ class Lexicon:
         self.a = arrays
         self.special = special
         self.stop = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memory, self.words = Remembered(REMEMBERED), Remembered(REMEMBERED)
         ends = arrays["name_end"].tolist()
         body = arrays["names"].tobytes()
         self.names = [body[a:b].decode("utf-8") for a, b in zip([0, *ends], ends)]
@@ -388,38 +410,33 @@ class Lexicon:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts (null: empty)."""
         split = [chunks(t or "") for t in texts]
-        fresh = set().union(*split)
-        fresh.difference_update(self.memory)
-        if fresh and len(self.memory) + len(fresh) > REMEMBERED:
-            self.older, self.memory = self.memory, {}
-            fresh = set().union(*split)
-        if self.older:
-            again = fresh & self.older.keys()
-            self.memory.update((c, self.older[c]) for c in again)
-            fresh -= again
-        self._remember(fresh)
-        get = self.memory.__getitem__
+        self._remember(self.memory.missing(set().union(*split)))
+        get = self.memory.new.__getitem__
         return [b"".join(map(get, cs)) for cs in split]
 
     def _remember(self, fresh: set[str]) -> None:
         for name in self.special:
             for c in [c for c in fresh if name in c]:
-                self.memory[c] = self._with_special(c)
+                self.memory.new[c] = self._with_special(c)
                 fresh.discard(c)
         listed = list(fresh)
-        pieces = list(map(split_words, listed))
-        words = list(set().union(*pieces))
-        get = dict(zip(words, self.word_ids(words))).__getitem__
-        self.memory.update(zip(listed, [b"".join(map(get, ws)) for ws in pieces]))
+        pieces = split_words(listed) if listed else []
+        unseen = list(self.words.missing(set().union(*pieces)))
+        self.words.new.update(zip(unseen, self.word_ids(unseen)))
+        get = self.words.new.__getitem__
+        self.memory.new.update(zip(listed, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in pieces]))
 
     def _with_special(self, text: str) -> bytes:
         out, at = [], 0
         for m in self.stop.finditer(text):
-            out += [b"".join(self.word_ids(split_words(text[at : m.start()]))), self.special[m[0]].to_bytes(4, "little")]
+            out += [self._plain(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
             at = m.end()
-        out.append(b"".join(self.word_ids(split_words(text[at:]))))
+        out.append(self._plain(text[at:]))
         return b"".join(out)
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(self.word_ids(split_words([text])[0])) if text else b""
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: their vocabulary entries, joined by a space."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -456,8 +473,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     least = int(np.median(np.fromiter(found.values(), np.int64, len(found))))
                     found = Counter({c: n - least for c, n in found.items() if n > least})
     made: Counter = Counter()
-    for chunk, n in found.items():
-        for w in split_words(chunk):
+    for n, words in zip(found.values(), split_words(list(found)) if found else []):
+        for w in words:
             made[w] += n
     if made:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.int64())], names=["word", "n"])

@@ -94,7 +94,7 @@ def test_encoding_of_no_rows_and_null_ids(spark):
 
 
 def test_chunks_keep_signs_that_are_no_white_space():
-    assert chunks("a\x1cb c") == ["a\x1cb", "c"] and split_words("Abc.") == ["abc", "."]
+    assert chunks("a\x1cb c") == ["a\x1cb", "c"] and split_words(["Abc.", "ÉΣ", "x're1"]) == [["abc", "."], ["éσ"], ["x", "'re", "1"]]
 
 
 @settings(max_examples=80, deadline=None)
