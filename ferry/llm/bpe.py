@@ -25,6 +25,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from ferry.llm.shared import saved
 LEXICON_WORDS = 65_536
 #: Counters of a task's frequent-item summary.
 COUNTERS = 262_144
-#: Chunks, and words, that one worker remembers, each twice over (new and old ones).
-REMEMBERED = 300_000
+#: Chunks and words that one worker remembers, twice over (new and old ones).
+REMEMBERED = 500_000
 #: Bytes of a word up to which words are merged side by side.
 SIDE_BY_SIDE = 48
 TEXT_CHUNK = 1 << 20
@@ -51,15 +52,8 @@ NONE = np.int32(1 << 30)
 
 def _classes() -> tuple[str, str]:
     """Regular-expression ranges of the letters and of the numerals."""
-    spans: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(sys.maxunicode + 1):
-        own = spans.get(unicodedata.category(chr(c))[0])
-        if own is not None:
-            if own and own[-1][1] == c - 1:
-                own[-1][1] = c
-            else:
-                own.append([c, c])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[k]) for k in "LN")  # type: ignore[return-value]
+    kinds = "".join(map(itemgetter(0), map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))))
+    return tuple("".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"{k}+", kinds)) for k in "LN")  # type: ignore[return-value]
 
 
 #: The white space of Unicode, the contractions of the pieces.
@@ -203,13 +197,15 @@ class Remembered:
     def missing(self, met: set[str]) -> set[str]:
         """Those of ``met`` that are not known; the others are in ``new`` then."""
         left = met.difference(self.new)
-        if left and len(self.new) + len(left) > self.size:
-            self.old, self.new = self.new, {}
-            left = met
         again = left & self.old.keys()
         self.new.update(zip(again, map(self.old.__getitem__, again)))
         return left - again
 
+    def age(self) -> None:
+        """Begin a generation if the newer one is full."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+
 
 class Lexicon:
     """The arrays of a compiled lexicon and the encoding over them."""
@@ -218,7 +214,7 @@ class Lexicon:
         self.a = arrays
         self.special = special
         self.stop = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.memory, self.words = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.memory = Remembered(REMEMBERED)  # of chunks and words alike: a word is a chunk of that one word
         ends = arrays["name_end"].tolist()
         body = arrays["names"].tobytes()
         self.names = [body[a:b].decode("utf-8") for a, b in zip([0, *ends], ends)]
@@ -311,6 +307,14 @@ class Lexicon:
         ok = (pair[at] == key) & (left >= 0) & (right >= 0)
         return np.where(ok, self.a["rank"][at], NONE), self.a["made"][at]
 
+    def _byte_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, result) of merging two bytes, by the first one and the second
+        one's symbol (inside a word, then at its end)."""
+        if "of_bytes" not in self.__dict__:
+            second = np.concatenate([self.a["symbol"], self.a["symbol_end"]])
+            self.of_bytes = self._ranks(np.repeat(self.a["symbol"], 512), np.tile(second, 256))
+        return self.of_bytes
+
     def merged(self, words: list[bytes]) -> list[bytes]:
         """Exact merges: always the pair of lowest rank, the leftmost first."""
         out: list[bytes] = [b""] * len(words)
@@ -328,14 +332,19 @@ class Lexicon:
     def _side_by_side(self, words: list[bytes]) -> Iterator[bytes]:
         n, sizes = len(words), np.array([len(w) for w in words])
         width = int(sizes.max())
+        columns = np.arange(width)
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(n, width)
         sym = self.a["symbol"][raw]
-        sym[np.arange(width) >= sizes[:, None]] = -1
+        sym[columns >= sizes[:, None]] = -1
         sym[np.arange(n), sizes - 1] = self.a["symbol_end"][raw[np.arange(n), sizes - 1]]
         sym = np.concatenate([sym, np.full((n, 1), -1, sym.dtype)], axis=1)
-        rank, made = self._ranks(sym[:, :-1], sym[:, 1:])
+        rank, made = np.full((n, width), NONE), np.zeros((n, width), np.int32)
+        second = columns[1:] - sizes[:, None]  # from the word's end: -1 is its last byte
+        pair = (raw[:, :-1].astype(np.int32) << 9) + raw[:, 1:] + ((second == -1) << 8)
+        of_rank, of_made = self._byte_pairs()
+        rank[:, :-1] = np.where(second < 0, of_rank[pair], NONE)
+        made[:, :-1] = of_made[pair]
         live = np.flatnonzero(rank.min(axis=1) < NONE)
-        columns = np.arange(width)
         while len(live):
             s, r, m = sym[live], rank[live], made[live]
             j = r.argmin(axis=1)
@@ -410,6 +419,7 @@ class Lexicon:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts (null: empty)."""
         split = [chunks(t or "") for t in texts]
+        self.memory.age()
         self._remember(self.memory.missing(set().union(*split)))
         get = self.memory.new.__getitem__
         return [b"".join(map(get, cs)) for cs in split]
@@ -421,10 +431,11 @@ class Lexicon:
                 fresh.discard(c)
         listed = list(fresh)
         pieces = split_words(listed) if listed else []
-        unseen = list(self.words.missing(set().union(*pieces)))
-        self.words.new.update(zip(unseen, self.word_ids(unseen)))
-        get = self.words.new.__getitem__
-        self.memory.new.update(zip(listed, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in pieces]))
+        unseen = list(self.memory.missing(set().union(*pieces)))
+        known = self.memory.new
+        known.update(zip(unseen, self.word_ids(unseen)))
+        # A chunk of one small word is in the memory by now.
+        known.update((c, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for c, ws in zip(listed, pieces) if c != ws[0])
 
     def _with_special(self, text: str) -> bytes:
         out, at = [], 0
