@@ -3,20 +3,19 @@
 The rows of one table are a sequence: data columns, then a
 ``# Partition Information`` header, a ``# col_name`` header, the partition
 columns, and later ``# Detailed Table Information`` (or ``# Metadata`` /
-``# Storage``).  The section between the first partition header and the
-first closing header after it is found with window aggregates over the
-table's rows, so a dump of many tables is scanned in one pass.
+``# Storage``).  The section lies between the first partition header and the
+first closing header after it.
 
-The windows are keyed by table: one table's DESCRIBE rows (its columns plus
-a fixed block of metadata lines) are bounded by its schema width, so no
-group can grow with the data volume; the window buffer spills to disk if a
-very wide table ever exceeds memory.  The windows share one
-partitioning (by table), so the plan has a single shuffle.
+A dump of many tables is scanned in one pass with one shuffle: the rows of a
+table come together as one array, and array functions cut the section out of
+it.  One table's DESCRIBE rows (its columns plus a fixed block of metadata
+lines) are bounded by its schema width, so no group can grow with the data
+volume.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Section headers of DESCRIBE TABLE EXTENDED output.
@@ -56,32 +55,22 @@ def described_partition_columns(
     a partition section produce no rows.
     """
     name = F.trim(F.coalesce(F.col(name_col), F.lit("")))
-    pos = F.col(pos_col)
-    is_start = name.startswith(PARTITION_HEADER)
     is_end = F.lit(False)
     for h in SECTION_END_HEADERS:
         is_end = is_end | name.startswith(h)
-
-    per_table = Window.partitionBy(table_col)
-    start = F.min(F.when(is_start, pos)).over(per_table)
-    marked = df.select(
-        F.col(table_col), pos.alias("__pos"), name.alias("__name"), is_end.alias("__is_end"), start.alias("__start")
-    ).where(F.col("__start").isNotNull())
-    end = F.min(F.when(F.col("__is_end") & (F.col("__pos") > F.col("__start")), F.col("__pos"))).over(per_table)
-    section = (
-        marked.withColumn("__end", end)
-        .where(
-            (F.col("__pos") > F.col("__start"))
-            & (F.col("__end").isNull() | (F.col("__pos") < F.col("__end")))
-            & (F.col("__name") != "")
-            & ~F.col("__name").startswith("#")
-        )
+    tables = df.groupBy(table_col).agg(
+        F.min(F.when(name.startswith(PARTITION_HEADER), F.col(pos_col))).alias("__start"),
+        F.collect_list(F.when(is_end, F.col(pos_col))).alias("__ends"),
+        # Headers and blank lines name no column.
+        F.collect_list(F.when((name != "") & ~name.startswith("#"), F.struct(F.col(pos_col).alias("pos"), name.alias("name")))).alias("__lines"),
     )
-    first = Window.partitionBy(table_col, F.lower(F.col("__name"))).orderBy("__pos")
-    kept = section.withColumn("__first", F.row_number().over(first)).where(F.col("__first") == 1)
-    rank = Window.partitionBy(table_col).orderBy("__pos")
-    return kept.select(
-        F.col(table_col),
-        F.row_number().over(rank).alias("pos"),
-        F.col("__name").alias("column_name"),
+    end = F.array_min(F.filter("__ends", lambda p: p > F.col("__start")))
+    section = F.filter("__lines", lambda x: (x.pos > F.col("__start")) & (F.col("__end").isNull() | (x.pos < F.col("__end"))))
+    first = F.filter(F.col("__section"), lambda x: ~F.exists("__section", lambda y: (y.pos < x.pos) & (F.lower(y["name"]) == F.lower(x["name"]))))
+    kept = (
+        tables.where(F.col("__start").isNotNull())
+        .withColumn("__end", end)
+        .select(table_col, F.array_sort(section).alias("__section"))
+        .select(table_col, F.posexplode(F.transform(first, lambda x: x["name"])).alias("__at", "column_name"))
     )
+    return kept.select(table_col, (F.col("__at") + 1).alias("pos"), "column_name")

@@ -166,6 +166,16 @@ def test_described_partition_columns(spark):
     assert got == [("t", 1, "dt"), ("t", 2, "hr"), ("v", 1, "p")]
 
 
+def test_described_sections_of_any_row_order_take_one_shuffle(spark):
+    rows = [("w", i, n, "") for i, n in enumerate(["# Storage", "k", "# Partition Information", "# col_name", "k", " Day ", None, "day", "# Partition Information", "n", "# Metadata", "z", "# Detailed"])]
+    df = spark.createDataFrame([*rows[::-1], (None, 0, "# Partition Information", ""), (None, 1, "q", "")], "table_name string, pos int, col_name string, data_type string").repartition(3)
+    found = described_partition_columns(df)
+    assert {(r.table_name, r.pos, r.column_name) for r in found.collect()} == {("w", 1, "k"), ("w", 2, "Day"), ("w", 3, "n"), (None, 1, "q")}
+    assert found.columns == ["table_name", "pos", "column_name"] and described_partition_columns(df.limit(0)).collect() == []
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Window" not in plan
+
+
 def test_transforms_are_read_whole():
     rows = [("id", "bigint"), ("day", "date"), ("", ""), ("# Partitioning", ""), ("Part 0", "day"), ("Part 1", "bucket(4, id)"), ("", ""), ("# Detailed Table Information", "")]
     assert described_transforms(rows) == ["day", "bucket(4, id)"]
