@@ -40,7 +40,7 @@ LEXICON_WORDS = 65_536
 #: Counters of a task's frequent-item summary.
 COUNTERS = 262_144
 #: Chunks and words that one worker remembers, twice over (new and old ones).
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: Bytes of a word up to which words are merged side by side.
 SIDE_BY_SIDE = 48
 TEXT_CHUNK = 1 << 20
@@ -319,7 +319,7 @@ class Lexicon:
         """Exact merges: always the pair of lowest rank, the leftmost first."""
         out: list[bytes] = [b""] * len(words)
         short = [i for i, w in enumerate(words) if 0 < len(w) <= SIDE_BY_SIDE]
-        short.sort(key=lambda i: len(words[i]))
+        short.sort(key=list(map(len, words)).__getitem__)
         for at in range(0, len(short), 8192):
             own = short[at : at + 8192]
             for i, ids in zip(own, self._side_by_side([words[i] for i in own])):
@@ -401,6 +401,8 @@ class Lexicon:
     def word_ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, little-endian unsigned 32-bit integers."""
         raw = [w.encode("utf-8") for w in words]
+        if not len(self.a["edge"]):
+            return self.merged(raw)
         place = self.looked_up(raw)
         unseen = np.flatnonzero(place < 0)
         table, ends = memoryview(self.a["ids"]).cast("B"), self.a["ids_end"]
