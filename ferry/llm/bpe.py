@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.llm.shared import saved
+from ferry.llm.shared import bounded_batches, saved
 
 #: Words in the lexicon at most; the others are merged when met.
 LEXICON_WORDS = 65_536
@@ -41,6 +41,8 @@ LEXICON_WORDS = 65_536
 COUNTERS = 262_144
 #: Chunks and words that one worker remembers, twice over (new and old ones).
 REMEMBERED = 700_000
+#: As many where a lexicon has the frequent words.
+REMEMBERED_BESIDE_LEXICON = 200_000
 #: Bytes of a word up to which words are merged side by side.
 SIDE_BY_SIDE = 48
 TEXT_CHUNK = 1 << 20
@@ -214,7 +216,7 @@ class Lexicon:
         self.a = arrays
         self.special = special
         self.stop = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.memory = Remembered(REMEMBERED)  # of chunks and words alike: a word is a chunk of that one word
+        self.memory = Remembered(REMEMBERED_BESIDE_LEXICON if len(arrays["edge"]) else REMEMBERED)  # of chunks and words alike: a word is a chunk of that one word
         ends = arrays["name_end"].tolist()
         body = arrays["names"].tobytes()
         self.names = [body[a:b].decode("utf-8") for a, b in zip([0, *ends], ends)]
@@ -501,6 +503,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
     powers of 2 to the 1/8), so the driver receives some thousand rows of it
     and at most ``limit`` words, whatever the number of partitions.  The choice
     of words saves time and changes no result."""
+    bounded_batches(docs.sparkSession)
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "word string, n long")
     counts = saved(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + (1024 - 80)).cast("long")

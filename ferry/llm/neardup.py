@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferry.llm.components import connected_components
-from ferry.llm.shared import id_filter, id_filter_column, in_filter, runs, saved
+from ferry.llm.shared import bounded_batches, id_filter, id_filter_column, in_filter, runs, saved
 from ferry.llm.words import mix, row_shingles
 
 ROWS, BANDS = 5, 48
@@ -242,6 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored, whatever their names.  ``threshold`` (percent)
     must be 75 or more for the stated chance of a missed link.
     """
+    bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketch = saved(named.mapInArrow(_sketches, "doc long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"), "sketches")
     usable = sketch.where("doc is not null and n_shingles > 0")

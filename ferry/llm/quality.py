@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferry.llm.shared import bounded_batches
 from ferry.llm.words import BLOCK_BYTES, LOWER, blocks, span_hashes, spans, utf8
 
 BUCKETS, DIM, ENTRIES = 1 << 13, 32, 2
@@ -215,6 +216,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: i
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Network]:
     """Word vectors from all of ``docs`` and the network fitted on labelled rows."""
+    bounded_batches(docs.sparkSession)
     vectors = word_vectors(docs, text_col)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

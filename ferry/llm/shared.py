@@ -1,5 +1,5 @@
 """Helpers that several operators use: the shared folder, written tables,
-sorted runs, bounded sets of ids."""
+bounded batches, sorted runs, bounded sets of ids."""
 
 from __future__ import annotations
 
@@ -45,6 +45,21 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that a task hands to its Python worker (one row at least).
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes; Spark alone bounds their rows, whatever
+    the texts' length.  A session that has a bound of its own keeps it.
+
+    A batch is held several times over: as vectors and as a message outside the
+    heap of the executor, and in the worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of equal ``keys`` of a partition sorted by them.
 

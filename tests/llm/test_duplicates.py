@@ -14,6 +14,7 @@ from ferry.llm.components import connected_components
 from ferry.llm.exactdup import drop_exact_duplicates, exact_duplicates
 from ferry.llm.mixing import mix
 from ferry.llm.neardup import near_duplicates
+from ferry.llm.shared import bounded_batches
 from tests.llm.test_words_and_tokens import brute_shingles
 
 VOCAB = [f"w{i}" for i in range(400)]
@@ -197,3 +198,26 @@ def test_containment_of_unequal_texts_and_merging():
     assert np.array_equal(fp.from_text(fp.as_text(b)), b)
     both = fp.merged(a, b)
     assert np.array_equal(both, a) or fp.containment(both, a) > 0.99
+
+
+def test_long_texts_come_to_the_workers_in_batches_of_bounded_bytes(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat(id, ' ', repeat('a b ', 1500)) AS text").coalesce(1)
+
+    def largest():
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+        return max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect())
+
+    spark.conf.unset(bound)
+    try:
+        assert largest() > 20 << 20
+        near_duplicates(docs.limit(3))
+        assert largest() < 5 << 20
+        spark.conf.set(bound, "1m")
+        bounded_batches(spark)
+        assert largest() < 2 << 20  # the session's own bound stays
+    finally:
+        spark.conf.unset(bound)

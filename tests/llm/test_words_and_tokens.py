@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import os
 import random
 import re
+import tempfile
 
 import numpy as np
 import public_tokenizers
@@ -136,3 +138,16 @@ def test_packing_is_lossless(spark):
         whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
     want = {r["doc_id"]: bytes(r["ids"]) for r in encode_decode(docs, PATH).collect()}
     assert {k: v for k, v in want.items() if v} == whole
+
+
+def test_a_worker_with_a_lexicon_remembers_fewer_texts():
+    with open(PATH, encoding="utf-8") as f:
+        tokenizer = f.read()
+    sizes = []
+    for k, words in enumerate(([], ["the", "tokens"])):
+        body = Lexicon.compiled(tokenizer, words)
+        path = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), f"{k}.bin")
+        with open(path, "wb") as f:
+            f.write(body)
+        sizes.append(Lexicon.mapped(path).memory.size)
+    assert 0 < 2 * sizes[1] < sizes[0]
