@@ -5,8 +5,9 @@ Every language keeps the terms found in enough of its documents.  A group
 ``1 + floor(SCALE * (count + 5) / (N + 5 * V))``; two shares differ by their
 absolute difference ``f``.
 
-1. A task counts terms per group, and documents per language and term, in
-   dictionaries that it empties when they are full; Spark adds the parts up.
+1. A task counts terms and their documents per group in dictionaries that it
+   empties when they are full; Spark deals the parts by language and term, adds
+   them up and keeps a term, with its language's count, in the same stage.
 2. *Group against language*: ``f`` depends on a term's two counts alone, so the
    terms of a group are grouped by (group count, language count) and ``f`` is
    evaluated once per cell.  Cells of equal value are merged, ranked by value
@@ -72,36 +73,42 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs): occurrences per group and term, with an
-    empty term (n documents) for the group itself, and with a null source the
-    documents per language and term."""
-    counts: dict[tuple[str, str], Counter] = {}
-    found: dict[str, Counter] = {}
+    """(lang, source, term, n, docs): occurrences per group and term and the
+    group's documents with the term; an empty term stands for the group itself."""
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = 0  # entries at most
 
     def made() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, 0) for (lang, source), c in counts.items() for term, n in c.items()]
-        rows += [(lang, None, term, 0, n) for lang, c in found.items() for term, n in c.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        columns[2] = pa.array(columns[2], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _TALLY)], schema=_TALLY)
+        groups, sizes = list(counts), [len(n) for n, _ in counts.values()]
+        row = pa.array(np.repeat(np.arange(len(groups)), sizes))
+        terms = [t for n, _ in counts.values() for t in n]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([g[0] for g in groups], pa.string()).take(row),
+                pa.array([g[1] for g in groups], pa.string()).take(row),
+                pa.array(terms, pa.binary()).cast(pa.string()),
+                pa.array([k for n, _ in counts.values() for k in n.values()], pa.int64()),
+                pa.array([docs[t] for n, docs in counts.values() for t in n], pa.int64()),
+            ],
+            schema=_TALLY,
+        )
 
     for batch in batches:
         langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for text, lang, source in zip(batch.column(0).cast(pa.large_binary()), langs, sources):
-            group = counts.setdefault((lang or "", source or ""), Counter())
-            group[b""] += 1
-            own: set[bytes] = set()
+            n, docs = counts.setdefault((lang or "", source or ""), (Counter(), Counter()))
+            own = {b""}
+            n[b""] += 1
             for terms in terms_of(text.as_py() or b""):
-                group.update(terms)
+                n.update(terms)
                 own.update(terms)
-            found.setdefault(lang or "", Counter()).update(own)
-            held += 2 * len(own) + 1
+            docs.update(own)
+            held += len(own)
             if held > HELD_TERMS:
-                held = sum(map(len, counts.values())) + sum(map(len, found.values()))
+                held = sum(len(n) for n, _ in counts.values())
                 if held > HELD_TERMS // 2:
                     yield made()
-                    counts, found, held = {}, {}, 0
+                    counts, held = {}, 0
     yield made()
 
 
@@ -200,8 +207,7 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _terms(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """(lang, source, item, value, rank): the terms that a group has more of than its language."""
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("m"))
-    rows = counts.join(whole, ["lang", "term"])
+    rows = counts.select("lang", "term", "source", "n", "m")
     stats = groups.select("lang", "source", "total", "lang_total", "terms")
     cells = rows.groupBy("lang", "source", "n", "m").agg(F.count("*").alias("k")).join(stats, ["lang", "source"])
     p, q = share("n", "total", "terms"), share("m", "lang_total", "terms")
@@ -244,14 +250,17 @@ def source_divergence(
     """
     named = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     tally = named.mapInArrow(_tally, "lang string, source string, term string, n long, docs long")
-    tally = saved(tally.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "tally")
-    kept = saved(tally.where(F.col("source").isNull() & (F.col("docs") >= least_documents)).select("lang", "term"), "kept")
-    counts = saved(tally.where("source is not null and term <> ''").select("lang", "source", "term", "n").join(kept, ["lang", "term"], "left_semi"), "counts")
+    # Dealt once, by language and term: the sums of the groups and those of the language need no other shuffle.
+    tally = tally.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    sums = [F.sum("docs").over(term).alias("in_docs"), F.sum("n").over(term).alias("m"), (F.col("source") == F.min("source").over(term)).alias("first")]
+    tally = saved(tally.select("lang", "term", "source", "n", *sums).where((F.col("term") == "") | (F.col("in_docs") >= least_documents)), "tally")
+    counts = tally.where("term <> ''").select("lang", "source", "term", "n", "m", "first")
 
     per_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own_terms"))
     per_lang = per_group.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    groups = tally.where("source is not null and term = ''").select("lang", "source")
+    vocabulary = counts.where("first").groupBy("lang").agg(F.count("*").alias("terms"))
+    groups = tally.where("term = ''").select("lang", "source")
     groups = groups.join(per_group, ["lang", "source"], "left").join(per_lang, "lang", "left").join(vocabulary, "lang", "left").na.fill(0)
     no = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("no")
     groups = saved(groups.select("*", no, F.when(F.col("terms") > 0, share(F.lit(0), "total", "terms")).otherwise(0).alias("p0")), "groups")

@@ -9,6 +9,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -304,3 +305,11 @@ def test_words_are_whole_across_pieces(monkeypatch):
         monkeypatch.setattr(periodic, "PIECE_BYTES", size)
         numbers, names = periodic.numbered_words(text.encode())
         assert [names[k].decode() for k in numbers] == want
+
+
+def test_a_task_gives_one_row_for_each_term_of_a_group():
+    rows = [("b a a", "en", "x"), ("a", "en", "x"), ("A c", "en", "y"), (None, None, "y"), ("", "en", None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["text", "lang", "source"])
+    got = [tuple(r.values()) for b in divergence._tally(iter([batch])) for r in b.to_pylist()]
+    want = [("en", "x", "", 2, 2), ("en", "x", "a", 3, 2), ("en", "x", "b", 1, 1), ("en", "y", "", 1, 1), ("en", "y", "a", 1, 1), ("en", "y", "c", 1, 1), ("", "y", "", 1, 1), ("en", "", "", 1, 1)]
+    assert sorted(got) == sorted(want)
