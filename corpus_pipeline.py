@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,10 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     for r in rows.groupBy("_file").count().orderBy("_file").collect():  # a row per file
         offsets.append((r["_file"], start))
         start += r["count"]
-    starts = docs.sparkSession.createDataFrame(offsets, "_file string, _start long")
+    # As an Arrow table: plain rows would go through Python workers of their own on the executors.
+    names, at = zip(*offsets) if offsets else ((), ())
+    table = pa.table({"_file": pa.array(names, pa.string()), "_start": pa.array(at, pa.int64())})
+    starts = docs.sparkSession.createDataFrame(table)
     return rows.join(F.broadcast(starts), "_file").select("doc_id", "text", (F.col("_start") + F.col("_row")).alias("mix_position"))
 
 

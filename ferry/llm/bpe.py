@@ -39,13 +39,17 @@ from ferry.llm.shared import bounded_batches, saved
 LEXICON_WORDS = 65_536
 #: Counters of a task's frequent-item summary.
 COUNTERS = 262_144
+#: Chunks whose words are counted at once.
+COUNTED_AT_ONCE = 8_192
 #: Chunks and words that one worker remembers, twice over (new and old ones).
 REMEMBERED = 700_000
 #: As many where a lexicon has the frequent words.
-REMEMBERED_BESIDE_LEXICON = 200_000
+REMEMBERED_BESIDE_LEXICON = 100_000
 #: Bytes of a word up to which words are merged side by side.
 SIDE_BY_SIDE = 48
 TEXT_CHUNK = 1 << 20
+#: Characters that are encoded and decoded at once.
+CODED_AT_ONCE = 1 << 18
 NONE = np.int32(1 << 30)
 
 
@@ -208,6 +212,10 @@ class Remembered:
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
 
+    def forget(self) -> None:
+        """Know nothing any more."""
+        self.new, self.old = {}, {}
+
 
 class Lexicon:
     """The arrays of a compiled lexicon and the encoding over them."""
@@ -460,14 +468,14 @@ class Lexicon:
 # ------------------------------------------------------------------ Spark
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of batches (id, text) with about TEXT_CHUNK characters each."""
+def text_chunks(batches: Iterator[pa.RecordBatch], most: int = TEXT_CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of batches (id, text) with about ``most`` characters each."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         first, size = 0, 0
         for k, t in enumerate(texts):
             size += len(t or "")
-            if size >= TEXT_CHUNK or k == len(texts) - 1:
+            if size >= most or k == len(texts) - 1:
                 yield batch.slice(first, k + 1 - first), texts[first : k + 1]
                 first, size = k + 1, 0
 
@@ -488,9 +496,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     least = int(np.median(np.fromiter(found.values(), np.int64, len(found))))
                     found = Counter({c: n - least for c, n in found.items() if n > least})
     made: Counter = Counter()
-    for n, words in zip(found.values(), split_words(list(found)) if found else []):
-        for w in words:
-            made[w] += n
+    while found:  # a part at a time, which is not held any more then
+        some, ns = zip(*(found.popitem() for _ in range(min(len(found), COUNTED_AT_ONCE))))
+        for n, words in zip(ns, split_words(list(some))):
+            for w in words:
+                made[w] += n
     if made:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.int64())], names=["word", "n"])
 
@@ -558,12 +568,18 @@ def _coder(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = opened(name)
         gc.disable()  # no cycles are made here, and passes over millions of words cost a third of the time
-        for part, texts in text_chunks(batches):
-            ids = lexicon.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.binary()), pa.array([lexicon.decode(i) for i in ids], pa.large_string()).cast(pa.string())],
-                names=["id", "ids", "decoded"],
-            )
+        try:
+            for part, texts in text_chunks(batches, CODED_AT_ONCE):
+                ids = lexicon.encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array([lexicon.decode(i) for i in ids], pa.large_string()).cast(pa.string())],
+                    names=["id", "ids", "decoded"],
+                )
+        finally:
+            # The worker stays, idle or for tasks of other stages: it gives back what this one took.
+            lexicon.memory.forget()
+            gc.enable()
+            pa.default_memory_pool().release_unused()
 
     return code
 

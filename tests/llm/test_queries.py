@@ -107,3 +107,9 @@ def test_stages_of_odd_and_empty_tables_with_clashing_columns(spark, stage):
 def test_mixture_refuses_columns_with_its_names(spark):
     with pytest.raises(ValueError, match="mix_Slot"):
         mix(spark.createDataFrame([(1, "a", 2)], "doc_id long, source string, mix_Slot int"), {"a": 1})
+
+
+def test_places_of_files_pass_no_python_worker(spark):
+    placed = corpus_pipeline.in_file_order(spark.read.parquet(f"{SF}/documents.parquet"))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gc
 import os
 import random
 import re
@@ -12,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ferry.llm import bpe
 from ferry.llm import words as W
 from ferry.llm.bpe import Lexicon, chunks, encode_decode, frequent_words, minimal_automaton, split_words
 from ferry.llm.packing import CapacityTree, best_fit_decreasing, packed_tokens, position_ids, unpacked
@@ -151,3 +153,31 @@ def test_a_worker_with_a_lexicon_remembers_fewer_texts():
             f.write(body)
         sizes.append(Lexicon.mapped(path).memory.size)
     assert 0 < 2 * sizes[1] < sizes[0]
+
+
+def test_a_worker_gives_back_what_a_task_of_coding_took(monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        body = Lexicon.compiled(f.read(), ["the", "tokens"])
+    path = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "lexicon.bin")
+    with open(path, "wb") as f:
+        f.write(body)
+    lex = Lexicon.mapped(path)
+    monkeypatch.setattr(bpe, "opened", lambda name: lex)
+    monkeypatch.setattr(bpe, "CODED_AT_ONCE", 40)
+    texts = ["The tokens, and others.", None, "many words " * 30, "x"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    assert gc.isenabled()
+    for end in (False, True):  # as the last task of a worker, and where its reader stops early
+        coded = bpe._coder("lexicon")(iter([rows, rows]))
+        parts = list(coded) if end else [next(coded)]
+        assert parts[0].num_rows < len(texts) and (not end or sum(p.num_rows for p in parts) == 2 * len(texts))
+        coded.close()
+        assert not lex.memory.new and not lex.memory.old and gc.isenabled()
+    assert b"".join(parts[-1].column(1).to_pylist()) == lex.encode(["x"])[0]
+
+
+def test_words_are_counted_a_part_of_the_chunks_at_a_time(monkeypatch):
+    rows = pa.RecordBatch.from_arrays([pa.array(["a b, a", None, "c. b A c-c", ""], pa.string())], names=["text"])
+    monkeypatch.setattr(bpe, "COUNTED_AT_ONCE", 2)
+    got = {r["word"]: r["n"] for b in bpe._count(iter([rows, rows])) for r in b.to_pylist()}
+    assert got == {"a": 6, "b": 4, ",": 2, "c": 6, ".": 2, "-": 2} and list(bpe._count(iter([]))) == []
